@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
 from plumbline.functions.text import (
     entries,
     is_object,
@@ -147,7 +148,7 @@ def write_versions(merged: DataFrame, path: str) -> DataFrame:
     if path_exists(spark, f"{path}/versions"):
         versions = spark.read.schema(schema).parquet(f"{path}/versions")
     else:
-        versions = spark.createDataFrame([], schema)
+        versions = inline_rows(spark, schema, [])
     changed = settle(changed_entries(hashes, versions))
     merged.join(changed.select("dataset", "version"), "dataset").write.mode("append").parquet(
         f"{path}/content"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.local import inline_rows
+
 CATEGORICAL_MAX = 25
 # HyperLogLog with this error has 512 registers; up to 25 values fill at most 25 of them, and its
 # small-range estimate 512 * ln(512 / (512 - 25)) is then below 26. A larger estimate proves that
@@ -57,7 +59,8 @@ def infer_kind(df: DataFrame, column: str) -> str:
 def infer_kinds(df: DataFrame) -> DataFrame:
     """(ordinal, column, kind)."""
     kinds, _ = inferred(df)
-    return df.sparkSession.createDataFrame(
-        [(i, c, kinds[c]) for i, c in enumerate(df.columns)],
+    return inline_rows(
+        df.sparkSession,
         "ordinal int, column string, kind string",
+        [(i, c, kinds[c]) for i, c in enumerate(df.columns)],
     )

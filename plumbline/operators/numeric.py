@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
 from plumbline.functions.stats import ratio, sample_skewness
 from plumbline.operators.quantiles import MAP_ROWS, PROFILE_PROBS, exact_quantiles
 
@@ -74,8 +75,8 @@ def numeric_profile(
     columns = list(columns)
     moments = numeric_moments(df, columns).collect()
     rows = max((m["n"] for m in moments), default=0)
-    known = df.sparkSession.createDataFrame(
-        [tuple(m) for m in moments], f"column string, {_MOMENTS}"
+    known = inline_rows(
+        df.sparkSession, f"column string, {_MOMENTS}", [tuple(m) for m in moments]
     )
     quantiles = (
         exact_quantiles(df, columns, PROFILE_PROBS, map_rows, rows)

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
+
 PROFILE_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 MAP_ROWS = 1 << 17
 _SLOTS = 1024
@@ -120,7 +122,9 @@ def _by_slots(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         )
     ).filter(F.col("v").isNotNull()) if edges else None
 
-    out = spark.createDataFrame([(c, p, None) for c, p in empty], "column string, prob double, quantile double")
+    out = inline_rows(
+        spark, "column string, prob double, quantile double", [(c, p, None) for c, p in empty]
+    )
     if long is None:
         return out
 
@@ -149,16 +153,18 @@ def _by_slots(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         .withColumn("last", F.sum("count").over(upto))
         .withColumn("first", F.col("last") - F.col("count"))
     )
-    picks = spark.createDataFrame(
-        [(c, slot, offset) for (c, slot), offsets in wanted.items() for offset in offsets],
+    picks = inline_rows(
+        spark,
         "c int, slot int, at bigint",
+        [(c, slot, offset) for (c, slot), offsets in wanted.items() for offset in offsets],
     )
     found = ranked.join(F.broadcast(picks), ["c", "slot"]).filter(
         (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last"))
     )
-    targets = spark.createDataFrame(
-        [(i, columns[i], p, frac, s1, o1, s2, o2) for i, p, frac, s1, o1, s2, o2 in plan],
+    targets = inline_rows(
+        spark,
         "c int, column string, prob double, frac double, s1 int, o1 bigint, s2 int, o2 bigint",
+        [(i, columns[i], p, frac, s1, o1, s2, o2) for i, p, frac, s1, o1, s2, o2 in plan],
     )
     one, two = found.alias("one"), found.alias("two")
     joined = (

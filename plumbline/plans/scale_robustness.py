@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
 from plumbline.operators.cells import (
     cell_counts,
     cell_exposure,
@@ -73,8 +74,8 @@ def cell_tests(
             nulls, peaks.select(F.col("resolution").cast("bigint").alias("group"), "t"), "max_z", "pseudo_p"
         ).select(F.col("group").cast("int").alias("resolution"), "pseudo_p")
     else:
-        p = spark.createDataFrame([], "resolution int, pseudo_p double")
-    every = spark.createDataFrame([(r,) for r in resolutions], "resolution int")
+        p = inline_rows(spark, "resolution int, pseudo_p double", [])
+    every = inline_rows(spark, "resolution int", [(r,) for r in resolutions])
     apart = unpopulated(cells).select(
         "resolution",
         F.col("n_cells").alias("unpopulated_cells"),
@@ -136,9 +137,11 @@ def scale_robustness(
     replicates = clamp_replicates(replicates)
     spark = points.sparkSession
     if grid is None:
-        return spark.createDataFrame(
-            [(point, "abstention", "no declared spatial exposure: robustness cannot be judged", r) for r in resolutions],
+        reason = "no declared spatial exposure: robustness cannot be judged"
+        return inline_rows(
+            spark,
             "spatial_col string, exposure_model string, reason string, resolution int",
+            [(point, "abstention", reason, r) for r in resolutions],
         )
     cells = settle(
         split_cells(cell_counts(points, point, resolutions), cell_exposure(grid, resolutions))

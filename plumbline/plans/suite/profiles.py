@@ -59,13 +59,13 @@ def topk_sql(src: str, col: str, k: int = 15) -> str:
 def num_sql(src: str, col: str) -> str:
     return f"""SELECT '{col}' AS "column", s.n, s.mn AS "min", s.mx AS "max", round(s.av, 6) AS mean,
       s.md AS median, s.p5, s.p25, s.p75, s.p95, round(coalesce(s.sd, 0), 6) AS std,
-      round(coalesce(s.sk, 0), 6) AS skewness, (s.n - s.nn) / s.n AS null_rate,
+      round(coalesce(s.sk, 0), 6) + 0.0 AS skewness, (s.n - s.nn) / s.n AS null_rate,
       s.zr / s.n AS zero_rate,
       (SELECT count(*) FROM {src} WHERE s.sd > 0 AND abs({col} - s.av) > 3 * s.sd) AS n_outliers_3sigma
       FROM (SELECT count(*) AS n, count({col}) AS nn, CAST(min({col}) AS DOUBLE) AS mn,
-        CAST(max({col}) AS DOUBLE) AS mx, avg({col}) AS av, CAST(median({col}) AS DOUBLE) AS md,
-        CAST(quantile_cont({col}, 0.05) AS DOUBLE) AS p5, CAST(quantile_cont({col}, 0.25) AS DOUBLE) AS p25,
-        CAST(quantile_cont({col}, 0.75) AS DOUBLE) AS p75, CAST(quantile_cont({col}, 0.95) AS DOUBLE) AS p95,
+        CAST(max({col}) AS DOUBLE) AS mx, avg({col}) AS av, round(CAST(median({col}) AS DOUBLE), 6) AS md,
+        round(CAST(quantile_cont({col}, 0.05) AS DOUBLE), 6) AS p5, round(CAST(quantile_cont({col}, 0.25) AS DOUBLE), 6) AS p25,
+        round(CAST(quantile_cont({col}, 0.75) AS DOUBLE), 6) AS p75, round(CAST(quantile_cont({col}, 0.95) AS DOUBLE), 6) AS p95,
         stddev_samp({col}) AS sd, count(*) FILTER (WHERE {col} = 0) AS zr, skewness({col}) AS sk
       FROM {src}) s"""
 
@@ -130,15 +130,18 @@ def _union(parts) -> str:
 
 def _rounded_long(df: DataFrame) -> DataFrame:
     shown = F.when(
-        F.col("metric").isin("entropy", "mean", "std", "skewness"), F.round("value", 6)
+        F.col("metric").isin("entropy", *_ROUNDED), F.round("value", 6) + 0.0
     ).otherwise(F.col("value"))
     return df.withColumn("value", shown)
 
 
+# Sums and interpolations differ in their last digit with the order of the additions.
+_ROUNDED = ("mean", "std", "skewness", "median", "p5", "p25", "p75", "p95", "quantile")
+
+
 def _rounded_numeric(df: DataFrame) -> DataFrame:
-    for c in ("mean", "std", "skewness"):
-        df = df.withColumn(c, F.round(c, 6))
-    return df
+    # Adding zero turns -0.0 into 0.0.
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in df.columns if c in _ROUNDED})
 
 
 # --- categorical ---------------------------------------------------------------------------------
@@ -219,7 +222,7 @@ def num_profile_nulls(spark, folder):
 
 def _quantile_sql(src: str, cols) -> str:
     return _union(
-        f"""SELECT '{c}' AS "column", {p} AS prob, CAST(quantile_cont({c}, {p}) AS DOUBLE) AS quantile FROM {src}"""
+        f"""SELECT '{c}' AS "column", {p} AS prob, round(CAST(quantile_cont({c}, {p}) AS DOUBLE), 6) AS quantile FROM {src}"""
         for c in cols
         for p in quantiles.PROFILE_PROBS
     )
@@ -227,14 +230,17 @@ def _quantile_sql(src: str, cols) -> str:
 
 @query("num_quantiles", _quantile_sql("orders", ["o_totalprice", "o_custkey"]))
 def num_quantiles(spark, folder):
-    return quantiles.exact_quantiles(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"])
+    return _rounded_numeric(
+        quantiles.exact_quantiles(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"])
+    )
 
 
 @query("num_quantiles_slots", _quantile_sql("lineitem", ["l_extendedprice", "l_quantity", "l_partkey"]))
 def num_quantiles_slots(spark, folder):
     """The narrowing path that large inputs take, whatever the size of this one."""
-    return quantiles.exact_quantiles(
-        table(spark, folder, "lineitem"), ["l_extendedprice", "l_quantity", "l_partkey"], map_rows=0
+    df = table(spark, folder, "lineitem")
+    return _rounded_numeric(
+        quantiles.exact_quantiles(df, ["l_extendedprice", "l_quantity", "l_partkey"], map_rows=0)
     )
 
 
@@ -242,7 +248,7 @@ def num_quantiles_slots(spark, folder):
     "num_moments",
     _union(
         f"""SELECT '{c}' AS "column", min({c}) AS "min", max({c}) AS "max", round(avg({c}), 6) AS mean,
-        round(stddev_samp({c}), 6) AS std, round(skewness({c}), 6) AS skewness FROM part"""
+        round(stddev_samp({c}), 6) AS std, round(skewness({c}), 6) + 0.0 AS skewness FROM part"""
         for c in ("p_retailprice", "p_size")
     ),
 )

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
 from plumbline.sources.tables import checked_name
 
 # Field names of a catalog entry.
@@ -113,5 +114,5 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
 
 def catalog_from_entries(spark: SparkSession, entries: list[str]) -> Catalog:
     """Catalog from JSON texts, one per entry."""
-    raw = spark.createDataFrame([(e,) for e in entries], "entry string")
+    raw = inline_rows(spark, "entry string", [(e,) for e in entries])
     return _tables(raw.select(F.from_json("entry", ENTRY_SCHEMA).alias("e")).select("e.*"))

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.local import inline_rows
+
 _NAME = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -76,10 +78,6 @@ def write_parquet(
     return scan(df.sparkSession, path)
 
 
-def inline_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
 def project(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Keep, rename and cast: {new name: (source column, type)}."""
     return df.select([F.col(src).cast(kind).alias(new) for new, (src, kind) in columns.items()])
@@ -87,7 +85,8 @@ def project(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
 
 def schema_of(df: DataFrame) -> DataFrame:
     """(ordinal, column, type) of a DataFrame, from its schema alone."""
-    return df.sparkSession.createDataFrame(
-        [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)],
+    return inline_rows(
+        df.sparkSession,
         "ordinal int, column string, type string",
+        [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)],
     )

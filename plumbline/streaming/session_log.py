@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline.sources.local import inline_rows
 from plumbline.operators.ordered import running_last, running_number
 from plumbline.operators.sessions import (
     MESSAGE_SCHEMA,
@@ -49,7 +50,7 @@ def _stored(spark: SparkSession, store: str, table: str, schema: str, before: in
     """Rows of a stored table, of batches below `before` if given (a partition filter)."""
     path = f"{store}/{table}"
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return inline_rows(spark, schema, [])
     rows = spark.read.schema(schema).parquet(path)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
