@@ -1 +1,260 @@
+"""Points in hexagonal cells: lineitem gives the points, orders the weighted grid."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.hexgrid import EDGE_METRES, ORIGIN, SQRT3
+from plumbline.functions.lv95 import to_wgs84
+from plumbline.operators import cells as c
+from plumbline.operators.exposure_tests import with_expected
+from plumbline.operators.prepare import point
+from plumbline.plans.scale_robustness import scale_robustness
+from plumbline.plans.suite import query, table
+from plumbline.sources.catalog import catalog_from_entries
+from plumbline.sources.exposure import exposure_grid
+
+RESOLUTIONS = (6, 7, 8)
+
+_POINTS = """(SELECT CASE WHEN k % 211 = 0 THEN 0.0 WHEN k % 307 = 0 THEN n ELSE e END AS x,
+    CASE WHEN k % 211 = 0 THEN 0.0 WHEN k % 307 = 0 THEN e ELSE n END AS y
+  FROM (SELECT k, CAST(CASE WHEN hot THEN 2600000 + k % 700 ELSE 2480000 + (k * 7919) % 360000 END AS DOUBLE) AS e,
+      CAST(CASE WHEN hot THEN 1200000 + (k * 31) % 700 ELSE 1070000 + (k * 104729) % 230000 END AS DOUBLE) AS n
+    FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_returnflag = 'R' AND l_quantity >= 48 AS hot FROM lineitem))
+  WHERE k % 97 <> 0)"""
+_GRID = """(SELECT CAST(2480000 + (o_orderkey * 7919) % 360000 AS DOUBLE) + 50.0 AS x,
+  CAST(1070000 + (o_orderkey * 5407) % 230000 AS DOUBLE) + 50.0 AS y, o_totalprice AS weight FROM orders)"""
+
+
+def cells_sql(source: str, aggregate: str) -> str:
+    parts = []
+    for r in RESOLUTIONS:
+        parts.append(
+            f"""SELECT {r} AS resolution, CAST({r << 56} AS BIGINT) + CAST(cq + {1 << 27} AS BIGINT) * {1 << 28} + CAST(cr + {1 << 27} AS BIGINT) AS cell, {aggregate}
+      FROM (SELECT *, CASE WHEN aq > ar AND aq > az THEN -nr - nz ELSE nq END AS cq,
+          CASE WHEN NOT (aq > ar AND aq > az) AND ar > az THEN -nq - nz ELSE nr END AS cr
+        FROM (SELECT *, abs(nq - q) AS aq, abs(nr - r) AS ar, abs(nz - z) AS az
+          FROM (SELECT *, floor(q + 0.5::DOUBLE) AS nq, floor(r + 0.5::DOUBLE) AS nr, floor(z + 0.5::DOUBLE) AS nz
+            FROM (SELECT *, -q - r AS z
+              FROM (SELECT *, (dx * {SQRT3 / 3.0!r}::DOUBLE - dy / 3.0::DOUBLE) / {EDGE_METRES[r]!r}::DOUBLE AS q,
+                  (dy * {2.0 / 3.0!r}::DOUBLE) / {EDGE_METRES[r]!r}::DOUBLE AS r
+                FROM (SELECT *, x - {ORIGIN[0]!r}::DOUBLE AS dx, y - {ORIGIN[1]!r}::DOUBLE AS dy FROM {source}))))))
+      GROUP BY 1, 2"""
+        )
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+_COUNTS = cells_sql(_POINTS, "count(*) AS observed")
+_WEIGHTS = cells_sql(_GRID, "sum(weight) AS weight")
+_SPLIT = f"""(SELECT resolution, cell, observed, coalesce(weight, 0) AS weight, coalesce(weight, 0) > 0 AS testable
+  FROM {_COUNTS} LEFT JOIN {_WEIGHTS} USING (resolution, cell))"""
+_TESTED = f"""(SELECT *, (observed - expected) / sqrt(expected) AS z FROM (
+  SELECT *, sum(observed) OVER (PARTITION BY resolution) * (weight / sum(weight) OVER (PARTITION BY resolution)) AS expected
+  FROM {_SPLIT} WHERE testable))"""
+
+
+def points(spark, folder):
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    hot = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48)
+    rows = table(spark, folder, "lineitem").select(
+        k.alias("k"),
+        F.when(hot, F.lit(2600000) + k % 700).otherwise(F.lit(2480000) + (k * 7919) % 360000).cast("double").alias("e"),
+        F.when(hot, F.lit(1200000) + (k * 31) % 700).otherwise(F.lit(1070000) + (k * 104729) % 230000).cast("double").alias("n"),
+    )
+    e, n = F.col("e"), F.col("n")
+    geom = (
+        F.when(F.col("k") % 97 == 0, F.lit(None))
+        .when(F.col("k") % 211 == 0, point(F.lit(0), F.lit(0)))
+        .when(F.col("k") % 307 == 0, point(n, e))
+        .otherwise(point(e, n))
+    )
+    return rows.select(geom.alias("geom"))
+
+
+def grid(spark, folder):
+    k = F.col("o_orderkey")
+    corners = table(spark, folder, "orders").select(
+        (F.lit(2480000) + (k * 7919) % 360000).alias("east"),
+        (F.lit(1070000) + (k * 5407) % 230000).alias("north"),
+        "o_totalprice",
+    )
+    return exposure_grid(corners, "east", "north", "o_totalprice", 100, "sw_corner")
+
+
+def _split(spark, folder):
+    return c.split_cells(
+        c.cell_counts(points(spark, folder), "geom", RESOLUTIONS),
+        c.cell_exposure(grid(spark, folder), RESOLUTIONS),
+    )
+
+
+@query("cell_grid", f"SELECT x, y, weight FROM {_GRID}")
+def cell_grid(spark, folder):
+    return grid(spark, folder)
+
+
+@query("cell_counts", f"SELECT resolution, cell, observed FROM {_COUNTS}")
+def cell_counts(spark, folder):
+    return c.cell_counts(points(spark, folder), "geom", RESOLUTIONS)
+
+
+@query("cell_exposure", f"SELECT resolution, cell, round(weight, 4) AS weight FROM {_WEIGHTS}")
+def cell_exposure(spark, folder):
+    out = c.cell_exposure(grid(spark, folder), RESOLUTIONS)
+    return out.withColumn("weight", F.round("weight", 4))
+
+
+@query("cell_split", f"SELECT resolution, testable, count(*) AS n, CAST(sum(observed) AS BIGINT) AS points FROM {_SPLIT} GROUP BY 1, 2")
+def cell_split(spark, folder):
+    return _split(spark, folder).groupBy("resolution", "testable").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("observed").alias("points")
+    )
+
+
+@query(
+    "cell_unpopulated",
+    f"""SELECT resolution, count(*) FILTER (WHERE NOT testable) AS n_cells,
+    CAST(coalesce(sum(observed) FILTER (WHERE NOT testable), 0) AS BIGINT) AS n_points,
+    coalesce(sum(observed) FILTER (WHERE NOT testable), 0) / greatest(1, sum(observed)) AS share FROM {_SPLIT} GROUP BY 1""",
+)
+def cell_unpopulated(spark, folder):
+    return c.unpopulated(_split(spark, folder))
+
+
+@query("cell_expected", f"SELECT resolution, cell, round(expected, 6) AS expected, round(z, 6) AS z FROM {_TESTED}")
+def cell_expected(spark, folder):
+    tested = with_expected(_split(spark, folder).filter("testable"), "resolution")
+    return tested.select(
+        "resolution", "cell", F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z")
+    )
+
+
+_CENTRES = f"""(SELECT resolution, cell, {SQRT3!r}::DOUBLE * (q + r / 2.0::DOUBLE) * edge + {ORIGIN[0]!r}::DOUBLE AS x,
+  1.5::DOUBLE * r * edge + {ORIGIN[1]!r}::DOUBLE AS y
+  FROM (SELECT resolution, cell, CAST(cell % {1 << 28} - {1 << 27} AS DOUBLE) AS r,
+    CAST((cell // {1 << 28}) % {1 << 28} - {1 << 27} AS DOUBLE) AS q,
+    CASE resolution {" ".join(f"WHEN {r} THEN {EDGE_METRES[r]!r}::DOUBLE" for r in RESOLUTIONS)} END AS edge FROM {_COUNTS}))"""
+
+
+def _wgs84_sql(source: str, keep: str) -> str:
+    """The published approximation again, in SQL."""
+    return f"""SELECT {keep},
+      round((2.6779094 + 4.728982 * v + 0.791484 * v * u + 0.1306 * v * u * u - 0.0436 * v * v * v) * 100 / 36, 7) AS lng,
+      round((16.9023892 + 3.238272 * u - 0.270978 * v * v - 0.002528 * u * u - 0.0447 * v * v * u - 0.0140 * u * u * u) * 100 / 36, 7) AS lat
+      FROM (SELECT *, (x - 2600000)::DOUBLE / 1e6::DOUBLE AS v, (y - 1200000)::DOUBLE / 1e6::DOUBLE AS u FROM {source})"""
+
+
+@query("cell_centre", _wgs84_sql(_CENTRES, "resolution, cell, round(x, 3) AS x, round(y, 3) AS y"))
+def cell_centre(spark, folder):
+    cells = c.cell_counts(points(spark, folder), "geom", RESOLUTIONS).drop("observed")
+    placed = c.with_centres(cells)
+    return placed.select(
+        "resolution", "cell", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"),
+        F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"),
+    )
+
+
+@query("reproject", _wgs84_sql(_GRID, "x, y"))
+def reproject(spark, folder):
+    lng, lat = to_wgs84(F.col("x"), F.col("y"))
+    return grid(spark, folder).select(
+        "x", "y", F.round(lng, 7).alias("lng"), F.round(lat, 7).alias("lat")
+    )
+
+
+@query(
+    "cell_peak",
+    f"""SELECT resolution, cell, round(z, 6) AS z, n FROM (SELECT *, row_number() OVER (PARTITION BY resolution ORDER BY z DESC, cell) AS rk,
+    count(*) OVER (PARTITION BY resolution) AS n FROM {_TESTED}) WHERE rk = 1""",
+)
+def cell_peak(spark, folder):
+    report = scale_robustness(
+        points(spark, folder), "geom", grid(spark, folder), RESOLUTIONS, replicates=1, rounded=False
+    )
+    return report.select(
+        "resolution", F.col("peak_cell").alias("cell"), F.round("peak_std_excess", 6).alias("z"),
+        F.col("n_cells_tested").alias("n"),
+    )
+
+
+@query("scale_robustness")
+def robustness(spark, folder):
+    """The full report at three resolutions with 999 replicates each; its pseudo-p is random."""
+    return scale_robustness(points(spark, folder), "geom", grid(spark, folder), RESOLUTIONS)
+
+
+@query("scale_abstention", "SELECT unnest([6, 7, 8]) AS resolution, 'abstention' AS exposure_model, (SELECT count(*) FROM lineitem) AS n_rows")
+def scale_abstention(spark, folder):
+    rows = points(spark, folder)
+    out = scale_robustness(rows, "geom", None, RESOLUTIONS).select("resolution", "exposure_model")
+    return out.withColumn("n_rows", rows.agg(F.count(F.lit(1))).scalar())
+
+
+# --- catalog of the given tables -------------------------------------------------------------------
+
+_CLASSES = "CASE c_nationkey % 3 WHEN 0 THEN 'categorical' WHEN 1 THEN 'spatial' ELSE 'numeric' END"
+
+
+def _customer_catalog(spark, folder):
+    """One catalog entry per market segment with one column per nation, made from the data."""
+    spec = F.struct(
+        F.when(F.col("c_nationkey") % 3 == 0, "categorical")
+        .when(F.col("c_nationkey") % 3 == 1, "spatial").otherwise("numeric").alias("type"),
+        F.when(F.col("c_nationkey") % 2 == 0, "point").alias("geometry_type_attendu"),
+        F.lit(2056).alias("srid"),
+    )
+    pairs = (
+        table(spark, folder, "customer").select("c_mktsegment", "c_nationkey").distinct()
+        .groupBy("c_mktsegment")
+        .agg(F.array_sort(F.collect_list(F.struct("c_nationkey", spec.alias("spec")))).alias("p"))
+    )
+    named = F.transform("p", lambda e: F.struct(F.concat(F.lit("c"), e["c_nationkey"].cast("string")).alias("k"), e["spec"].alias("v")))
+    entries = pairs.select(
+        F.to_json(
+            F.struct(
+                F.col("c_mktsegment").alias("dataset"),
+                F.map_from_entries(named).alias("columns"),
+                F.create_map(
+                    F.lit("c1"),
+                    F.struct(F.lit("spatial_grid").alias("kind"), F.lit("BUILDING").alias("fiche"), F.lit("w").alias("weight")),
+                ).alias("exposures"),
+                F.struct(F.lit("e").alias("east"), F.lit("n").alias("north"), F.lit(100.0).alias("cell_size"), F.lit("sw_corner").alias("coord_ref")).alias("grid"),
+            )
+        )
+    )
+    # One text per market segment.
+    return catalog_from_entries(spark, [r[0] for r in entries.collect()])
+
+
+@query(
+    "catalog_columns",
+    f"""SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY nk) - 1 AS INTEGER) AS ordinal, 'c' || nk AS "column", kind AS type
+    FROM (SELECT DISTINCT c_mktsegment AS dataset, c_nationkey AS nk, {_CLASSES} AS kind FROM customer)""",
+)
+def catalog_columns(spark, folder):
+    return _customer_catalog(spark, folder).columns.select("dataset", "ordinal", "column", "type")
+
+
+@query("catalog_datasets", "SELECT DISTINCT c_mktsegment AS dataset FROM customer")
+def catalog_datasets(spark, folder):
+    return _customer_catalog(spark, folder).list_datasets()
+
+
+@query(
+    "catalog_resolve",
+    """SELECT DISTINCT c_mktsegment AS dataset, 'c1' AS "column", 'BUILDING' AS entry, 100.0 AS cell_size FROM customer
+    WHERE (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') > 0
+    UNION ALL SELECT DISTINCT c_mktsegment, 'c1', 'BUILDING', CAST(NULL AS DOUBLE) FROM customer
+    WHERE (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') = 0""",
+)
+def catalog_resolve(spark, folder):
+    return _customer_catalog(spark, folder).resolved_grids().select("dataset", "column", "entry", "cell_size")
+
+
+@query(
+    "catalog_point_column",
+    f"""SELECT c_mktsegment AS dataset, 'c' || min(c_nationkey) AS "column", 2056 AS srid FROM customer
+    WHERE c_nationkey % 3 = 1 AND c_nationkey % 2 = 0 GROUP BY 1""",
+)
+def catalog_point_column(spark, folder):
+    return _customer_catalog(spark, folder).point_columns()

@@ -72,7 +72,7 @@ if __name__ == "__main__":
     suite.load()
     folder = SF_DIR
     names = sys.argv[1:] or list(suite.QUERIES)
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     picked = [n for n in suite.QUERIES if any(n == p or (p.endswith("*") and n.startswith(p[:-1])) for p in names)]
