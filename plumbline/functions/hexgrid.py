@@ -34,9 +34,17 @@ def _nearest(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def cell_of(x: Column, y: Column, resolution: int, origin: tuple[float, float] = ORIGIN) -> Column:
-    """BIGINT id of the cell holding (x, y): axial coordinates, then cube rounding."""
-    edge = edge_of(resolution)
+def cell_of(
+    x: Column,
+    y: Column,
+    resolution: Column,
+    edge: Column,
+    origin: tuple[float, float] = ORIGIN,
+) -> Column:
+    """BIGINT id of the cell holding (x, y): axial coordinates, then cube rounding.
+
+    `edge` is the edge length of `resolution`; both may be literals or columns.
+    """
     dx, dy = x - origin[0], y - origin[1]
     q = (dx * (SQRT3 / 3.0) - dy / 3.0) / edge
     r = (dy * (2.0 / 3.0)) / edge
@@ -46,7 +54,7 @@ def cell_of(x: Column, y: Column, resolution: int, origin: tuple[float, float] =
     fix_q = (off_q > off_r) & (off_q > off_s)
     cq = F.when(fix_q, -nr - ns).otherwise(nq)
     cr = F.when(~fix_q & (off_r > off_s), -nq - ns).otherwise(nr)
-    return F.lit(resolution << 56) + (cq + _OFFSET) * F.lit(_SPAN) + (cr + _OFFSET)
+    return F.shiftleft(resolution.cast("bigint"), 56) + (cq + _OFFSET) * F.lit(_SPAN) + (cr + _OFFSET)
 
 
 def axial(cell: Column) -> tuple[Column, Column]:

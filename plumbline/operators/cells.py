@@ -23,35 +23,30 @@ def checked_resolutions(resolutions: Sequence[int]) -> list[int]:
     return out
 
 
-def _cells(x: Column, y: Column, resolutions: Sequence[int]) -> Column:
-    return F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(r).alias("resolution"), cell_of(x, y, r).alias("cell"))
-                for r in resolutions
-            ]
-        )
+def _at_resolutions(df: DataFrame, x: Column, y: Column, resolutions: Sequence[int], *keep: str) -> DataFrame:
+    """Rows repeated per resolution with the (resolution, cell) they fall in."""
+    sizes = F.array(
+        *[
+            F.struct(F.lit(r).alias("resolution"), F.lit(edge_of(r)).alias("edge"))
+            for r in resolutions
+        ]
     )
+    spread = df.select(x.alias("x"), y.alias("y"), *keep, F.inline(sizes))
+    cell = cell_of(F.col("x"), F.col("y"), F.col("resolution"), F.col("edge"))
+    return spread.select("resolution", cell.alias("cell"), *keep)
 
 
 def cell_counts(df: DataFrame, point: str, resolutions: Sequence[int]) -> DataFrame:
     """(resolution, cell, observed); rows without a point are skipped."""
     p = F.col(point)
-    return (
-        df.filter(p.isNotNull())
-        .select(_cells(p["x"], p["y"], resolutions))
-        .groupBy("resolution", "cell")
-        .agg(F.count(F.lit(1)).alias("observed"))
-    )
+    placed = _at_resolutions(df.filter(p.isNotNull()), p["x"], p["y"], resolutions)
+    return placed.groupBy("resolution", "cell").agg(F.count(F.lit(1)).alias("observed"))
 
 
 def cell_exposure(grid: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     """(resolution, cell, weight) from an (x, y, weight) grid."""
-    return (
-        grid.select("weight", _cells(F.col("x"), F.col("y"), resolutions))
-        .groupBy("resolution", "cell")
-        .agg(F.sum("weight").alias("weight"))
-    )
+    placed = _at_resolutions(grid, F.col("x"), F.col("y"), resolutions, "weight")
+    return placed.groupBy("resolution", "cell").agg(F.sum("weight").alias("weight"))
 
 
 def split_cells(counts: DataFrame, exposure: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def uncovered_names(merged: DataFrame, names: DataFrame) -> DataFrame:
     texts = merged.select("dataset", text.alias("text"))
     other = (
         names.filter(~F.col("name").rlike(_PLAIN_NAME)).alias("n")
-        .join(texts.alias("t"), (F.col("n.dataset") == F.col("t.dataset")) & F.col("t.text").rlike(around), "left_anti")
+        .join(texts.alias("t"), (F.col("n.dataset") == F.col("t.dataset")) & F.regexp_like(F.col("t.text"), around), "left_anti")
     )
     return plain.unionByName(other)
 

@@ -264,16 +264,27 @@ def hashed_redraws(
     if exposure.count() > VECTOR_UNITS:
         raise ValueError("too many units for per-event redraws; use null_statistics")
     upto = Window.orderBy(F.col("key").asc_nulls_last())
-    edges = (
-        exposure.withColumn("hi", F.sum("weight").over(upto))
-        .agg(F.array_sort(F.collect_list(F.struct("hi", "key"))).alias("edges"))
+    everyone = Window.partitionBy()
+    spans = exposure.select(
+        "key",
+        (F.sum("weight").over(upto) - F.col("weight")).alias("lo"),
+        F.sum("weight").over(upto).alias("hi"),
+        F.sum("weight").over(everyone).alias("total"),
+    )
+    # A draw meets the few units whose span touches its slice of [0, 1), by equality of the slice.
+    slices = 1024
+    first = F.floor(F.col("lo") / F.col("total") * slices) - 1
+    last = F.floor(F.col("hi") / F.col("total") * slices) + 1
+    sliced = spans.select(
+        F.col("key").alias("unit"), "lo", "hi", "total", F.explode(F.sequence(first, last)).alias("slice")
     )
     text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))
     uniform = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    redrawn = events.select(
-        key,
-        edges.scalar().alias("edges"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-    ).withColumn("u", uniform * F.element_at("edges", -1)["hi"])
-    unit = F.element_at(F.filter("edges", lambda e: e["hi"] > F.col("u")), 1)["key"]
-    return redrawn.groupBy("replicate", unit.alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    draws = (
+        events.select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        .select("replicate", uniform.alias("u"))
+        .withColumn("slice", F.floor(F.col("u") * slices))
+    )
+    at = F.col("u") * F.col("total")
+    picked = draws.join(sliced, "slice").filter((at >= F.col("lo")) & (at < F.col("hi")))
+    return picked.groupBy("replicate", "unit").agg(F.count(F.lit(1)).alias("n"))

@@ -23,6 +23,7 @@ from plumbline.operators.sessions import (
 from plumbline.session import settle
 from plumbline.sources.tables import path_exists
 
+_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 _HEADS = "session_id string, next_seq bigint, started boolean, sealed boolean, batch bigint"
 _CALLS = "session_id string, tool_use_id string, id string, seq bigint, batch bigint"
 _NODES = (
@@ -36,11 +37,16 @@ _PARTS = (
 )
 
 
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Messages as JSON lines with full timestamps."""
+    messages.write.option("timestampNTZFormat", _TIME).json(path)
+
+
 def read_messages(
     spark: SparkSession, path: str, max_files: int | None = None
 ) -> DataFrame:
     """Stream of JSON-lines message files."""
-    reader = spark.readStream.schema(MESSAGE_SCHEMA)
+    reader = spark.readStream.schema(MESSAGE_SCHEMA).option("timestampNTZFormat", _TIME)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
