@@ -30,10 +30,6 @@ def edge_of(resolution: int) -> float:
     return EDGE_METRES[resolution]
 
 
-def _nearest(value: Column) -> Column:
-    return F.floor(value + 0.5)
-
-
 def cell_of(
     x: Column,
     y: Column,
@@ -41,20 +37,24 @@ def cell_of(
     edge: Column,
     origin: tuple[float, float] = ORIGIN,
 ) -> Column:
-    """BIGINT id of the cell holding (x, y): axial coordinates, then cube rounding.
+    """BIGINT id of the cell holding (x, y), NULL without coordinates.
 
+    Centres form two rectangular lattices, one shifted by half a step both ways. In steps of the
+    first one (u along x, v along y) its nearest centre is also the nearest of all exactly when
+    |u - round(u)| + 3 |v - round(v)| <= 1; else the shifted lattice's centre around the point is.
     `edge` is the edge length of `resolution`; both may be literals or columns.
     """
-    dx, dy = x - origin[0], y - origin[1]
-    q = (dx * (SQRT3 / 3.0) - dy / 3.0) / edge
-    r = (dy * (2.0 / 3.0)) / edge
-    s = -q - r
-    nq, nr, ns = _nearest(q), _nearest(r), _nearest(s)
-    off_q, off_r, off_s = F.abs(nq - q), F.abs(nr - r), F.abs(ns - s)
-    fix_q = (off_q > off_r) & (off_q > off_s)
-    cq = F.when(fix_q, -nr - ns).otherwise(nq)
-    cr = F.when(~fix_q & (off_r > off_s), -nq - ns).otherwise(nr)
-    return F.shiftleft(resolution.cast("bigint"), 56) + (cq + _OFFSET) * F.lit(_SPAN) + (cr + _OFFSET)
+    u = (x - origin[0]) / (edge * SQRT3)
+    v = (y - origin[1]) / (edge * 3.0)
+    i, j = F.floor(u + 0.5), F.floor(v + 0.5)
+    a, b = F.floor(u), F.floor(v)
+
+    def packed(q: Column, r: Column) -> Column:
+        return (q + _OFFSET) * F.lit(_SPAN) + (r + _OFFSET)
+
+    near = F.abs(u - i) + F.abs(v - j) * 3.0 <= 1.0
+    place = F.when(near, packed(i - j, j * 2)).otherwise(packed(a - b, b * 2 + 1))
+    return F.shiftleft(resolution.cast("bigint"), 56) + place
 
 
 def axial(cell: Column) -> tuple[Column, Column]:

@@ -24,29 +24,41 @@ def checked_resolutions(resolutions: Sequence[int]) -> list[int]:
 
 
 def _at_resolutions(df: DataFrame, x: Column, y: Column, resolutions: Sequence[int], *keep: str) -> DataFrame:
-    """Rows repeated per resolution with the (resolution, cell) they fall in."""
+    """Rows repeated per resolution with the (resolution, cell) they fall in.
+
+    Rows without coordinates get cell -1 and `known` false. They are sorted out after the counting,
+    where a filter is cheap, and not before, where it would repeat the caller's point formula.
+    """
     sizes = F.array(
         *[
             F.struct(F.lit(r).alias("resolution"), F.lit(edge_of(r)).alias("edge"))
             for r in resolutions
         ]
     )
-    spread = df.select(x.alias("x"), y.alias("y"), *keep, F.inline(sizes))
     cell = cell_of(F.col("x"), F.col("y"), F.col("resolution"), F.col("edge"))
-    return spread.select("resolution", cell.alias("cell"), *keep)
+    x_known, y_known = F.col("x").isNotNull(), F.col("y").isNotNull()
+    # The constant makes the id non-nullable: a join on it then needs no filter of its own, which
+    # would work the formula out a second time.
+    return df.select(x.alias("x"), y.alias("y"), *keep).select("*", F.inline(sizes)).select(
+        "resolution", F.coalesce(cell, F.lit(-1)).alias("cell"), (x_known & y_known).alias("known"), *keep
+    )
 
 
 def cell_counts(df: DataFrame, point: str, resolutions: Sequence[int]) -> DataFrame:
-    """(resolution, cell, observed); rows without a point are skipped."""
+    """(resolution, cell, observed); rows without a point or coordinates are skipped."""
     p = F.col(point)
     placed = _at_resolutions(df.filter(p.isNotNull()), p["x"], p["y"], resolutions)
-    return placed.groupBy("resolution", "cell").agg(F.count(F.lit(1)).alias("observed"))
+    counts = placed.groupBy("resolution", "cell").agg(F.count_if("known").alias("observed"))
+    return counts.filter(F.col("observed") > 0)
 
 
 def cell_exposure(grid: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     """(resolution, cell, weight) from an (x, y, weight) grid."""
     placed = _at_resolutions(grid, F.col("x"), F.col("y"), resolutions, "weight")
-    return placed.groupBy("resolution", "cell").agg(F.sum("weight").alias("weight"))
+    summed = placed.groupBy("resolution", "cell").agg(
+        F.sum("weight").alias("weight"), F.bool_or("known").alias("known")
+    )
+    return summed.filter("known").drop("known")
 
 
 def split_cells(counts: DataFrame, exposure: DataFrame) -> DataFrame:

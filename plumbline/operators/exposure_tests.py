@@ -49,6 +49,13 @@ def join_exposure(counts: DataFrame, exposure: DataFrame) -> DataFrame:
     )
 
 
+def distinct_exposure(exposure: DataFrame) -> DataFrame:
+    """(key, weight, copies): one row per key; more than one copy is an ambiguous declaration."""
+    return exposure.groupBy("key").agg(
+        F.max("weight").alias("weight"), F.count(F.lit(1)).alias("copies")
+    )
+
+
 def uniform_exposure(counts: DataFrame) -> DataFrame:
     return counts.withColumn("weight", F.lit(1.0))
 

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.local import inline_rows
 from plumbline.functions.stats import ratio, sample_skewness
-from plumbline.operators.quantiles import MAP_ROWS, PROFILE_PROBS, exact_quantiles
+from plumbline.operators.quantiles import (
+    MAP_ROWS,
+    PROFILE_PROBS,
+    cut_points,
+    exact_quantiles,
+    quantiles_by_slots,
+)
 
+_NAMES = ("p5", "p25", "median", "p75", "p95")
 _MOMENTS = "n bigint, known bigint, min double, max double, mean double, std double, skewness double, zeros bigint"
 
 
-def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, known, min, max, mean, std, skewness, zeros), one scan for all columns."""
+def _moments(columns: Sequence[str]) -> list:
     per_column = []
     for c in columns:
         v = F.col(c).cast("double")
@@ -32,7 +38,12 @@ def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.count_if(v == 0).alias("zeros"),
             )
         )
-    return df.agg(F.array(*per_column).alias("m")).select(F.inline("m"))
+    return per_column
+
+
+def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, known, min, max, mean, std, skewness, zeros), one scan for all columns."""
+    return df.agg(F.array(*_moments(columns)).alias("m")).select(F.inline("m"))
 
 
 def outliers_3sigma(df: DataFrame, moments: list) -> DataFrame:
@@ -49,7 +60,7 @@ def outliers_3sigma(df: DataFrame, moments: list) -> DataFrame:
             else F.lit(0).cast("bigint")
         )
         counts.append(F.struct(F.lit(m["column"]).alias("column"), far.alias("outliers")))
-    # max() over a literal keeps an all-constant list a valid aggregate.
+    # The count keeps this an aggregate where every column is constant.
     return df.agg(F.array(*counts).alias("o"), F.count(F.lit(1))).select(F.inline("o"))
 
 
@@ -69,27 +80,31 @@ def numeric_profile(
 ) -> DataFrame:
     """One row per column with every numeric measure.
 
-    The moments are one row per column and are collected once: they bound the outlier pass and
-    tell whether the input is small enough for the single-pass quantiles.
+    The first pass takes the moments and the cut points for the quantiles together. They are one
+    small row per column and are collected: they bound the outlier pass and tell whether the
+    input is small enough for single-pass quantiles.
     """
     columns = list(columns)
-    moments = numeric_moments(df, columns).collect()
-    rows = max((m["n"] for m in moments), default=0)
-    known = inline_rows(
-        df.sparkSession, f"column string, {_MOMENTS}", [tuple(m) for m in moments]
-    )
-    quantiles = (
-        exact_quantiles(df, columns, PROFILE_PROBS, map_rows, rows)
-        .groupBy("column")
-        .agg(
-            *[
-                F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-                for p, name in zip(PROFILE_PROBS, ("p5", "p25", "median", "p75", "p95"))
-            ]
-        )
+    spark = df.sparkSession
+    first = df.agg(
+        F.array(*_moments(columns)).alias("moments"),
+        *[cut_points(F.col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(columns)],
+    ).first()
+    moments = first["moments"]
+    known = inline_rows(spark, f"column string, {_MOMENTS}", [tuple(m) for m in moments])
+    if max(m["n"] for m in moments) <= map_rows:
+        quantiles = exact_quantiles(df, columns, PROFILE_PROBS, map_rows, 0)
+    else:
+        bounds = [first[f"b{i}"] for i in range(len(columns))]
+        quantiles = quantiles_by_slots(df, columns, PROFILE_PROBS, bounds)
+    wide = quantiles.groupBy("column").agg(
+        *[
+            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
+            for p, name in zip(PROFILE_PROBS, _NAMES)
+        ]
     )
     return (
-        known.join(quantiles, "column")
+        known.join(wide, "column")
         .join(outliers_3sigma(df, moments), "column")
         .select(
             "column", "n", "min", "max", "mean", "median", "p5", "p25", "p75", "p95",

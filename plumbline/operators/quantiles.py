@@ -41,7 +41,10 @@ def exact_quantiles(
     n = df.count() if rows is None else rows
     if n <= map_rows:
         return _by_map(df, columns, probs)
-    return _by_slots(df, columns, probs)
+    bounds = df.agg(
+        *[cut_points(F.col(c).cast("double"), probs).alias(f"b{i}") for i, c in enumerate(columns)]
+    ).first()
+    return quantiles_by_slots(df, columns, probs, bounds)
 
 
 def _by_map(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -63,37 +66,37 @@ def _by_map(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _slot(value: Column, edges: list[float]) -> Column:
-    """gap * _SLOTS + slot inside the gap; both parts never decrease with the value."""
-    code = F.lit(0)
-    for gap in range(len(edges) - 1):
-        left, right = edges[gap], edges[gap + 1]
-        width = right - left
-        inside = (
-            F.least(F.floor((value - left) / F.lit(width) * _SLOTS), F.lit(_SLOTS - 1))
-            if width > 0 and math.isfinite(width)
-            else F.lit(0)
-        )
-        code = F.when(value >= left, gap * _SLOTS + inside).otherwise(code)
-    return code.cast("int")
+def cut_points(value: Column, probs: Sequence[float] = PROFILE_PROBS) -> Column:
+    """Aggregate: struct(n, lo, hi, cuts) that the narrowing path starts from."""
+    around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_MARGIN, _MARGIN)})
+    return F.struct(
+        F.count(value).alias("n"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
+        F.percentile_approx(value, around, _ACCURACY).alias("cuts"),
+    )
 
 
-def _by_slots(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+def _slot(edges: list[float]) -> str:
+    """SQL for gap * _SLOTS + slot inside the gap of `v`; both parts never decrease with v."""
+    cases = []
+    for gap in reversed(range(len(edges) - 1)):
+        left, width = edges[gap], edges[gap + 1] - edges[gap]
+        left_sql, width_sql = (f"CAST('{x!r}' AS DOUBLE)" for x in (left, width))
+        inside = "0"
+        if width > 0 and math.isfinite(width):
+            inside = f"LEAST(FLOOR((v - {left_sql}) / {width_sql} * {_SLOTS}), {_SLOTS - 1})"
+        cases.append(f"WHEN v >= {left_sql} THEN {gap * _SLOTS} + {inside}")
+    return f"CAST(CASE {' '.join(cases)} ELSE 0 END AS INT)"
+
+
+def quantiles_by_slots(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], bounds: Sequence
+) -> DataFrame:
+    """The narrowing path; `bounds` are the collected `cut_points` of the columns, in order."""
+    columns, probs = list(columns), list(probs)
     spark = df.sparkSession
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_MARGIN, _MARGIN)})
     value = [F.col(c).cast("double") for c in columns]
-    bounds = df.agg(
-        *[
-            F.struct(
-                F.count(v).alias("n"),
-                F.min(v).alias("lo"),
-                F.max(v).alias("hi"),
-                F.percentile_approx(v, [float(p) for p in cuts], _ACCURACY).alias("cuts"),
-            ).alias(f"b{i}")
-            for i, v in enumerate(value)
-        ]
-    ).first()
-
     edges: dict[int, list[float]] = {}
     ranks: list[tuple[int, float, int, float]] = []
     for i in range(len(columns)):
@@ -109,28 +112,27 @@ def _by_slots(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
             ranks.append((i, p, low, position - low))
     empty = [(c, p) for i, c in enumerate(columns) if i not in edges for p in probs]
 
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("c"), value[i].alias("v"), _slot(value[i], e).alias("slot")
-                    )
-                    for i, e in edges.items()
-                ]
-            )
-        )
-    ).filter(F.col("v").isNotNull()) if edges else None
+    # One narrow scan per column, which reads the same bytes of a columnar file as one wide scan and
+    # keeps the generated code of each small.
+    def long(keep: dict[int, list[int]] | None = None) -> DataFrame:
+        rows = None
+        for i, e in edges.items():
+            part = df.select(F.lit(i).alias("c"), value[i].alias("v")).filter(F.col("v").isNotNull())
+            part = part.withColumn("slot", F.expr(_slot(e)))
+            if keep is not None:
+                part = part.filter(F.col("slot").isin(keep[i]))
+            rows = part if rows is None else rows.unionByName(part)
+        return rows
 
     out = inline_rows(
         spark, "column string, prob double, quantile double", [(c, p, None) for c, p in empty]
     )
-    if long is None:
+    if not edges:
         return out
 
     # Slot counts are at most (cuts + 1) * _SLOTS rows per column, whatever the table size.
     counts: dict[int, list[tuple[int, int]]] = {}
-    for row in long.groupBy("c", "slot").count().collect():
+    for row in long().groupBy("c", "slot").count().collect():
         counts.setdefault(row["c"], []).append((row["slot"], row["count"]))
     wanted: dict[tuple[int, int], set[int]] = {}
     plan = []
@@ -141,13 +143,10 @@ def _by_slots(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         for slot, offset in (first, second):
             wanted.setdefault((i, slot), set()).add(offset)
 
-    in_wanted = F.lit(False)
-    for i in edges:
-        slots = [slot for c, slot in wanted if c == i]
-        in_wanted = in_wanted | ((F.col("c") == i) & F.col("slot").isin(slots))
+    slots = {i: [slot for c, slot in wanted if c == i] for i in edges}
     upto = Window.partitionBy("c", "slot").orderBy("v")
     ranked = (
-        long.filter(in_wanted)
+        long(slots)
         .groupBy("c", "slot", "v")
         .count()
         .withColumn("last", F.sum("count").over(upto))

@@ -145,8 +145,9 @@ def linked(nodes: DataFrame) -> DataFrame:
 
 
 def build_nodes(messages: DataFrame) -> DataFrame:
-    """Messages to nodes. The numbered table is settled, so payloads are parsed a fixed two times."""
-    return linked(settle(numbered(flatten_messages(messages))))
+    """Messages to nodes. Flattened nodes are settled, so payloads are parsed once and the passes
+    that number and link them read only key columns where they can."""
+    return linked(numbered(settle(flatten_messages(messages))))
 
 
 def with_custom_nodes(flat: DataFrame, custom: DataFrame) -> DataFrame:

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.stats import pseudo_p, std_excess
 from plumbline.operators.exposure_tests import (
     DEFAULT_REPLICATES,
     argmax_units,
     bad_weights,
     clamp_replicates,
-    join_exposure,
-    missing_exposure,
+    distinct_exposure,
     null_statistics,
     uniform_exposure,
     unit_counts,
-    with_expected,
 )
 from plumbline.session import settle
 from plumbline.sources.catalog import Catalog
@@ -71,25 +70,43 @@ def concentration_test(
     if unit not in df.columns:
         raise ValueError(f"no such column: {unit!r}")
     replicates = clamp_replicates(replicates)
-    counts = settle(unit_counts(df, unit))  # the data is scanned once
+    counts = unit_counts(df, unit)
     if uniform:
-        exposed, model = uniform_exposure(counts), "uniform:declared"
+        exposed, model = uniform_exposure(counts).withColumn("copies", F.lit(1)), "uniform:declared"
     elif exposure is None:
-        _require_rows(counts)
+        counts = settle(counts)
+        if counts.isEmpty():
+            raise ValueError("no rows: nothing to test")
         return abstention(counts, unit)
     else:
-        repeated = exposure.groupBy("key").count().filter(F.col("count") > 1)
-        _reject(repeated, "key", "repeated exposure keys")
-        exposed, model = join_exposure(counts, exposure), f"declared:{model or 'exposure'}"
-    _require_rows(counts)
-    if exposure is not None and not uniform:
-        _reject(missing_exposure(counts, exposure), "unit", "units without declared exposure")
-        _reject(bad_weights(exposed), "unit", "zero or negative exposure")
-
-    tested = settle(with_expected(exposed))
-    best = argmax_units(tested).collect()  # two rows
-    most, raw = best
-    n_units = tested.count()
+        declared = distinct_exposure(exposure).alias("e")
+        exposed = counts.alias("c").join(declared, F.expr("c.unit <=> e.key"), "left").select(
+            "c.unit", "c.observed", "e.weight", "e.copies"
+        )
+        model = f"declared:{model or 'exposure'}"
+    exposed = settle(exposed)  # the data is scanned once, all further steps read units
+    seen = exposed.agg(
+        F.count(F.lit(1)).alias("units"),
+        F.sum("observed").alias("total"),
+        F.sum("weight").alias("weight"),
+        F.count_if(F.col("weight").isNull()).alias("missing"),
+        F.count_if(F.col("weight") <= 0).alias("bad"),
+        F.count_if(F.col("copies") > 1).alias("repeated"),
+    ).first()
+    if not seen["units"]:
+        raise ValueError("no rows: nothing to test")
+    if seen["missing"]:
+        _reject(exposed.filter(F.col("weight").isNull()), "units without declared exposure")
+    if seen["bad"]:
+        _reject(bad_weights(exposed), "zero or negative exposure")
+    if seen["repeated"]:
+        _reject(exposed.filter(F.col("copies") > 1), "repeated exposure keys")
+
+    n_units, n_total = seen["units"], seen["total"]
+    expected = F.lit(n_total) * (F.col("weight") / F.lit(seen["weight"]))
+    tested = exposed.withColumn("n_total", F.lit(n_total)).withColumn("expected", expected)
+    tested = tested.withColumn("z", std_excess(F.col("observed").cast("double"), F.col("expected")))
+    most, raw = argmax_units(tested).collect()  # two rows
     units = tested.select(
         F.lit(0).cast("bigint").alias("group"),
         "unit", "weight", "expected", "n_total",
@@ -97,10 +114,9 @@ def concentration_test(
     )
     nulls = null_statistics(units, replicates, seed, n_units)
     p = nulls.agg(
-        ((F.count_if(F.col("max_z") >= most["z"]) + 1) / (F.count(F.lit(1)) + 1)).alias("most_p"),
-        ((F.count_if(F.col("fixed_z") >= raw["z"]) + 1) / (F.count(F.lit(1)) + 1)).alias("raw_p"),
+        pseudo_p(F.col("max_z"), F.lit(most["z"])).alias("most_p"),
+        pseudo_p(F.col("fixed_z"), F.lit(raw["z"])).alias("raw_p"),
     )
-    n_total = tested.select("n_total").first()["n_total"]
 
     def shown(value, digits):
         value = value if not isinstance(value, float) else F.lit(value)
@@ -144,12 +160,6 @@ def declared_concentration_test(
     return concentration_test(df, unit, exposure, declared["path"].rsplit("/", 1)[-1], **options)
 
 
-def _require_rows(counts: DataFrame) -> None:
-    if counts.isEmpty():
-        raise ValueError("no rows: nothing to test")
-
-
-def _reject(bad: DataFrame, column: str, message: str) -> None:
-    shown = [r[0] for r in bad.select(column).limit(_SHOWN).collect()]  # for the message only
-    if shown:
-        raise ValueError(f"{message}: {shown}")
+def _reject(bad: DataFrame, message: str) -> None:
+    shown = [r["unit"] for r in bad.select("unit").limit(_SHOWN).collect()]  # for the message only
+    raise ValueError(f"{message}: {shown}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.sources.local import inline_rows
+from plumbline.functions.stats import std_excess
 from plumbline.operators.cells import (
     cell_counts,
     cell_exposure,
@@ -23,7 +24,6 @@ from plumbline.operators.exposure_tests import (
     clamp_replicates,
     null_statistics,
     pseudo_p_values,
-    with_expected,
 )
 from plumbline.session import settle
 from plumbline.sources.catalog import Catalog
@@ -42,69 +42,73 @@ CAVEATS = (
 def cell_tests(
     cells: DataFrame, resolutions: Sequence[int], replicates: int, seed: int, srid: int = 2056
 ) -> DataFrame:
-    """One row per resolution from a settled `split_cells` table."""
-    tested = settle(
-        with_expected(
-            cells.filter("testable").withColumnRenamed("cell", "unit"), "resolution"
-        )
-    )
+    """One row per resolution from a settled `split_cells` table.
+
+    Totals and peaks are one row per resolution (at most 16) and are collected; the cells
+    themselves go from the table straight to the replicates.
+    """
     spark = cells.sparkSession
-    peaks = (
-        argmax_units(tested, "resolution")
-        .filter(F.col("subject") == "most_concentrated")
-        .select(
+    tested_observed = F.sum(F.when(F.col("testable"), F.col("observed")))
+    totals = (
+        unpopulated(cells)
+        .join(
+            cells.groupBy("resolution").agg(
+                F.count_if("testable").alias("tested"),
+                tested_observed.alias("n_total"),
+                F.sum(F.when(F.col("testable"), F.col("weight"))).alias("w"),
+            ),
             "resolution",
-            F.col("unit").alias("cell"),
-            F.col("z").alias("t"),
         )
+        .collect()
     )
-    sizes = tested.groupBy("resolution").agg(
-        F.count(F.lit(1)).alias("n_cells_tested"), F.sum("observed").alias("n_total_tested")
+    known = inline_rows(
+        spark,
+        "resolution int, n_total bigint, _w double",
+        [(t["resolution"], t["n_total"], t["w"]) for t in totals if t["tested"]],
     )
-    n_units = tested.count()
+    expected = F.col("n_total") * (F.col("weight") / F.col("_w"))
+    tested = (
+        cells.filter("testable")
+        .join(F.broadcast(known), "resolution")  # at most 16 rows
+        .withColumnRenamed("cell", "unit")
+        .withColumn("expected", expected)
+        .withColumn("z", std_excess(F.col("observed").cast("double"), F.col("expected")))
+    )
+    n_units = sum(t["tested"] for t in totals)
+    found: dict[int, dict] = {}
     if n_units:
-        nulls = null_statistics(
-            tested.select(
-                F.col("resolution").cast("bigint").alias("group"),
-                "unit", "weight", "expected", "n_total", F.lit(False).alias("fixed"),
-            ),
-            replicates, seed, n_units,
+        peaks = argmax_units(tested, "resolution").filter(F.col("subject") == "most_concentrated")
+        peaks = with_centres(peaks.withColumnRenamed("unit", "cell"), srid).collect()
+        found = {p["resolution"]: p.asDict() for p in peaks}
+        units = tested.select(
+            F.col("resolution").cast("bigint").alias("group"),
+            "unit", "weight", "expected", "n_total", F.lit(False).alias("fixed"),
         )
-        p = pseudo_p_values(
-            nulls, peaks.select(F.col("resolution").cast("bigint").alias("group"), "t"), "max_z", "pseudo_p"
-        ).select(F.col("group").cast("int").alias("resolution"), "pseudo_p")
-    else:
-        p = inline_rows(spark, "resolution int, pseudo_p double", [])
-    every = inline_rows(spark, "resolution int", [(r,) for r in resolutions])
-    apart = unpopulated(cells).select(
-        "resolution",
-        F.col("n_cells").alias("unpopulated_cells"),
-        F.col("n_points").alias("unpopulated_points"),
-        F.col("share").alias("unpopulated_share"),
-    )
-    return (
-        every.join(sizes, "resolution", "left")
-        .join(with_centres(peaks, srid), "resolution", "left")
-        .join(p, "resolution", "left")
-        .join(apart, "resolution", "left")
-        .select(
-            "resolution",
-            *[
-                F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-                for c in ("n_cells_tested", "n_total_tested")
-            ],
-            F.col("cell").alias("peak_cell"),
-            F.col("lat").alias("peak_lat"),
-            F.col("lng").alias("peak_lng"),
-            F.col("t").alias("peak_std_excess"),
-            "pseudo_p",
-            F.coalesce(F.col("pseudo_p") <= SIGNIFICANCE, F.lit(False)).alias("significant"),
-            *[
-                F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-                for c in ("unpopulated_cells", "unpopulated_points")
-            ],
-            F.coalesce("unpopulated_share", F.lit(0.0)).alias("unpopulated_share"),
+        observed = inline_rows(spark, "group bigint, t double", [(r, p["z"]) for r, p in found.items()])
+        nulls = null_statistics(units, replicates, seed, n_units)
+        for row in pseudo_p_values(nulls, observed, "max_z", "pseudo_p").collect():
+            found[row["group"]]["pseudo_p"] = row["pseudo_p"]
+
+    counted = {t["resolution"]: t for t in totals}
+    rows = []
+    for r in resolutions:
+        t, peak = counted.get(r), found.get(r, {})
+        p = peak.get("pseudo_p")
+        rows.append(
+            (
+                r, t["tested"] if t else 0, (t["n_total"] or 0) if t else 0,
+                peak.get("cell"), peak.get("lat"), peak.get("lng"), peak.get("z"), p,
+                p is not None and p <= SIGNIFICANCE,
+                t["n_cells"] if t else 0, t["n_points"] if t else 0, t["share"] if t else 0.0,
+            )
         )
+    return inline_rows(
+        spark,
+        "resolution int, n_cells_tested bigint, n_total_tested bigint, peak_cell bigint,"
+        " peak_lat double, peak_lng double, peak_std_excess double, pseudo_p double,"
+        " significant boolean, unpopulated_cells bigint, unpopulated_points bigint,"
+        " unpopulated_share double",
+        rows,
     )
 
 
@@ -146,7 +150,7 @@ def scale_robustness(
     cells = settle(
         split_cells(cell_counts(points, point, resolutions), cell_exposure(grid, resolutions))
     )
-    per = settle(cell_tests(cells, resolutions, replicates, seed, srid))
+    per = cell_tests(cells, resolutions, replicates, seed, srid)
     verdict = scale_verdict(per).first()["verdict"]
 
     def shown(c, digits):

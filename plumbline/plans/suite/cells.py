@@ -29,16 +29,14 @@ _GRID = """(SELECT CAST(2480000 + (o_orderkey * 7919) % 360000 AS DOUBLE) + 50.0
 def cells_sql(source: str, aggregate: str) -> str:
     parts = []
     for r in RESOLUTIONS:
+        edge = f"{EDGE_METRES[r]!r}::DOUBLE"
         parts.append(
-            f"""SELECT {r} AS resolution, CAST({r << 56} AS BIGINT) + CAST(cq + {1 << 27} AS BIGINT) * {1 << 28} + CAST(cr + {1 << 27} AS BIGINT) AS cell, {aggregate}
-      FROM (SELECT *, CASE WHEN aq > ar AND aq > az THEN -nr - nz ELSE nq END AS cq,
-          CASE WHEN NOT (aq > ar AND aq > az) AND ar > az THEN -nq - nz ELSE nr END AS cr
-        FROM (SELECT *, abs(nq - q) AS aq, abs(nr - r) AS ar, abs(nz - z) AS az
-          FROM (SELECT *, floor(q + 0.5::DOUBLE) AS nq, floor(r + 0.5::DOUBLE) AS nr, floor(z + 0.5::DOUBLE) AS nz
-            FROM (SELECT *, -q - r AS z
-              FROM (SELECT *, (dx * {SQRT3 / 3.0!r}::DOUBLE - dy / 3.0::DOUBLE) / {EDGE_METRES[r]!r}::DOUBLE AS q,
-                  (dy * {2.0 / 3.0!r}::DOUBLE) / {EDGE_METRES[r]!r}::DOUBLE AS r
-                FROM (SELECT *, x - {ORIGIN[0]!r}::DOUBLE AS dx, y - {ORIGIN[1]!r}::DOUBLE AS dy FROM {source}))))))
+            f"""SELECT {r} AS resolution, CAST({r << 56} AS BIGINT) + CAST(q + {1 << 27} AS BIGINT) * {1 << 28} + CAST(r + {1 << 27} AS BIGINT) AS cell, {aggregate}
+      FROM (SELECT *, CASE WHEN near THEN i - j ELSE floor(u) - floor(v) END AS q, CASE WHEN near THEN 2 * j ELSE 2 * floor(v) + 1 END AS r
+        FROM (SELECT *, abs(u - i) + abs(v - j) * 3.0::DOUBLE <= 1.0::DOUBLE AS near
+          FROM (SELECT *, floor(u + 0.5::DOUBLE) AS i, floor(v + 0.5::DOUBLE) AS j
+            FROM (SELECT *, (x - {ORIGIN[0]!r}::DOUBLE) / ({edge} * {SQRT3!r}::DOUBLE) AS u,
+                (y - {ORIGIN[1]!r}::DOUBLE) / ({edge} * 3.0::DOUBLE) AS v FROM {source}))))
       GROUP BY 1, 2"""
         )
     return "(" + " UNION ALL ".join(parts) + ")"

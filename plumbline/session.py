@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once into the shared folder so later jobs do not scan its inputs again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute `df` once, as a Parquet table in the shared folder, and go on from there.
+
+    This cuts the lineage without depending on any executor's memory or disk. The table brings its
+    size, so later joins are planned on facts, and its readers load only the columns they need.
+    Tables lie below the application's id, to be removed with the application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
