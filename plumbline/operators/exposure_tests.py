@@ -202,10 +202,15 @@ def _replicates_by_block(
     totals = grid.mapInPandas(
         split, "group bigint, block int, chunk bigint, replicate bigint, n bigint"
     )
-    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))).cast("bigint")
-    cells = marked.select("group", "block", chunks.alias("chunk"), "weight", "expected", "fixed")
+    last_chunk = F.lit((replicates - 1) // chunk).cast("bigint")
+    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
+    cells = marked.select(
+        "group", "block", chunks.alias("chunk"), F.col("unit").cast("string").alias("unit"),
+        "weight", "expected", "fixed",
+    )
 
     def redraw(key, cells: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("unit")  # the draw must not depend on the arrival order
         p = cells["weight"].to_numpy(dtype=float)
         p = p / p.sum()
         expected = cells["expected"].to_numpy(dtype=float)
