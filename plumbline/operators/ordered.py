@@ -17,26 +17,22 @@ from pyspark.sql import functions as F
 BUCKET_WIDTH = 1 << 16
 
 
-def order_bucket(position: Column, width: int = BUCKET_WIDTH) -> Column:
-    """Bucket number that never decreases along an integer position."""
-    return F.floor(position / F.lit(width)).cast("bigint")
+def _cut(df: DataFrame, position: str, width: int) -> DataFrame:
+    """Add `_bucket`, which never decreases along an integer column."""
+    return df.withColumn("_bucket", F.expr(f"`{position}` div {width}"))
 
 
-def _carried(df: DataFrame, keys: Sequence[str], carry: Column, over: str) -> DataFrame:
-    """One row per (keys, bucket) with `carry` combined over all earlier buckets."""
+def _carried(df: DataFrame, keys: Sequence[str], carry: Column, combine) -> DataFrame:
+    """One row per (keys, bucket) with `carry` combined over all earlier buckets.
+
+    The window runs over bucket rows only: a group of 10^12 dense positions has 1.5 * 10^7 of them
+    at the default width. Take a larger width where positions are sparse.
+    """
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    combine = {
-        "sum": lambda c: F.sum(c).over(before),
-        "max": lambda c: F.max(c).over(before),
-        "last": lambda c: F.last(c, ignorenulls=True).over(before),
-    }[over]
-    return (
-        df.groupBy(*keys, "_bucket")
-        .agg(carry.alias("_own"))
-        .select(*keys, "_bucket", combine(F.col("_own")).alias("_carry"))
-    )
+    own = df.groupBy(*keys, "_bucket").agg(carry.alias("_own"))
+    return own.select(*keys, "_bucket", combine(F.col("_own"), before).alias("_carry"))
 
 
 def running_number(
@@ -47,8 +43,8 @@ def running_number(
     width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """row_number() per `keys` along `order`; the first order column must be an integer."""
-    cut = df.withColumn("_bucket", order_bucket(F.col(order[0]), width))
-    carried = _carried(cut, keys, F.count(F.lit(1)), "sum")
+    cut = _cut(df, order[0], width)
+    carried = _carried(cut, keys, F.count(F.lit(1)), lambda c, w: F.sum(c).over(w))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
         cut.join(carried, [*keys, "_bucket"])
@@ -57,50 +53,30 @@ def running_number(
     )
 
 
-def running_max_before(
+def running_max(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     value: str,
     name: str,
     width: int = BUCKET_WIDTH,
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Largest `value` among the earlier rows of the group, NULL on its first row."""
-    cut = df.withColumn("_bucket", order_bucket(F.col(order[0]), width))
-    carried = _carried(cut, keys, F.max(value), "max")
-    window = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # greatest() skips NULL, so the first row of a bucket takes the carried value alone.
-    return (
-        cut.join(carried, [*keys, "_bucket"])
-        .withColumn(name, F.greatest(F.max(value).over(window), F.col("_carry")))
-        .drop("_bucket", "_carry")
-    )
-
+    """Largest `value` among the earlier rows of the group (and the row itself if `inclusive`).
 
-def running_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str,
-    width: int = BUCKET_WIDTH,
-) -> DataFrame:
-    """Latest non-null `value` up to and including each row (as-of lookup within a group)."""
-    cut = df.withColumn("_bucket", order_bucket(F.col(order[0]), width))
-    latest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
-    carried = _carried(cut, keys, latest, "last")
+    NULL where there is none. The latest of an increasing value is its maximum, so this also
+    answers as-of questions.
+    """
+    cut = _cut(df, order[0], width)
+    carried = _carried(cut, keys, F.max(value), lambda c, w: F.max(c).over(w))
     window = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    local = F.last(F.col(value), ignorenulls=True).over(window)
+    # greatest() skips NULL: at the start of a bucket only the carried value counts.
     return (
         cut.join(carried, [*keys, "_bucket"])
-        .withColumn(name, F.coalesce(local, F.col("_carry")))
+        .withColumn(name, F.greatest(F.max(value).over(window), F.col("_carry")))
         .drop("_bucket", "_carry")
     )

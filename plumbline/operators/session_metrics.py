@@ -21,7 +21,7 @@ from plumbline.functions.text import (
     spaced_json_length,
 )
 from plumbline.operators.extraction import parsed_turns
-from plumbline.operators.ordered import running_max_before, running_number
+from plumbline.operators.ordered import running_max, running_number
 
 _TOKENS = {
     "input_tokens": "input_tokens",
@@ -116,7 +116,7 @@ def interval_union_ms(intervals: DataFrame, keys: list[str], start: str, end: st
         .agg(F.max(micros(F.col(end))).alias("_to"))
     )
     # Buckets of a quarter hour of start time.
-    before = running_max_before(longest, keys, ["_from"], "_to", "_reached", 900_000_000)
+    before = running_max(longest, keys, ["_from"], "_to", "_reached", 900_000_000)
     added = F.greatest(
         F.lit(0).cast("bigint"), F.col("_to") - F.greatest(F.col("_from"), F.col("_reached"))
     )

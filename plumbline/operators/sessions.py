@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import as_text, member
-from plumbline.operators.ordered import running_last, running_number
+from plumbline.operators.ordered import running_max, running_number
 from plumbline.session import settle
 
 MESSAGE_SCHEMA = "session_id string, msg_no bigint, ts timestamp_ntz, type string, payload string"
@@ -131,19 +131,24 @@ def linked(nodes: DataFrame) -> DataFrame:
 
     An as-of lookup per (session, tool_use_id); other nodes hang from the root, the root from none.
     """
-    keyed = nodes.withColumn("_use", F.coalesce("tool_use_id", F.lit(""))).withColumn(
-        "_call", F.when(F.col("kind") == "tool_call", F.col("id"))
-    )
-    found = running_last(keyed, ["session_id", "_use"], ["seq"], "_call", "_parent")
     root = F.concat(F.col("session_id"), F.lit("#0"))
-    return found.withColumn(
+    call = F.concat_ws("#", "session_id", F.col("_parent").cast("string"))
+    return with_latest_call(nodes).withColumn(
         "parent_id",
-        F.when(F.col("kind") == "tool_result", F.coalesce("_parent", root)).when(
-            F.col("seq") > 0, root
-        ),
+        F.when(F.col("kind") == "tool_result", F.when(F.col("_parent").isNotNull(), call).otherwise(root))
+        .when(F.col("seq") > 0, root),
     ).select(*NODE_COLUMNS)
 
 
+def with_latest_call(nodes: DataFrame) -> DataFrame:
+    """Add `_use` (the tool_use_id, empty if absent) and `_parent`, the number of the latest call with
+    that id up to each node."""
+    keyed = nodes.withColumn("_use", F.coalesce("tool_use_id", F.lit(""))).withColumn(
+        "_call", F.when(F.col("kind") == "tool_call", F.col("seq"))
+    )
+    return running_max(keyed, ["session_id", "_use"], ["seq"], "_call", "_parent", inclusive=True)
+
+
 def build_nodes(messages: DataFrame) -> DataFrame:
     """Messages to nodes. Flattened nodes are settled, so payloads are parsed once and the passes
     that number and link them read only key columns where they can."""

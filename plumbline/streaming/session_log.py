@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.sources.local import inline_rows
-from plumbline.operators.ordered import running_last, running_number
+from plumbline.operators.ordered import running_number
 from plumbline.operators.sessions import (
     MESSAGE_SCHEMA,
     NODE_COLUMNS,
     flatten_messages,
     session_parts,
     sessions_from_parts,
+    with_latest_call,
 )
 from plumbline.session import settle
 from plumbline.sources.tables import path_exists
 
 _TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 _HEADS = "session_id string, next_seq bigint, started boolean, sealed boolean, batch bigint"
-_CALLS = "session_id string, tool_use_id string, id string, seq bigint, batch bigint"
+_CALLS = "session_id string, tool_use_id string, seq bigint, batch bigint"
 _NODES = (
     "id string, session_id string, seq bigint, parent_id string, kind string, content string,"
     " meta string, ts timestamp_ntz, batch bigint"
@@ -126,7 +127,7 @@ def write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
         _put(_linked_with_stored(nodes, store, batch_id), store, "nodes", batch_id)
         calls = nodes.filter(F.col("kind") == "tool_call")
         _put(
-            calls.select("session_id", F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "id", "seq"),
+            calls.select("session_id", F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "seq"),
             store, "calls", batch_id,
         )
         _put(session_parts(accepted.select(*columns)), store, "parts", batch_id)
@@ -151,10 +152,7 @@ def write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
 
 def _linked_with_stored(nodes: DataFrame, store: str, batch_id: int) -> DataFrame:
     """Parents as in a batch build, with calls of earlier batches as the fallback."""
-    keyed = nodes.withColumn("_use", F.coalesce("tool_use_id", F.lit(""))).withColumn(
-        "_call", F.when(F.col("kind") == "tool_call", F.col("id"))
-    )
-    here = running_last(keyed, ["session_id", "_use"], ["seq"], "_call", "_parent")
+    here = with_latest_call(nodes)
     wanted = (
         nodes.filter(F.col("kind") == "tool_result")
         .select("session_id", F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"))
@@ -164,16 +162,17 @@ def _linked_with_stored(nodes: DataFrame, store: str, batch_id: int) -> DataFram
         _stored(nodes.sparkSession, store, "calls", _CALLS, batch_id)
         .join(wanted, ["session_id", "tool_use_id"], "left_semi")
         .groupBy("session_id", F.col("tool_use_id").alias("_use"))
-        .agg(F.max_by("id", "seq").alias("_stored"))
+        .agg(F.max("seq").alias("_stored"))
     )
     root = F.concat(F.col("session_id"), F.lit("#0"))
+    latest = F.coalesce("_parent", "_stored")
+    call = F.concat_ws("#", "session_id", latest.cast("string"))
     return (
         here.join(earlier, ["session_id", "_use"], "left")
         .withColumn(
             "parent_id",
-            F.when(
-                F.col("kind") == "tool_result", F.coalesce("_parent", "_stored", root)
-            ).when(F.col("seq") > 0, root),
+            F.when(F.col("kind") == "tool_result", F.when(latest.isNotNull(), call).otherwise(root))
+            .when(F.col("seq") > 0, root),
         )
         .select(*NODE_COLUMNS)
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import running_last, running_max_before, running_number
+from plumbline.operators.ordered import running_max, running_number
 from plumbline.sources.local import inline_rows
 
 
@@ -31,9 +31,9 @@ def test_scans(rows, width):
         "*",
         F.row_number().over(w).cast("bigint").alias("n"),
         F.max("v").over(before).alias("m"),
-        F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("l"),
+        F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("l"),
     )
     out = running_number(rows, ["g"], order, "n", width)
-    out = running_max_before(out, ["g"], order, "v", "m", width)
-    out = running_last(out, ["g"], order, "v", "l", width)
+    out = running_max(out, ["g"], order, "v", "m", width)
+    out = running_max(out, ["g"], order, "v", "l", width, inclusive=True)
     assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
