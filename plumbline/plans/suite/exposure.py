@@ -81,7 +81,7 @@ def exp_bad_weights(spark, folder):
     return x.bad_weights(lowered)
 
 
-@query("exp_uniform", f"SELECT unit, observed, 1.0 AS weight FROM {_COUNTS}")
+@query("exp_uniform", f"SELECT unit, observed, 1.0::DOUBLE AS weight FROM {_COUNTS}")
 def exp_uniform(spark, folder):
     return x.uniform_exposure(x.unit_counts(events(spark, folder), "unit"))
 

@@ -85,7 +85,7 @@ def prep_positive(spark, folder):
 
 @query(
     "prep_not_in",
-    "SELECT o_orderkey, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) NOT IN (1997, 1998)",
+    "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) NOT IN (1997, 1998)",
 )
 def prep_not_in(spark, folder):
     df = table(spark, folder, "orders")
@@ -261,11 +261,11 @@ _OUT = "((x = 0 AND y = 0) OR x NOT BETWEEN 2480000 AND 2840000 OR y NOT BETWEEN
 
 def _spatial_sql(points: str) -> str:
     return f"""SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL) / count(*) AS null_rate,
-      0.0 AS empty_rate, 0.0 AS invalid_rate, 0.0 AS has_z_rate,
+      0.0::DOUBLE AS empty_rate, 0.0::DOUBLE AS invalid_rate, 0.0::DOUBLE AS has_z_rate,
       count(*) FILTER (WHERE {_OUT}) / count(*) AS out_of_envelope_rate,
       min(x) FILTER (WHERE NOT {_OUT}) AS min_x, max(x) FILTER (WHERE NOT {_OUT}) AS max_x,
       min(y) FILTER (WHERE NOT {_OUT}) AS min_y, max(y) FILTER (WHERE NOT {_OUT}) AS max_y,
-      0.0 AS max_length, 0.0 AS max_area FROM ({points})"""
+      0.0::DOUBLE AS max_length, 0.0::DOUBLE AS max_area FROM ({points})"""
 
 
 @query("spa_profile", _spatial_sql(planted_points_sql()))

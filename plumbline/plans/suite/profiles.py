@@ -50,7 +50,7 @@ def cat_sql(src: str, col: str) -> str:
 
 def topk_sql(src: str, col: str, k: int = 15) -> str:
     return f"""SELECT '{col}' AS "column", rank, value, freq, share FROM (
-      SELECT row_number() OVER (ORDER BY freq DESC, ky NULLS LAST) AS rank, value, freq,
+      SELECT CAST(row_number() OVER (ORDER BY freq DESC, ky NULLS LAST) AS INTEGER) AS rank, value, freq,
         freq / sum(freq) OVER () AS share
       FROM (SELECT {_key(col)} AS ky, min(CAST({col} AS VARCHAR)) AS value, count(*) AS freq
             FROM {src} GROUP BY ky)) WHERE rank <= {k}"""
@@ -222,7 +222,7 @@ def num_profile_nulls(spark, folder):
 
 def _quantile_sql(src: str, cols) -> str:
     return _union(
-        f"""SELECT '{c}' AS "column", {p} AS prob, round(CAST(quantile_cont({c}, {p}) AS DOUBLE), 6) AS quantile FROM {src}"""
+        f"""SELECT '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, round(CAST(quantile_cont({c}, {p}) AS DOUBLE), 6) AS quantile FROM {src}"""
         for c in cols
         for p in quantiles.PROFILE_PROBS
     )
@@ -313,12 +313,12 @@ def tmp_missing_months(spark, folder):
     return temporal.missing_months(temporal.month_counts(_gapped(spark, folder), ["d"]))
 
 
-@query("tmp_seasonality", f"""SELECT 'd' AS "column", month(d) AS month, count(*) AS freq FROM {_GAPPED} WHERE d IS NOT NULL GROUP BY 2""")
+@query("tmp_seasonality", f"""SELECT 'd' AS "column", CAST(month(d) AS INTEGER) AS month, count(*) AS freq FROM {_GAPPED} WHERE d IS NOT NULL GROUP BY 2""")
 def tmp_seasonality(spark, folder):
     return temporal.seasonality(temporal.month_counts(_gapped(spark, folder), ["d"]))
 
 
-@query("tmp_volume", """SELECT 'l_shipdate' AS "column", year(l_shipdate) AS year, count(*) AS freq FROM lineitem GROUP BY 2""")
+@query("tmp_volume", """SELECT 'l_shipdate' AS "column", CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS freq FROM lineitem GROUP BY 2""")
 def tmp_volume(spark, folder):
     return temporal.volume_by_year(
         temporal.month_counts(table(spark, folder, "lineitem"), ["l_shipdate"])

@@ -276,7 +276,7 @@ def ses_degraded(spark, folder):
 @query(
     "ses_tools",
     _sql(
-        """SELECT session_id, session_id || '#' || seq AS id, name, CASE WHEN finished IS NOT NULL THEN cents * 10.0 END AS duration_ms,
+        """SELECT session_id, session_id || '#' || seq AS id, name, CASE WHEN finished IS NOT NULL THEN CAST(cents * 10.0 AS DOUBLE) END AS duration_ms,
         CASE WHEN finished IS NOT NULL THEN name = 'error' END AS is_error FROM calls"""
     ),
 )
@@ -465,7 +465,8 @@ def ses_chars(spark, folder):
 
 @query(
     "ses_attribution",
-    f"SELECT session_id, turn, prose, questions, greatest(0, total - prose - questions) AS delta FROM {_PARTS}",
+    f"""SELECT session_id, turn, CAST(prose AS INTEGER) AS prose, CAST(questions AS INTEGER) AS questions,
+    CAST(greatest(0, total - prose - questions) AS INTEGER) AS delta FROM {_PARTS}""",
 )
 def ses_attribution(spark, folder):
     out = m.output_attribution(conversation_nodes(spark, folder))

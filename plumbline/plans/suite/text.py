@@ -67,7 +67,7 @@ def txt_rejected(spark, folder):
 
 @query(
     "txt_observation_nodes",
-    """SELECT 'd' || doc_id AS session_id, 'observation' AS kind, CASE doc_id % 5 WHEN 0 THEN 1 ELSE 2 END AS n, 1 AS first_seq
+    """SELECT 'd' || doc_id AS session_id, 'observation' AS kind, CAST(CASE doc_id % 5 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS n, CAST(1 AS BIGINT) AS first_seq
     FROM documents WHERE doc_id % 5 IN (0, 3)""",
 )
 def txt_observation_nodes(spark, folder):

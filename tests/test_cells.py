@@ -159,3 +159,14 @@ def test_names_and_paths_are_guarded(spark, tmp_path):
     with pytest.raises(Exception):
         spark.sql("DELETE FROM ok")
     assert [tuple(r) for r in schema_of(spark.table("ok")).collect()] == [(0, "id", "bigint")]
+
+
+def test_catalog_from_files(spark, tmp_path):
+    from plumbline.sources.catalog import read_catalog
+
+    (tmp_path / "a.json").write_text(" ".join(ENTRIES[0].split()) + "\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text(" ".join(ENTRIES[1].split()) + "\n", encoding="utf-8")
+    catalog = read_catalog(spark, str(tmp_path))
+    assert {r["dataset"] for r in catalog.datasets.collect()} == {"spatial_seed", "population_seed"}
+    assert catalog.exposure("spatial_seed", "geom")["weight"] == "population"
+    assert catalog.exposure("spatial_seed", "other") is None
