@@ -42,13 +42,18 @@ def _valid(item: Column) -> Column:
     return checks
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def parsed_observations(df: DataFrame, text: str) -> DataFrame:
     """Add `items` (the array's elements) and `reason` (why the text is rejected, NULL if it is not).
 
-    One bad element rejects its whole text.
+    One bad element rejects its whole text. The found array and its elements pass through one-row
+    generators, so the search and the parse run once per text however often they are referred to.
     """
-    found = json_array(F.col(text))
-    parsed = df.withColumn("_found", found).withColumn("items", elements(parse_json(F.col("_found"))))
+    found = _once(df, "_found", json_array(F.col(text)))
+    parsed = _once(found, "items", elements(parse_json(F.col("_found"))))
     reason = (
         F.when(F.col("_found").isNull(), "no_array")
         .when(F.col("items").isNull(), "bad_json")

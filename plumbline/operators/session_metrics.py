@@ -165,7 +165,10 @@ def turn_totals(turns: DataFrame) -> DataFrame:
 
 
 def session_summary(sessions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per session with every measure above."""
+    """One row per session with every measure above.
+
+    Several branches read `nodes`: pass the stored table (or settle it first).
+    """
     calls = tool_calls(nodes)
     size = F.length(F.coalesce(_text_of(F.col("content"), "text"), F.lit("")))
     span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000.0

@@ -17,7 +17,7 @@ from plumbline.operators.sessions import (
     seal_sessions,
 )
 from plumbline.plans.suite import query, table
-from plumbline.session import shared_folder
+from plumbline.session import settle, shared_folder
 from plumbline.streaming.session_log import ingest, read_messages, read_nodes, write_messages
 
 # --- events as a log: one session per user ---------------------------------------------------------
@@ -134,6 +134,11 @@ def event_nodes(spark, folder):
     return build_nodes(event_messages(spark, folder))
 
 
+def stored_nodes(messages):
+    """Nodes as measures find them: in a table, not in a plan that every branch runs again."""
+    return settle(build_nodes(messages))
+
+
 def _sql(select: str, more: str = "") -> str:
     return f"WITH {_EV}{more} {select}"
 
@@ -268,7 +273,7 @@ def ses_turns(spark, folder):
 def ses_degraded(spark, folder):
     """Sessions whose turn nodes are gone fall back to the cost in their header."""
     messages = event_messages(spark, folder)
-    nodes = build_nodes(messages).filter(F.col("kind") != "turn_result")
+    nodes = stored_nodes(messages).filter(F.col("kind") != "turn_result")
     sealed = seal_sessions(messages).filter(F.col("status") == "closed")
     return m.turn_metrics(nodes, sealed).select("session_id", F.col("turn").cast("int"), "cost_usd", "degraded")
 
@@ -281,14 +286,14 @@ def ses_degraded(spark, folder):
     ),
 )
 def ses_tools(spark, folder):
-    return m.tool_calls(event_nodes(spark, folder)).select(
+    return m.tool_calls(stored_nodes(event_messages(spark, folder))).select(
         "session_id", "id", "name", "duration_ms", "is_error"
     )
 
 
 @query("ses_calls", _sql("SELECT session_id, name, count(*) AS n FROM calls GROUP BY 1, 2"))
 def ses_calls(spark, folder):
-    return m.calls_by_tool(m.tool_calls(event_nodes(spark, folder)))
+    return m.calls_by_tool(m.tool_calls(stored_nodes(event_messages(spark, folder))))
 
 
 _UNION = """, iv AS (SELECT session_id, epoch_us(started) AS a, max(epoch_us(finished)) AS b FROM calls WHERE finished IS NOT NULL GROUP BY 1, 2),
@@ -299,7 +304,7 @@ _UNION = """, iv AS (SELECT session_id, epoch_us(started) AS a, max(epoch_us(fin
 
 @query("ses_union", _sql("SELECT session_id, union_ms FROM uni", _UNION))
 def ses_union(spark, folder):
-    calls = m.tool_calls(event_nodes(spark, folder))
+    calls = m.tool_calls(stored_nodes(event_messages(spark, folder)))
     return m.interval_union_ms(calls, ["session_id"], "started", "finished")
 
 
@@ -343,7 +348,7 @@ def ses_totals(spark, folder):
 )
 def ses_summary(spark, folder):
     messages = event_messages(spark, folder)
-    out = m.session_summary(seal_sessions(messages), build_nodes(messages))
+    out = m.session_summary(seal_sessions(messages), stored_nodes(messages))
     return out.withColumn("total_cost_usd", F.round("total_cost_usd", 6))
 
 
@@ -362,7 +367,7 @@ def ses_summary(spark, folder):
 )
 def ses_outline(spark, folder):
     messages = event_messages(spark, folder)
-    return m.session_outline(seal_sessions(messages), build_nodes(messages))
+    return m.session_outline(seal_sessions(messages), stored_nodes(messages))
 
 
 @query("ses_ingest_stream", _NODE_SQL)
@@ -445,7 +450,7 @@ def conversation_messages(spark, folder):
 
 
 def conversation_nodes(spark, folder):
-    return build_nodes(conversation_messages(spark, folder))
+    return stored_nodes(conversation_messages(spark, folder))
 
 
 _AGENT = f"(SELECT * FROM {_TURN_SQL} WHERE role = 'assistant')"
