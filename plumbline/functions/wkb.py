@@ -10,7 +10,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +77,9 @@ def decode_wkb(wkb: pa.Array) -> pa.Array:
     """BINARY -> struct(type, has_z, x, y, parts); x and y for points, parts for all others."""
     if isinstance(wkb, pa.ChunkedArray):
         wkb = wkb.combine_chunks()
-    lengths = pa.compute.binary_length(wkb)
+    lengths = pc.binary_length(wkb)
     names = ["type", "has_z", "x", "y", "parts"]
-    if len(wkb) and wkb.null_count == 0 and pa.compute.all(pa.compute.equal(lengths, 21)).as_py():
+    if len(wkb) and wkb.null_count == 0 and pc.all(pc.equal(lengths, 21)).as_py():
         data = np.frombuffer(b"".join(wkb.to_pylist()), "u1").reshape(-1, 21)
         if (data[:, :5] == np.frombuffer(b"\x01\x01\x00\x00\x00", "u1")).all():
             xy = np.ascontiguousarray(data[:, 5:]).view("<f8")

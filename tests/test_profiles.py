@@ -207,3 +207,17 @@ def test_well_known_binary(spark, name):
     assert len(got) == 1
     kind, empty, valid, has_z, xmin, _, ymin, _, length, area = got[0]
     assert (kind, empty, valid, has_z, xmin, ymin, length, area) == want
+
+
+def test_worker_code_needs_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = cloudpickle.dumps(decode_wkb.func)
+    read = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); import pyarrow as pa; print(f(pa.array([bytes.fromhex(sys.argv[1])])))"
+    out = subprocess.run(
+        [sys.executable, "-c", read, CASES["line"][0].hex()], input=code, cwd=tmp_path, capture_output=True, timeout=60
+    )
+    assert out.returncode == 0 and b"LINESTRING" in out.stdout, out.stderr
