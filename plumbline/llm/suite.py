@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.mixing import mix_sources
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
 
@@ -43,3 +44,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_files")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return encode_to_files(table(spark, folder, "documents"), tokenizer_path(), END_ID)
+
+
+@query("op9_source_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), (5, 2, 1), most_copies=3)
