@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
+from plumbline.llm.top_k import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +50,27 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_source_mix")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), (5, 2, 1), most_copies=3)
+
+
+@query(
+    "op10_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 100 = 0
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM scored
+    )
+    SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM ranked WHERE nth <= 10
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
