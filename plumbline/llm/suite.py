@@ -10,6 +10,7 @@ from plumbline.llm.mixing import mix_sources
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
 from plumbline.llm.top_k import exact_top_k
+from plumbline.llm.warc import archive_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +75,24 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+@query(
+    "op3_web_archive",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ),
+    m AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS response
+        FROM p
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN response <> page_id THEN response END AS refers_to
+    FROM m
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_and_read(table(spark, folder, "pages"))
