@@ -10,6 +10,7 @@ from plumbline.llm.mixing import mix_sources
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
 from plumbline.llm.top_k import exact_top_k
+from plumbline.llm.toxicity import classify_toxicity
 from plumbline.llm.warc import archive_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +97,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_read(table(spark, folder, "pages"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
