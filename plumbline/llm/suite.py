@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.quality import classify_quality
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
 from plumbline.llm.top_k import exact_top_k
@@ -102,3 +103,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
