@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import classify_quality
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
@@ -108,3 +109,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
