@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.decontamination import contaminated
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import classify_quality
@@ -114,3 +115,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
