@@ -173,6 +173,22 @@ def score_quality(docs: DataFrame, network: ByteNetwork, threshold: float = THRE
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, network: ByteNetwork, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores `threshold` or more. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(network.weights)
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = ByteNetwork()
+        own.weights = sent.value
+        for batch in batches:
+            texts = (t.as_py() or b"" for t in batch.column("text").cast(pa.binary()))
+            yield batch.filter(pa.array([own.probability(t) >= threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on `labels.quality`, then score every document. Training runs at once, in the driver."""
     return score_quality(docs, train(docs, labels))

@@ -8,6 +8,7 @@ import numpy as np
 
 from plumbline.llm.shared import pieces
 
+_AROUND = b".,;:!?\"'`()[]{}<>*_-"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,6 +39,24 @@ class Words(dict):
         return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+class PlainWords(Words):
+    """Words without the punctuation around them; punctuation alone is no word (number 0)."""
+
+    def __missing__(self, word: bytes) -> int:
+        plain = word.strip(_AROUND)
+        number = int.from_bytes(hashlib.blake2b(plain, digest_size=8).digest(), "little") or 1 if plain else 0
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = number
+        return number
+
+    def of(self, text: bytes) -> np.ndarray:
+        parts = [np.fromiter(map(self.__getitem__, p), np.uint64, len(p)) for p in pieces(text.lower())]
+        words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        return words[words > 0]
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """A number for each run of `size` words; fewer words are one run, none have none."""
     n = len(words)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm.decontamination import contaminated
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_duplicates import near_duplicates
+from plumbline.llm.personal_data import find_personal_data
 from plumbline.llm.quality import classify_quality
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import encode_to_files
@@ -120,3 +121,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents"))
