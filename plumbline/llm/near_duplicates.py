@@ -314,7 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     forward = F.struct("n_a", "a", "v_a") < F.struct("n_b", "b", "v_b")
     pairs = side(few, "a").where("indexed_a").join(side(few, "b"), "shingle").where(forward & _may_match("a", "b"))
     labels = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    labels = merge_components(labels, checked(pairs))
+    # An id with several texts holds their classes together.
+    several = linkable.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_lo <> _hi")
+    own = linkable.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "digest")
+    own = own.join(classes.select("digest", F.col("doc_id").alias("b")), "digest").select("a", "b")
+    labels = merge_components(labels, checked(pairs).unionByName(own))
 
     def placed(rows: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
@@ -342,9 +346,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             outside = members.join(largest, "shingle").where("component <> _main").drop("_main")
             met = side(outside, "a").join(side(members, "b"), "shingle")
             met = met.where((F.col("c_a") != F.col("c_b")) & _may_match("a", "b") & F.when(forward, F.col("indexed_a")).otherwise(F.col("indexed_b")))
-            ends = [F.struct("a", "v_a"), F.struct("b", "v_b")]
+            ends = [F.struct(F.col(x).alias("id"), F.col(f"v_{x}").alias("v")) for x in ("a", "b")]
             met = met.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
-            pairs = met.select(F.col("x.a").alias("a"), F.col("x.v_a").alias("v_a"), F.col("y.a").alias("b"), F.col("y.v_a").alias("v_b"))
+            pairs = met.select(F.col("x.id").alias("a"), F.col("x.v").alias("v_a"), F.col("y.id").alias("b"), F.col("y.v").alias("v_b"))
         labels = merge_components(labels, checked(pairs))
 
     found = classes.select("digest", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

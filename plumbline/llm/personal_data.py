@@ -253,5 +253,9 @@ def find_personal_data(docs: DataFrame, confident: float = CONFIDENT) -> DataFra
     out = out.withColumn("all", F.sort_array(F.concat("base", "found")))
     kinds = F.array(*map(F.lit, KINDS))
     text = F.transform("all", lambda x: F.concat_ws(":", F.element_at(kinds, x["nth"] + 1), x["start"].cast("string"), x["stop"].cast("string")))
-    counts = [F.size(F.filter("all", lambda x, k=k: x["nth"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("all", lambda x: x["nth"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
+
+    counts = map(count, range(len(KINDS)))
     return out.select("doc_id", *counts, "base_sha256", F.array_join(text, ",").alias("spans"), F.size("found").cast("bigint").alias("n_added"))
