@@ -20,12 +20,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.shared import filesystem, new_folder, pieces, vocabulary
+from plumbline.llm.token_counts import byte_alphabet
 from plumbline.session import settle
 
 #: Fixed by the formats.
@@ -42,33 +44,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
+        self.alphabet = dict(enumerate(byte_alphabet()))
         self.most = remembered
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, texts: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces not known yet, from one call of the library."""
-        fresh = list(texts)
-        if not fresh:
-            return {}
-        got = self.tokenizer.encode([t.decode() for t in fresh], is_pretokenized=True, add_special_tokens=False)
+        self.stems: dict[str, bytes] = {}
+        ends = [".", ","]
+        self.ends = dict(zip(ends, self.call(ends)))
+
+    def call(self, texts: list[str]) -> list[bytes]:
+        """Ids of some pieces, from one call of the library."""
+        if not texts:
+            return []
+        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, "<u4").tobytes()
         # No token spans two pieces, so the pieces of the tokens rise and their ends cut the ids.
-        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(fresh)), "right") * 4
-        return {t: ids[a:b] for t, a, b in zip(fresh, [0, *ends.tolist()], ends.tolist())}
+        ends = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(texts)), "right") * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word of small letters: the tokenizer takes it whole, so its model alone is asked."""
+        ids = self.stems.get(word)
+        if ids is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            if len(word) <= 64:
+                if len(self.stems) >= self.most:
+                    self.stems.clear()
+                self.stems[word] = ids
+        return ids
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces. Letters, with or without a stop behind them, go to the model; all else through the whole tokenizer.
+
+        The tokenizer composes and lowers its input and takes letters apart from other characters. Words that
+        a capital sigma or a longer small form makes special are left to it.
+        """
+        ids: list[bytes | None] = []
+        others = []
+        for piece in pieces:
+            text = piece.decode()
+            end = b""
+            if text[-1] in self.ends and len(text) > 1:
+                end, text = self.ends[text[-1]], text[:-1]
+            low = text.lower()
+            if text.isalpha() and (text.isascii() or len(low) == len(text) and "Σ" not in text and is_normalized("NFC", text)):
+                ids.append(self.word(low) + end)
+            else:
+                ids.append(None)
+                others.append(piece.decode())
+        rest = iter(self.call(others))
+        return [next(rest) if i is None else i for i in ids]
 
     def encode(self, text: bytes) -> bytes:
         out = []
         for part in pieces(text):
-            missing = {p for p in part if p not in self.known}
-            if missing:
-                if len(self.known) + len(missing) > self.most:
+            fresh = list(set(part).difference(self.known))
+            if fresh:
+                if len(self.known) + len(fresh) > self.most:
                     self.known = {}
-                    missing = set(part)
-                found = self.learn(missing)
-                self.known.update((k, v) for k, v in found.items() if len(k) <= 64)
-                out.extend([self.known[p] if p in self.known else found[p] for p in part])
-            else:
-                out.extend(map(self.known.__getitem__, part))
+                    fresh = list(set(part))
+                self.known.update(zip(fresh, self.learn(fresh)))
+            out.append(b"".join(map(self.known.__getitem__, part)))
+            for piece in fresh:
+                if len(piece) > 64:
+                    del self.known[piece]
         return b"".join(out)
 
 
