@@ -61,15 +61,16 @@ def held_out():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
-    """The bounded training sample: (doc_id, text, label), at most `per_class` rows of each class.
+    """The bounded training sample: (doc_id, text, label), at most `per_class` ids of each class.
 
-    Rows are those with the smallest hashes of their id among labelled, not held-out documents of at
-    most `max_chars` characters. Null ids, texts and labels take no part; repeated ids may repeat.
+    Ids are those with the smallest hashes among labelled ones that are not held out; documents of more than `max_chars`
+    characters are left out of the sample. Null ids, texts and labels take no part; an id that repeats with
+    several texts brings each. The chosen ids, 2 * per_class at most, are broadcast, so texts are not shuffled.
     """
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out()).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [marked.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    known = texts.join(marked, "doc_id")
-    parts = [known.where(F.col("label") == k).orderBy(*order, F.xxhash64("text")).limit(per_class) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    return sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(4 * per_class)

@@ -21,8 +21,8 @@ WINDOW, STRIDE = 12, 6
 #: Shorter bags count as bags of so many words.
 LEAST_WORDS = 6
 DECAY = 0.98
-SAMPLE_PER_CLASS = 2000
-SAMPLE_CHARS = 1 << 15
+SAMPLE_PER_CLASS = 1500
+SAMPLE_CHARS = 1 << 14
 EPOCHS = 25
 THRESHOLD = 0.7
 _BLANK = np.zeros(256, bool)
