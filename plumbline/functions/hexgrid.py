@@ -1,8 +1,7 @@
 """Planar hexagonal cells as Column arithmetic.
 
 Cells are pointy-top hexagons in the metres of the point's own projection, one grid per resolution.
-An id packs (resolution, q, r) into a BIGINT, so grouping and joining move 8 bytes per cell. Where the
-optional `h3` package is installed, `h3_cell` gives H3 ids instead.
+An id packs (resolution, q, r) into a BIGINT, so grouping and joining move 8 bytes per cell.
 """
 
 from __future__ import annotations
@@ -72,17 +71,3 @@ def cell_centre(
     y = F.lit(1.5) * r * edge + origin[1]
     return x, y
 
-
-def h3_cell(lat: Column, lng: Column, resolution: int) -> Column:
-    """H3 id at (lat, lng); needs the optional `h3` package on every executor."""
-    try:
-        import h3
-    except ImportError as missing:
-        raise RuntimeError("the optional h3 package is not installed") from missing
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def ids(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([h3.latlng_to_cell(i, j, resolution) for i, j in zip(a, b)])
-
-    return ids(lat, lng)

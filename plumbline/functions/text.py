@@ -122,3 +122,16 @@ def contains_any(text: Column, words) -> Column:
     for w in words:
         out = out | F.contains(low, F.lit(w.lower()))
     return out
+
+
+def quoted(text: Column) -> Column:
+    """The text in quotes, with backslash, tab and line ends escaped.
+
+    Apostrophes stand between double quotes, unless the text has those too. Other characters stay as they are.
+    """
+    out = text
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    escaped = F.replace(out, F.lit("'"), F.lit("\\'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))

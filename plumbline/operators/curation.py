@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.local import inline_rows
 from plumbline.functions.text import (
+    as_text,
     entries,
     is_object,
+    is_string,
     kind_of,
     member,
     number,
@@ -70,35 +72,46 @@ def inventory(merged: DataFrame) -> DataFrame:
 
 
 def merge_questions(questions: DataFrame) -> DataFrame:
-    """(session_id, position, n, question) from (session_id, seq, pos, question).
+    """(session_id, position, n, n_kind, question) from (session_id, seq, pos, question).
 
     By number, the last wording wins at the place of the first. Questions without a number are kept
-    each; entries that are no objects are dropped.
+    each; entries that are no objects are dropped. `n` is the number as text, without fraction if it has none
+    (1 and 1.0 are one), or a text itself; `n_kind` tells the number 2 from the text "2".
     """
     v = F.try_parse_json("question")
-    # Same number under any JSON spelling (1 and 1.0); texts keep their quotes.
-    label = F.coalesce(number(member(v, "$.n")).cast("string"), F.to_json(member(v, "$.n")))
-    known = questions.withColumn("_v", v).filter(is_object(F.col("_v"))).withColumn(
-        "n", F.when(F.coalesce(kind_of(member(F.col("_v"), "$.n")) != "VOID", F.lit(False)), label)
+    given = member(F.col("_v"), "$.n")
+    value = number(given)
+    whole = F.when((value == F.floor(value)) & (F.abs(value) < 2.0**53), value.cast("bigint").cast("string"))
+    text = F.when(is_string(given), as_text(given)).otherwise(F.to_json(given))
+    named = F.coalesce(kind_of(given) != "VOID", F.lit(False))
+    known = (
+        questions.withColumn("_v", v)
+        .filter(is_object(F.col("_v")))
+        .withColumn("n", F.when(named, F.coalesce(whole, value.cast("string"), text)))
+        .withColumn("n_kind", F.when(named, F.when(value.isNotNull(), "number").otherwise("text")))
     )
     at = F.struct("seq", "pos")
-    merged = known.filter(F.col("n").isNotNull()).groupBy("session_id", "n").agg(
+    merged = known.filter(F.col("n").isNotNull()).groupBy("session_id", "n", "n_kind").agg(
         F.max_by("question", at).alias("question"), F.min(at).alias("first")
     )
     single = known.filter(F.col("n").isNull()).select(
-        "session_id", "n", "question", at.alias("first")
+        "session_id", "n", "n_kind", "question", at.alias("first")
     )
-    rows = merged.select("session_id", "n", "question", "first").unionByName(single).select(
-        "session_id", "n", "question", F.col("first.seq").alias("_seq"), F.col("first.pos").alias("_pos")
+    rows = merged.select("session_id", "n", "n_kind", "question", "first").unionByName(single).select(
+        "session_id", "n", "n_kind", "question", F.col("first.seq").alias("_seq"), F.col("first.pos").alias("_pos")
     )
     return running_number(rows, ["session_id"], ["_seq", "_pos"], "position").select(
-        "session_id", "position", "n", "question"
+        "session_id", "position", "n", "n_kind", "question"
     )
 
 
 def attach_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Questions with `reponse` from (session_id, n, reponse); unanswered or unnumbered stay NULL."""
-    return questions.join(answers, ["session_id", "n"], "left")
+    """Questions with `reponse` from (session_id, n, reponse); unanswered or unnumbered stay NULL.
+
+    Answers that also have `n_kind` go to questions of that kind alone.
+    """
+    kind = ["n_kind"] if "n_kind" in answers.columns else []
+    return questions.join(answers, ["session_id", "n", *kind], "left")
 
 
 def entry_hash(merged: DataFrame) -> DataFrame:

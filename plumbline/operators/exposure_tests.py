@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import pseudo_p, std_excess
+from plumbline.session import settle
 
 # Default and largest number of replicates, significance level.
 DEFAULT_REPLICATES = 999
@@ -73,19 +74,21 @@ def bad_weights(exposed: DataFrame) -> DataFrame:
 def with_expected(exposed: DataFrame, group: str | None = None) -> DataFrame:
     """Add expected = N * w / sum(w) over the units present, and z = (O - E) / sqrt(E).
 
-    Totals are one row per group, attached by an equi-join (ungrouped tables use a constant key).
+    The units are settled first, since they are read twice. The totals of an ungrouped table are two numbers
+    and become part of the plan; those of groups are one row per group and are joined.
     """
-    keyed = exposed if group else exposed.withColumn("_g", F.lit(0))
-    key = group or "_g"
-    totals = keyed.groupBy(key).agg(
-        F.sum("observed").alias("n_total"), F.sum("weight").alias("_w")
-    )
-    out = keyed.join(totals, key).withColumn(
-        "expected", F.col("n_total") * (F.col("weight") / F.col("_w"))
-    )
+    exposed = settle(exposed)
+    sums = [F.sum("observed").alias("n_total"), F.sum("weight").alias("_w")]
+    if group:
+        out = exposed.join(exposed.groupBy(group).agg(*sums), group)
+    else:
+        totals = exposed.agg(*sums).first()
+        n_total = F.lit(totals["n_total"]).cast(exposed.agg(sums[0]).schema[0].dataType)
+        out = exposed.withColumn("n_total", n_total).withColumn("_w", F.lit(totals["_w"]).cast("double"))
+    out = out.withColumn("expected", F.col("n_total") * (F.col("weight") / F.col("_w")))
     return out.withColumn(
         "z", std_excess(F.col("observed").cast("double"), F.col("expected"))
-    ).drop("_g", "_w")
+    ).drop("_w")
 
 
 def argmax_units(tested: DataFrame, group: str | None = None) -> DataFrame:
@@ -246,7 +249,6 @@ def null_statistics(
     excess is followed). A replicate's generator is seeded by (seed, group, replicate), so the
     partitioning does not change its draw.
     """
-    replicates = clamp_replicates(replicates)
     n = units.count() if n_units is None else n_units
     if n == 0:
         raise ValueError("no units: the null distribution is undefined")

@@ -19,7 +19,6 @@ NULL_ISLAND_RATE = 0.005
 SWAPPED_RATE = 0.01
 HOTSPOT_DIVISOR = 4
 
-_SAMPLE_PREFIXES = 1 << 16
 
 
 def keep_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from plumbline.functions.text import (
     kind_of,
     member,
     number,
+    quoted,
     shorten,
     spaced_json,
     spaced_json_length,
@@ -247,8 +248,8 @@ def session_outline(sessions: DataFrame, nodes: DataFrame) -> DataFrame:
         "session_id",
         F.lit(0).cast("bigint").alias("line_no"),
         F.concat(
-            F.lit("session "), "session_id", F.lit(" ["), "status", F.lit("] — '"),
-            F.coalesce("question", F.lit("None")), F.lit("' (model="),
+            F.lit("session "), "session_id", F.lit(" ["), "status", F.lit("] — "),
+            F.coalesce(quoted(F.col("question")), F.lit("None")), F.lit(" (model="),
             F.coalesce("model", F.lit("None")), F.lit(")"),
         ).alias("line"),
     )
@@ -288,7 +289,7 @@ def attribution_totals(attribution: DataFrame) -> DataFrame:
 
 
 def _label_length(label: Column) -> Column:
-    return F.length(F.when(is_string(label), as_text(label)).otherwise(F.to_json(label)))
+    return F.when(is_string(label), F.length(as_text(label))).otherwise(spaced_json_length(F.to_json(label)))
 
 
 def question_lengths(nodes: DataFrame) -> DataFrame:

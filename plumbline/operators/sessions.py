@@ -150,9 +150,9 @@ def with_latest_call(nodes: DataFrame) -> DataFrame:
 
 
 def build_nodes(messages: DataFrame) -> DataFrame:
-    """Messages to nodes. Flattened nodes are settled, so payloads are parsed once and the passes
-    that number and link them read only key columns where they can."""
-    return linked(numbered(settle(flatten_messages(messages))))
+    """Messages to nodes. Flattened nodes are settled, so payloads are parsed once, and numbered ones too,
+    so numbering is not repeated in each branch that links them. Messages without number come last."""
+    return linked(settle(numbered(settle(flatten_messages(messages)))))
 
 
 def with_custom_nodes(flat: DataFrame, custom: DataFrame) -> DataFrame:

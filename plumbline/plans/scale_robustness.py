@@ -21,7 +21,6 @@ from plumbline.operators.exposure_tests import (
     DEFAULT_REPLICATES,
     SIGNIFICANCE,
     argmax_units,
-    clamp_replicates,
     null_statistics,
     pseudo_p_values,
 )
@@ -138,7 +137,7 @@ def scale_robustness(
     Points and grid are each scanned once for all resolutions; only cells reach the null model.
     """
     resolutions = checked_resolutions(resolutions)
-    replicates = clamp_replicates(replicates)
+    replicates = max(1, int(replicates))
     spark = points.sparkSession
     if grid is None:
         reason = "no declared spatial exposure: robustness cannot be judged"
@@ -166,6 +165,7 @@ def scale_robustness(
         shown("peak_lat", 5), shown("peak_lng", 5), shown("peak_std_excess", 2),
         shown("pseudo_p", 4), "significant", "unpopulated_cells", "unpopulated_points",
         shown("unpopulated_share", 4),
+        F.array(*map(F.lit, CAVEATS)).alias("caveats"),
     )
 
 

@@ -178,9 +178,7 @@ _MERGED_Q = f"""(SELECT session_id, n, shape, s, row_number() OVER (PARTITION BY
 def questions(spark, folder):
     turns = parsed_turns(agent_texts(spark, folder), "body").withColumnRenamed("turn", "seq")
     asked = c.question_rows(turns)
-    return c.merge_questions(asked).withColumn(
-        "n", F.when(F.col("n").isNotNull(), F.col("n").cast("double").cast("bigint").cast("string"))
-    )
+    return c.merge_questions(asked)
 
 
 @query("cur_questions", f"SELECT session_id, position, n, s AS constat FROM {_MERGED_Q}")
@@ -191,11 +189,13 @@ def cur_questions(spark, folder):
 
 
 def _answered(spark, folder):
-    asked = questions(spark, folder)
-    answers = asked.filter(F.col("n").isin("1", "2", "4")).select(
-        "session_id", "n", F.concat(F.lit("r"), "n").alias("reponse")
+    """Every session answers 1, 2 and 4, asked or not."""
+    sessions = table(spark, folder, "conversations").select("conv_id").distinct()
+    answers = sessions.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"),
+        F.explode(F.array(*map(F.lit, ("1", "2", "4")))).alias("n"),
     )
-    return c.attach_answers(asked, answers)
+    return c.attach_answers(questions(spark, folder), answers.withColumn("reponse", F.concat(F.lit("r"), "n")))
 
 
 @query(

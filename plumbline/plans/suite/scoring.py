@@ -21,7 +21,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_OBS = f"""(SELECT conv_id % 5 AS run, ([{", ".join(_quoted(c) for c in _CLAIMS)}])[(conv_id + turn) % 6 + 1] || ' ' || substr(text, 1, 30) AS claim,
+_OBS = f"""(SELECT conv_id % 5 AS run, ([{", ".join(_quoted(c) for c in _CLAIMS)}])[(conv_id + turn) % 6 + 1] || ' ' || text AS claim,
   ([{", ".join(_quoted(c) for c in _STATUSES)}])[turn % 3 + 1] AS statut FROM conversations)"""
 
 
@@ -32,7 +32,7 @@ def observed(spark, folder):
     return table(spark, folder, "conversations").select(
         (F.col("conv_id") % 5).alias("run"),
         F.concat(
-            pick(_CLAIMS, (F.col("conv_id") + F.col("turn")) % 6), F.lit(" "), F.substring("text", 1, 30)
+            pick(_CLAIMS, (F.col("conv_id") + F.col("turn")) % 6), F.lit(" "), "text"
         ).alias("claim"),
         pick(_STATUSES, F.col("turn") % 3).alias("statut"),
     )

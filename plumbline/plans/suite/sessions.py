@@ -384,19 +384,19 @@ def ses_ingest_stream(spark, folder):
 # Assistant texts get a payload block behind them (0), none (1), one before them (2), or an
 # illustration and a payload with two questions (3).
 
-_SHORT_SQL = "substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20)"
+_LETTERS_SQL = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 _TURN_SQL = f"""(SELECT 'c' || conv_id AS session_id, conv_id, turn, role, text, (conv_id + turn) % 4 AS shape, s,
   CASE (conv_id + turn) % 4
     WHEN 0 THEN text || chr(10) || '```json' || chr(10) || '{{"fiche_delta":{{"columns":{{"c' || turn || '":{{"sens":"' || s || '"}}}}}},"questions":[{{"n":' || turn || ',"colonne":"c' || turn || '","constat":"' || s || '"}}],"proposes_completion":false}}' || chr(10) || '```'
     WHEN 1 THEN text
     WHEN 2 THEN '```json' || chr(10) || '{{"fiche_delta":null,"proposes_completion":true}}' || chr(10) || '```' || chr(10) || text
     ELSE '```yaml' || chr(10) || 'a: b' || chr(10) || '```' || chr(10) || text || chr(10) || '```json' || chr(10) || '{{"fiche_delta":{{}},"questions":[{{"n":1,"constat":"' || s || '","enjeu":"e","options":{{"a":"x","b":"yy"}}}},{{"constat":"z"}},5]}}' || chr(10) || '```' || chr(10) || 'Fin.'
-  END AS body FROM (SELECT *, {_SHORT_SQL} AS s FROM conversations))"""
+  END AS body FROM (SELECT *, {_LETTERS_SQL} AS s FROM conversations))"""
 
 
 def agent_texts(spark, folder):
     """Every conversation row with its assembled `body`."""
-    s = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20)
+    s = F.regexp_replace("text", "[^A-Za-z ]", "")
     rows = table(spark, folder, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"),
         "conv_id", "turn", "role", "text", s.alias("s"), F.col("turn").cast("string").alias("t"),

@@ -77,77 +77,76 @@ def read_rejects(spark: SparkSession, store: str) -> DataFrame:
 def write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     """Number, link and store one micro-batch of messages.
 
-    Messages of sealed sessions, repeated starts and messages behind an end go to `rejects`.
+    Messages of sealed sessions, repeated starts, messages behind an end and messages without session or
+    number go to `rejects`. The batch is settled once, so a lost executor costs no second delivery.
     """
     spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        touched = batch.select("session_id").distinct()
-        heads = (
-            _stored(spark, store, "heads", _HEADS, batch_id)
-            .join(touched, "session_id", "left_semi")
-            .groupBy("session_id")
-            .agg(
-                F.max("next_seq").alias("next_seq"),
-                F.bool_or("started").alias("started"),
-                F.bool_or("sealed").alias("sealed"),
-            )
+    batch = settle(batch)
+    touched = batch.select("session_id").distinct()
+    heads = (
+        _stored(spark, store, "heads", _HEADS, batch_id)
+        .join(touched, "session_id", "left_semi")
+        .groupBy("session_id")
+        .agg(
+            F.max("next_seq").alias("next_seq"),
+            F.bool_or("started").alias("started"),
+            F.bool_or("sealed").alias("sealed"),
         )
-        start, end = F.col("type") == "start", F.col("type") == "end"
-        bounds = batch.groupBy("session_id").agg(
-            F.min(F.when(start, F.col("msg_no"))).alias("first_start"),
-            F.min(F.when(end, F.col("msg_no"))).alias("first_end"),
-        )
-        reason = (
-            F.when(F.col("sealed"), "session is sealed")
-            .when(start & F.col("started"), "session is already stored")
-            .when(start & (F.col("msg_no") > F.col("first_start")), "repeated start")
-            .when(F.col("msg_no") > F.col("first_end"), "behind the end")
-        )
-        judged = settle(
-            batch.join(bounds, "session_id")
-            .join(heads, "session_id", "left")
-            .withColumn("reason", reason)
-        )
-        columns = ["session_id", "msg_no", "ts", "type", "payload"]
-        _put(judged.filter(F.col("reason").isNotNull()).select(*columns, "reason"), store, "rejects", batch_id)
-        accepted = judged.filter(F.col("reason").isNull())
-        offsets = accepted.select(
-            "session_id", F.coalesce("next_seq", F.lit(0)).cast("bigint").alias("_offset")
-        ).distinct()
-
-        flat = flatten_messages(accepted.select(*columns))
-        nodes = settle(
-            running_number(flat, ["session_id"], ["msg_no", "block_no"], "_n")
-            .join(offsets, "session_id")
-            .withColumn("seq", F.col("_offset") + F.col("_n") - 1)
-            .withColumn("id", F.concat_ws("#", "session_id", F.col("seq").cast("string")))
-            .drop("_n", "_offset")
-        )
-        _put(_linked_with_stored(nodes, store, batch_id), store, "nodes", batch_id)
-        calls = nodes.filter(F.col("kind") == "tool_call")
-        _put(
-            calls.select("session_id", F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "seq"),
-            store, "calls", batch_id,
-        )
-        _put(session_parts(accepted.select(*columns)), store, "parts", batch_id)
-        tops = nodes.groupBy("session_id").agg((F.max("seq") + 1).alias("top"))
-        state = accepted.groupBy("session_id").agg(
-            F.coalesce(F.max("next_seq"), F.lit(0)).alias("_before"),
-            F.bool_or(start).alias("started"),
-            F.bool_or(end).alias("sealed"),
-        )
-        _put(
-            state.join(tops, "session_id", "left").select(
-                "session_id",
-                F.coalesce("top", "_before").cast("bigint").alias("next_seq"),
-                "started",
-                "sealed",
-            ),
-            store, "heads", batch_id,
-        )
-    finally:
-        batch.unpersist()
+    )
+    start, end = F.col("type") == "start", F.col("type") == "end"
+    bounds = batch.groupBy("session_id").agg(
+        F.min(F.when(start, F.col("msg_no"))).alias("first_start"),
+        F.min(F.when(end, F.col("msg_no"))).alias("first_end"),
+    )
+    reason = (
+        F.when(F.col("session_id").isNull() | F.col("msg_no").isNull(), "no session or number")
+        .when(F.col("sealed"), "session is sealed")
+        .when(start & F.col("started"), "session is already stored")
+        .when(start & (F.col("msg_no") > F.col("first_start")), "repeated start")
+        .when(F.col("msg_no") > F.col("first_end"), "behind the end")
+    )
+    judged = settle(
+        batch.join(bounds, "session_id", "left")
+        .join(heads, "session_id", "left")
+        .withColumn("reason", reason)
+    )
+    columns = ["session_id", "msg_no", "ts", "type", "payload"]
+    _put(judged.filter(F.col("reason").isNotNull()).select(*columns, "reason"), store, "rejects", batch_id)
+    accepted = judged.filter(F.col("reason").isNull())
+    offsets = accepted.select(
+        "session_id", F.coalesce("next_seq", F.lit(0)).cast("bigint").alias("_offset")
+    ).distinct()
+
+    flat = flatten_messages(accepted.select(*columns))
+    nodes = settle(
+        running_number(flat, ["session_id"], ["msg_no", "block_no"], "_n")
+        .join(offsets, "session_id")
+        .withColumn("seq", F.col("_offset") + F.col("_n") - 1)
+        .withColumn("id", F.concat_ws("#", "session_id", F.col("seq").cast("string")))
+        .drop("_n", "_offset")
+    )
+    _put(_linked_with_stored(nodes, store, batch_id), store, "nodes", batch_id)
+    calls = nodes.filter(F.col("kind") == "tool_call")
+    _put(
+        calls.select("session_id", F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "seq"),
+        store, "calls", batch_id,
+    )
+    _put(session_parts(accepted.select(*columns)), store, "parts", batch_id)
+    tops = nodes.groupBy("session_id").agg((F.max("seq") + 1).alias("top"))
+    state = accepted.groupBy("session_id").agg(
+        F.coalesce(F.max("next_seq"), F.lit(0)).alias("_before"),
+        F.bool_or(start).alias("started"),
+        F.bool_or(end).alias("sealed"),
+    )
+    _put(
+        state.join(tops, "session_id", "left").select(
+            "session_id",
+            F.coalesce("top", "_before").cast("bigint").alias("next_seq"),
+            "started",
+            "sealed",
+        ),
+        store, "heads", batch_id,
+    )
 
 
 def _linked_with_stored(nodes: DataFrame, store: str, batch_id: int) -> DataFrame:
@@ -187,10 +186,15 @@ def ingest(
 ) -> StreamingQuery:
     """Start the ingestion; with `available_now` it stops after the present files.
 
-    Redelivered messages are dropped by (session_id, msg_no), which the state store remembers.
+    Redelivered messages are dropped by (session_id, msg_no), which the state store remembers; those
+    without either are told apart by their content, so that each is rejected.
     """
+    nameless = F.col("session_id").isNull() | F.col("msg_no").isNull()
+    content = F.when(nameless, F.xxhash64("ts", "type", "payload"))
     writer = (
-        messages.dropDuplicates(["session_id", "msg_no"])
+        messages.withColumn("_content", content)
+        .dropDuplicates(["session_id", "msg_no", "_content"])
+        .drop("_content")
         .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, store))
         .option("checkpointLocation", checkpoint)
     )

@@ -137,7 +137,7 @@ def test_declared_robustness_follows_the_catalog(spark, tmp_path):
     with pytest.raises(ValueError, match="no point column"):
         run("population_seed")
     with pytest.raises(ValueError, match="invalid name"):
-        catalog.entry("../secret")
+        catalog.entry("../outside")
     assert {r["dataset"] for r in catalog.list_datasets().collect()} == {"spatial_seed", "population_seed", "bare"}
     assert catalog.resolved_grids().first()["cell_size"] == 100.0
 

@@ -19,13 +19,16 @@ def rows(spark):
     for group in ("hot", "b", "c"):
         for i in range(600 if group == "hot" else 7):
             data.append((group, i * rng.choice([1, 3]) - 20, i, rng.choice([None, rng.randrange(100)])))
+    data += [(None, i * 1_000_003, i, i) for i in range(30)]
+    data += [(g, None, i, i * 3) for g in ("hot", "b", None) for i in range(4)]
+    data += [("sparse", (i - 50) * 10**13, i, i) for i in range(100)]
     return inline_rows(spark, "g string, at bigint, tie int, v bigint", data)
 
 
 @pytest.mark.parametrize("width", [1, 7, 64, 1 << 16])
 def test_scans(rows, width):
     order = ["at", "tie"]
-    w = Window.partitionBy("g").orderBy(*order)
+    w = Window.partitionBy("g").orderBy(*(F.col(c).asc_nulls_last() for c in order))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     plain = rows.select(
         "*",

@@ -115,9 +115,9 @@ def test_all_null_dates(spark):
 
 def sample(spark):
     rows = [
-        (i, i % 3, f"x{i % 4}", datetime.date(2020, 1, 1) + datetime.timedelta(i)) for i in range(50)
+        (1000 - 7 * i, i % 5, "odd" if i % 2 else "even", datetime.date(1999, 3, 1) + datetime.timedelta(9 * i)) for i in range(60)
     ]
-    return inline_rows(spark, "id int, code int, label string, when_ date", rows)
+    return inline_rows(spark, "height int, grade int, parity string, seen_on date", rows)
 
 
 def test_inferred_kinds(spark):
@@ -135,20 +135,20 @@ def test_number_of_values_decides(spark, distinct, kind):
 
 def test_raw_profile_marks_inference_and_covers_every_column(spark):
     out = profile_raw(sample(spark))
-    assert {r["column"] for r in out.collect()} == {"id", "code", "label", "when_"}
+    assert {r["column"] for r in out.collect()} == {"height", "grade", "parity", "seen_on"}
     assert all(r["type_inferred"] for r in out.collect())
 
 
-ENTRY = """{"dataset": "d", "columns": {"label": {}, "id": {"type": "numeric"}, "odd": {"type": "graph"},
+ENTRY = """{"dataset": "d", "columns": {"parity": {}, "height": {"type": "numeric"}, "odd": {"type": "graph"},
   "g": {"type": "spatial", "srid": 2056, "geometry_type_attendu": "point"}}}"""
 
 
 def test_declared_profile_checks_its_columns(spark):
     catalog = catalog_from_entries(spark, [ENTRY])
-    got = profile_declared(sample(spark), catalog, "d", ["label", "id"])
-    assert {(r["column"], r["kind"]) for r in got.collect()} == {("label", "categorical"), ("id", "numeric")}
+    got = profile_declared(sample(spark), catalog, "d", ["parity", "height"])
+    assert {(r["column"], r["kind"]) for r in got.collect()} == {("parity", "categorical"), ("height", "numeric")}
     with pytest.raises(ValueError, match="not in the catalog"):
-        profile_declared(sample(spark), catalog, "d", ["code"])
+        profile_declared(sample(spark), catalog, "d", ["grade"])
     with pytest.raises(ValueError, match="not covered"):
         profile_declared(sample(spark), catalog, "d", ["odd"])
 

@@ -23,21 +23,21 @@ def texts(spark, *values):
 
 def test_observations_of_clean_and_wrapped_arrays(spark):
     df = texts(
-        spark, '[{"claim": "a", "statut": "fait"}]',
-        'Voici :\n```json\n[\n {"claim": "b", "statut": "hypothèse", "note": null},\n {"claim": "c", "statut": "refusé", "nature": "n"}\n]\n```\nfin',
+        spark, '[{"claim": "rivers rise", "statut": "fait"}]',
+        'My list:\n```\n[{"claim": "rain falls", "statut": "hypothèse", "note": null},\n\n{"claim": "snow stays", "statut": "refusé", "nature": "cold"}]\n``` end',
     )
     got = [(r["id"], r["position"], r["claim"], r["statut"], r["nature"]) for r in x.observations(df, "text").collect()]
-    assert sorted(got) == [(0, 0, "a", "fait", None), (1, 0, "b", "hypothèse", None), (1, 1, "c", "refusé", "n")]
+    assert sorted(got) == [(0, 0, "rivers rise", "fait", None), (1, 0, "rain falls", "hypothèse", None), (1, 1, "snow stays", "refusé", "cold")]
 
 
 @pytest.mark.parametrize(
     "text,reason",
     [
-        ("rien", "no_array"), ("[1, 2]", "no_array"), ('[{"claim": }]', "bad_json"),
-        ('[{"claim": "a", "statut": "vrai"}]', "bad_observation"), ('[{"statut": "fait"}]', "bad_observation"),
+        ("no list here", "no_array"), ("[1, 2]", "no_array"), ('[{"claim": }]', "bad_json"),
+        ('[{"claim": "dusk", "statut": "maybe"}]', "bad_observation"), ('[{"statut": "fait"}]', "bad_observation"),
         ('[{"claim": 5, "statut": "fait"}]', "bad_observation"),
         ('[{"claim": "a", "statut": "fait", "note": 3}]', "bad_observation"),
-        ('[{"claim": "a", "statut": "fait"}, {"claim": "b", "statut": "faux"}]', "bad_observation"),
+        ('[{"claim": "dawn", "statut": "fait"}, {"claim": "noon", "statut": 0}]', "bad_observation"),
     ],
 )
 def test_rejected_texts(spark, text, reason):
@@ -45,43 +45,49 @@ def test_rejected_texts(spark, text, reason):
     assert x.observations(texts(spark, text), "text").count() == 0
 
 
-F0 = '{"fiche_delta": null, "proposes_completion": false}'
-F1 = '{"fiche_delta": null, "proposes_completion": true}'
-TURNS = {
-    "prose before": (f"Point 1.\n\nQuestion 2.\n\n```json\n{F0}\n```\n", ("Point 1.\n\nQuestion 2.", None, False, None)),
-    "delta": (
-        'Voici.\n```json\n{"fiche_delta": {"dataset": "d"}, "proposes_completion": true}\n```\n',
-        ("Voici.", {"dataset": "d"}, True, None),
-    ),
-    "block first": (f"```json\n{F0}\n```\nQuestion 1.\n", ("Question 1.", None, False, None)),
-    "text after": (f"Voici.\n```json\n{F1}\n```\nValidez-vous ?\n", ("Voici.\n\n\nValidez-vous ?", None, True, None)),
-    "legacy": ('```json\n{"message": "ancien", "proposes_completion": false}\n```\n', ("ancien", None, False, None)),
-    "last wins": (f"```json\n{F0}\n```\npuis :\n```json\n{F1}\n```\n", ("puis :", None, True, None)),
-    "no block": ("juste du texte ", ("juste du texte", None, False, None)),
-    "no json": ("colonnes :\n```\na: b # non\n```\n", ("colonnes :\n```\na: b # non\n```", None, False, None)),
-    "array payload": ("p\n```json\n[1]\n```", ("p\n```json\n[1]\n```", None, False, None)),
-    "trailing": ('p\n```json\n{"a": 1} x\n```', ('p\n```json\n{"a": 1} x\n```', None, False, None)),
-    "empty payload": ("m\n```json\n{}\n```\n", ("m", None, False, None)),
-    "empty delta": ('P.\n```json\n{"fiche_delta": {}, "proposes_completion": true}\n```\n', ("P.", None, True, None)),
-    "text delta": ('P.\n```json\n{"fiche_delta": "voir", "proposes_completion": 0}\n```\n', ("P.", None, False, None)),
-    "list delta": ('P.\n```json\n{"fiche_delta": [], "proposes_completion": "no"}\n```\n', ("P.", None, True, None)),
-    "crlf": (f"P.\r\n```json\r\n{F1}\r\n```\r\n", ("P.", None, True, None)),
-    "illustration": (f"Ex :\n```yaml\na: code\n```\nQ4.\n```json\n{F0}\n```\n", ("Ex :\n\nQ4.", None, False, None)),
-    "old key": ('P.\n```json\n{"fiche_draft": {"a": 1}}\n```\n', ("P.", None, False, None)),
-    "questions": ('P.\n```json\n{"questions": [{"n": 1}]}\n```', ("P.", None, False, [{"n": 1}])),
-    "no list": ('P.\n```json\n{"questions": {"n": 1}}\n```', ("P.", None, False, None)),
-    "empty list": ('P.\n```json\n{"questions": []}\n```', ("P.", None, False, None)),
-}
+# A turn is prose, illustrations in fences of their own, and one payload fence. Every payload stands at every
+# place; what must come out follows from the rule, not from a list of cases.
+DELTAS = (None, {"owner": "north"}, {}, "see above", [1])
+ASKED = (None, [{"n": 7, "why": "?"}], [], {"n": 7})
+FLAGS = (True, False, 0, "soon", None)
+BROKEN = ("[3, 4]", '{"open": 1', "plain: words", '{"a": 1} and more')
+AROUND = (("Alpha beta.\n", ""), ("", "\nGamma delta.\n"), ("Alpha.\n", "\nDelta.\n"), ("Look:\n```ini\nk = v\n```\nThen.\n", ""))
+
+
+def turn_cases():
+    """(text, message, delta, completes, questions)."""
+    payloads = [
+        {"fiche_delta": DELTAS[i % 5], "questions": ASKED[i % 4], "proposes_completion": FLAGS[i % 5 - i % 3]} for i in range(20)
+    ]
+    payloads += [{}, {"unknown": 1}, {"message": "told inside", "proposes_completion": True}]
+    for number, payload in enumerate(payloads):
+        for before, after in AROUND:
+            text = f"{before}```json\n{json.dumps(payload)}\n```{after}"
+            outside = before.replace("```ini\nk = v\n```", "")
+            message = f"{outside}\n{after}".strip()
+            delta, questions = payload.get("fiche_delta"), payload.get("questions")
+            row = (
+                message, delta if isinstance(delta, dict) and delta else None, bool(payload.get("proposes_completion")),
+                questions if isinstance(questions, list) and questions else None,
+            )
+            yield (text, *row)
+            if "ini" not in before and number % 4 == 0 and not after:
+                yield (text.replace("\n", "\r\n"), *row)
+    yield '```json\n{"message": "told inside"}\n```', "told inside", None, False, None
+    for body in BROKEN:
+        text = f"Alpha.\n```json\n{body}\n```"
+        yield text, text, None, False, None
+    yield " nothing but prose ", "nothing but prose", None, False, None
+    early, late = json.dumps({"proposes_completion": True}), json.dumps({"proposes_completion": False})
+    yield f"```json\n{early}\n```\nthen\n```json\n{late}\n```", "then", None, False, None
 
 
 def test_turns(spark):
-    df = inline_rows(spark, "name string, text string", [(n, t) for n, (t, _) in TURNS.items()])
+    cases = list(turn_cases())
+    df = inline_rows(spark, "case int, text string", [(i, c[0]) for i, c in enumerate(cases)])
     for r in x.parsed_turns(df, "text").collect():
-        got = (
-            r["message"], json.loads(r["fiche_delta"]) if r["fiche_delta"] else None,
-            r["proposes_completion"], json.loads(r["questions"]) if r["questions"] else None,
-        )
-        assert got == TURNS[r["name"]][1], r["name"]
+        read = [json.loads(r[k]) if r[k] else None for k in ("fiche_delta", "questions")]
+        assert (r["message"], read[0], r["proposes_completion"], read[1]) == cases[r["case"]][1:], cases[r["case"]]
 
 
 def test_spaced_json_as_python_writes_it(spark):
@@ -140,13 +146,19 @@ def test_questions_merge_by_number_and_keep_their_place(spark):
     out = asked(spark, [{"n": 1, "e": "old"}, {"n": 2}, "text", 42], [{"c": "free"}, {"n": 1, "e": "new"}], [{"n": None}, {"n": "1"}])
     got = [(r["position"], r["n"], json.loads(r["question"])) for r in out.orderBy("position").collect()]
     assert [q for _, _, q in got] == [{"n": 1, "e": "new"}, {"n": 2}, {"c": "free"}, {"n": None}, {"n": "1"}]
-    assert [p for p, _, _ in got] == [1, 2, 3, 4, 5] and got[2][1] is None and got[3][1] is None
+    assert [p for p, _, _ in got] == [1, 2, 3, 4, 5]
+    assert [n for _, n, _ in got] == ["1", "2", None, None, "1"]
+
+
+def test_numbers_and_texts_are_told_apart(spark):
+    out = asked(spark, [{"n": 2}, {"n": 2.0, "again": 1}, {"n": "2"}, {"n": 2.5}])
+    assert [(r["n"], r["n_kind"]) for r in out.orderBy("position").collect()] == [("2", "number"), ("2", "text"), ("2.5", "number")]
 
 
 def test_answers_and_completeness(spark):
     full = {"n": 1, "constat": "c", "enjeu": "e", "options": {"a": "x"}}
     q = asked(spark, [full, {"n": 2, "constat": ""}, {"constat": "c"}])
-    answers = q.filter(F.col("position") == 1).select("session_id", "n", F.lit("1a").alias("reponse"))
+    answers = inline_rows(spark, "session_id string, n string, reponse string", [("s", "1", "1a"), ("s", "9", "none asked")])
     got = [tuple(r)[3:] for r in c.question_completeness(c.attach_answers(q, answers)).orderBy("position").collect()]
     assert got == [("", True, True), ("constat,enjeu,options", False, False), ("enjeu,options", False, False)]
 
@@ -165,10 +177,10 @@ def test_hash_ignores_write_order_and_writes_are_idempotent(spark, tmp_path):
 
 
 def test_coverage_wants_whole_words(spark):
-    entry = merged(spark, {"titre": "AccidentType_de et Hour-text, le prix (CHF)", "columns": {"RoadType_fr": {"sens": "voir AccidentHour"}}})
-    names = ["AccidentType", "AccidentType_de", "RoadType", "AccidentHour", "Hour", "prix (CHF)", "prix (EUR)"]
+    entry = merged(spark, {"titre": "wind_north then Sea-level, and area (km2)", "columns": {"Tide_low": {"sens": "as HighTide"}}})
+    names = ["wind", "wind_north", "Tide", "HighTide", "Sea", "area (km2)", "area (ha)"]
     df = inline_rows(spark, "dataset string, name string", [("d", n) for n in names])
-    assert sorted(r["name"] for r in c.uncovered_names(entry, df).collect()) == ["AccidentType", "RoadType", "prix (EUR)"]
+    assert sorted(r["name"] for r in c.uncovered_names(entry, df).collect()) == ["Tide", "area (ha)", "wind"]
     r = c.coverage(entry, df).first()
     assert (r["n_names"], r["n_covered"]) == (7, 4)
 
