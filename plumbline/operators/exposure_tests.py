@@ -6,8 +6,6 @@ for a categorical unit, one per resolution for cells), so all groups run in the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,9 +19,11 @@ DEFAULT_REPLICATES = 999
 MAX_REPLICATES = 9999
 SIGNIFICANCE = 0.05
 
-# Largest number of units whose probabilities are sent to the tasks as one vector (16 bytes each).
-VECTOR_UNITS = 1 << 17
-BLOCK_UNITS = 1 << 16
+#: Blocks of the null model's tree, a power of two; and counts a task draws at once.
+LEAVES = 1 << 10
+_CELLS = 1 << 21
+#: Units whose cumulative weights `hashed_redraws` takes.
+REDRAWN_UNITS = 1 << 17
 
 
 def clamp_replicates(n: int) -> int:
@@ -116,145 +116,88 @@ def argmax_units(tested: DataFrame, group: str | None = None) -> DataFrame:
     ).select(*groups, "subject", "row.*")
 
 
-def _draws(
-    seed: int, key: tuple[int, ...], n: int, p: np.ndarray
-) -> np.ndarray:
-    return np.random.default_rng([seed, *key]).multinomial(n, p)
-
-
 def _excess(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
     safe = np.where(expected > 0, expected, 1.0)
     return np.where(expected > 0, (counts - expected) / np.sqrt(safe), 0.0)
 
 
-def _replicates_by_vector(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Null statistics when every group's probabilities fit in one vector per task."""
-    spark = units.sparkSession
-    pdf = units.select("group", "weight", "expected", "n_total", "fixed").toPandas()
-    vectors = {}
-    for g, part in pdf.groupby("group"):
-        p = part["weight"].to_numpy(dtype=float)
-        fixed = np.flatnonzero(part["fixed"].to_numpy(dtype=bool))
-        vectors[int(g)] = (
-            p / p.sum(),
-            part["expected"].to_numpy(dtype=float),
-            int(part["n_total"].iloc[0]),
-            int(fixed[0]) if len(fixed) else None,
-        )
-    shared = spark.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for g, r in zip(batch["group"], batch["replicate"]):
-                p, expected, n, fixed = shared.value[int(g)]
-                z = _excess(_draws(seed, (int(g), int(r)), n, p), expected)
-                rows.append((g, r, z.max(), z[fixed] if fixed is not None else None))
-            yield pd.DataFrame(rows, columns=["group", "replicate", "max_z", "fixed_z"])
-
-    tasks = min(spark.sparkContext.defaultParallelism * 4, max(1, replicates // 8))
-    grid = spark.range(0, replicates, 1, tasks).select(
-        F.explode(F.array(*[F.lit(g).cast("bigint") for g in vectors])).alias("group"),
-        F.col("id").alias("replicate"),
-    )
-    return grid.mapInPandas(run, "group bigint, replicate bigint, max_z double, fixed_z double")
+def _draws(seed: int, *key: int) -> np.random.Generator:
+    return np.random.default_rng([seed, *key])
 
 
-def _replicates_by_block(
-    units: DataFrame, replicates: int, seed: int, block_units: int, n_units: int
-) -> DataFrame:
-    """The same statistics for any number of units.
+class _Tree:
+    """Totals of a group's blocks in all replicates, by halving: the same whichever block is asked for.
 
-    A multinomial splits exactly: block totals follow a multinomial over block weights, and counts
-    inside a block are multinomial given its total. Units are hashed to blocks of about
-    `block_units`; each task redraws one block for one run of replicates, and only the largest
-    excess per block is kept.
+    Node 1 is the root and holds the whole total; nodes 2k and 2k+1 share what node k has, by a binomial draw over
+    all replicates with a generator of its own. Leaf LEAVES + b is block b. Halves without weight get nothing.
     """
-    blocks = max(1, -(-n_units // block_units))
-    marked = units.withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
-    weights = marked.groupBy("group", "block").agg(
-        F.sum("weight").alias("w"), F.max("n_total").alias("n_total")
-    )
-    block_rows = weights.orderBy("group", "block").toPandas()  # one row per block
-    # Few blocks: cut the replicates into runs to fill the cluster, at the price of one copy of
-    # the block per run. Many blocks: one run each.
-    runs = max(1, 4 * units.sparkSession.sparkContext.defaultParallelism // len(block_rows))
-    chunk = max(1, -(-replicates // runs))
-    totals_of = {
-        int(g): (part["block"].to_numpy(), (part["w"] / part["w"].sum()).to_numpy(), int(part["n_total"].iloc[0]))
-        for g, part in block_rows.groupby("group")
-    }
-    spark = units.sparkSession
-    shared = spark.sparkContext.broadcast(totals_of)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for g, r in zip(batch["group"], batch["replicate"]):
-                ids, p, n = shared.value[int(g)]
-                yield pd.DataFrame(
-                    {
-                        "group": g, "block": ids, "chunk": r // chunk, "replicate": r,
-                        "n": _draws(seed, (int(g), int(r)), n, p),
-                    }
-                )
-
-    grid = spark.range(0, replicates, 1, max(1, replicates // 8)).select(
-        F.explode(F.array(*[F.lit(g).cast("bigint") for g in totals_of])).alias("group"),
-        F.col("id").alias("replicate"),
-    )
-    totals = grid.mapInPandas(
-        split, "group bigint, block int, chunk bigint, replicate bigint, n bigint"
-    )
-    last_chunk = F.lit((replicates - 1) // chunk).cast("bigint")
-    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
-    cells = marked.select(
-        "group", "block", chunks.alias("chunk"), F.col("unit").cast("string").alias("unit"),
-        "weight", "expected", "fixed",
-    )
 
-    def redraw(key, cells: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("unit")  # the draw must not depend on the arrival order
-        p = cells["weight"].to_numpy(dtype=float)
-        p = p / p.sum()
-        expected = cells["expected"].to_numpy(dtype=float)
-        fixed = np.flatnonzero(cells["fixed"].to_numpy(dtype=bool))
-        rows = []
-        for r, n in zip(totals["replicate"], totals["n"]):
-            z = _excess(_draws(seed, (int(key[0]), int(r), int(key[1])), int(n), p), expected)
-            rows.append((key[0], r, z.max(), z[fixed[0]] if len(fixed) else None))
-        return pd.DataFrame(rows, columns=["group", "replicate", "max_z", "fixed_z"])
-
-    keys = ["group", "block", "chunk"]
-    drawn = (
-        cells.groupBy(*keys)
-        .cogroup(totals.groupBy(*keys))
-        .applyInPandas(redraw, "group bigint, replicate bigint, max_z double, fixed_z double")
-    )
-    return drawn.groupBy("group", "replicate").agg(
-        F.max("max_z").alias("max_z"), F.max("fixed_z").alias("fixed_z")
-    )
+    def __init__(self, seed: int, group: int, total: int, weights: np.ndarray, replicates: int):
+        self.seed, self.group, self.replicates, self.total = seed, group, replicates, total
+        self.weights = np.zeros(2 * LEAVES)
+        self.weights[LEAVES:] = weights
+        for node in range(LEAVES - 1, 0, -1):
+            self.weights[node] = self.weights[2 * node] + self.weights[2 * node + 1]
+        self.held: dict[int, np.ndarray] = {}
+
+    def totals(self, node: int) -> np.ndarray:
+        if node == 1:
+            return np.full(self.replicates, self.total, np.int64)
+        if node not in self.held:
+            above = node // 2
+            n, left = self.totals(above), self.weights[2 * above] / self.weights[above]
+            if len(self.held) > 64:
+                self.held.clear()
+            taken = n if left == 1 else np.zeros_like(n) if left == 0 else _draws(self.seed, self.group, above).binomial(n, left)
+            self.held[2 * above], self.held[2 * above + 1] = taken, n - taken
+        return self.held[node]
 
 
 def null_statistics(
-    units: DataFrame,
-    replicates: int = DEFAULT_REPLICATES,
-    seed: int = 42,
-    n_units: int | None = None,
-    vector_units: int = VECTOR_UNITS,
-    block_units: int = BLOCK_UNITS,
+    units: DataFrame, replicates: int = DEFAULT_REPLICATES, seed: int = 42, n_units: int | None = None
 ) -> DataFrame:
     """(group, replicate, max_z, fixed_z) for multinomial redistributions of every group's total.
 
     `units` has group, unit, weight, expected, n_total and `fixed` (true for the one unit whose own
-    excess is followed). A replicate's generator is seeded by (seed, group, replicate), so the
-    partitioning does not change its draw.
+    excess is followed). One scheme for every number of units: units are hashed to LEAVES blocks, totals of blocks
+    come from a binary tree of binomial draws, and counts inside a block are multinomial given its total, which
+    together is the multinomial law. Draws are seeded by group and tree node, so neither the partitions nor the
+    number of units decide them. Collected and broadcast are the blocks' weights, LEAVES per group at most.
     """
-    n = units.count() if n_units is None else n_units
-    if n == 0:
+    if (units.isEmpty() if n_units is None else n_units == 0):
         raise ValueError("no units: the null distribution is undefined")
-    if n <= vector_units:
-        return _replicates_by_vector(units.orderBy("group", "unit"), replicates, seed)
-    return _replicates_by_block(units, replicates, seed, block_units, n)
+    marked = units.withColumn("block", F.pmod(F.xxhash64(F.col("unit").cast("string")), F.lit(LEAVES)).cast("int"))
+    sums = marked.groupBy("group", "block").agg(F.sum("weight").alias("w"), F.max("n_total").alias("n_total"))
+    trees = {}
+    for g, part in sums.toPandas().groupby("group"):
+        weights = np.zeros(LEAVES)
+        # The order of a sum must not decide a draw.
+        weights[part["block"].to_numpy()] = [float(f"{w:.12g}") for w in part["w"]]
+        trees[int(g)] = int(part["n_total"].iloc[0]), weights
+    shared = units.sparkSession.sparkContext.broadcast(trees)
+
+    def redraw(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        g, block = int(key[0]), int(key[1])
+        total, weights = shared.value[g]
+        n = _Tree(seed, g, total, weights, replicates).totals(LEAVES + block)
+        cells = cells.sort_values("unit", na_position="last")  # the draw must not depend on the arrival order
+        p = cells["weight"].to_numpy(dtype=float)
+        expected = cells["expected"].to_numpy(dtype=float)
+        fixed = np.flatnonzero(cells["fixed"].to_numpy(dtype=bool))
+        draw, step = _draws(seed, g, LEAVES + block), max(1, _CELLS // len(p))
+        most, own = np.empty(replicates), np.full(replicates, np.nan)
+        for k in range(0, replicates, step):
+            part = n[k : k + step]
+            z = _excess(draw.multinomial(part, p / p.sum()) if len(p) > 1 else part[:, None], expected)
+            most[k : k + step] = z.max(1)
+            if len(fixed):
+                own[k : k + step] = z[:, fixed[0]]
+        own = own if len(fixed) else None
+        return pd.DataFrame({"group": g, "replicate": np.arange(replicates), "max_z": most, "fixed_z": own})
+
+    cells = marked.select("group", "block", F.col("unit").cast("string").alias("unit"), "weight", "expected", "fixed")
+    drawn = cells.groupBy("group", "block").applyInPandas(redraw, "group bigint, replicate bigint, max_z double, fixed_z double")
+    return drawn.groupBy("group", "replicate").agg(F.max("max_z").alias("max_z"), F.max("fixed_z").alias("fixed_z"))
 
 
 def pseudo_p_values(nulls: DataFrame, observed: DataFrame, stat: str, name: str) -> DataFrame:
@@ -273,9 +216,9 @@ def hashed_redraws(
 
     The pick compares md5(seed|replicate|key) with cumulative weights, so any SQL engine can
     repeat it. The work is events * replicates hashes: use it to check a test against SQL, and
-    `null_statistics` for the test itself. `exposure` holds at most VECTOR_UNITS units.
+    `null_statistics` for the test itself. `exposure` holds at most REDRAWN_UNITS units.
     """
-    if exposure.count() > VECTOR_UNITS:
+    if exposure.count() > REDRAWN_UNITS:
         raise ValueError("too many units for per-event redraws; use null_statistics")
     upto = Window.orderBy(F.col("key").asc_nulls_last())
     everyone = Window.partitionBy()

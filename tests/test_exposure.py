@@ -133,21 +133,31 @@ def units_table(spark, k, n_total, group=0):
     )
 
 
-def test_blocks_follow_the_same_law_as_one_vector(spark):
+def test_the_law_is_multinomial(spark, monkeypatch):
     units = units_table(spark, 400, 20000).unionByName(units_table(spark, 50, 3000, 1))
-    one = x.null_statistics(units, 400, 1).toPandas()
-    many = x.null_statistics(units, 400, 1, vector_units=0, block_units=32).toPandas()
-    assert len(one) == len(many) == 800
-    for g in (0, 1):
-        a, b = one[one.group == g], many[many.group == g]
-        assert sorted(a.replicate) == sorted(b.replicate) == list(range(400))
-        for column in ("max_z", "fixed_z"):
-            spread = a[column].std() * (2 / 400) ** 0.5
-            assert abs(a[column].mean() - b[column].mean()) < 5 * spread
-            assert abs(a[column].std() / b[column].std() - 1) < 0.25
-    again = x.null_statistics(units.repartition(7), 400, 1, vector_units=0, block_units=32).toPandas()
+    drawn = x.null_statistics(units, 400, 1).toPandas()
+    assert len(drawn) == 800
+    rng = np.random.default_rng(9)
+    for g, part in units.toPandas().groupby("group"):
+        p, e = (part.weight / part.weight.sum()).to_numpy(), part.expected.to_numpy()
+        z = (rng.multinomial(int(part.n_total.iloc[0]), p, size=400) - e) / np.sqrt(e)
+        own = drawn[drawn.group == g]
+        assert sorted(own.replicate) == list(range(400))
+        for got, want in ((own.max_z, z.max(1)), (own.fixed_z, z[:, 7])):
+            assert abs(got.mean() - want.mean()) < 5 * want.std() * (2 / 400) ** 0.5
+            assert abs(got.std() / want.std() - 1) < 0.25
     keys = ["group", "replicate"]
-    assert np.allclose(many.sort_values(keys).max_z, again.sort_values(keys).max_z)
+    monkeypatch.setattr(x, "_CELLS", 1)
+    again = x.null_statistics(units.repartition(7), 400, 1, n_units=450).toPandas()
+    assert np.array_equal(drawn.sort_values(keys).to_numpy(), again.sort_values(keys).to_numpy())
+
+
+def test_totals_are_kept(spark):
+    """With one unit nothing can move; with equal ones no unit may gain what no other loses."""
+    one = x.null_statistics(units_table(spark, 1, 77), 50, 3).toPandas()
+    assert (one.max_z == 0).all() and len(one) == 50
+    tree = x._Tree(5, 0, 1000, np.ones(x.LEAVES), 20)
+    assert (sum(tree.totals(x.LEAVES + b) for b in range(x.LEAVES)) == 1000).all()
 
 
 def test_pseudo_p_bounds(spark):
