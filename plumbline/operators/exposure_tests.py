@@ -6,6 +6,8 @@ for a categorical unit, one per resolution for cells), so all groups run in the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -176,27 +178,53 @@ def null_statistics(
         trees[int(g)] = int(part["n_total"].iloc[0]), weights
     shared = units.sparkSession.sparkContext.broadcast(trees)
 
-    def redraw(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        g, block = int(key[0]), int(key[1])
-        total, weights = shared.value[g]
-        n = _Tree(seed, g, total, weights, replicates).totals(LEAVES + block)
-        cells = cells.sort_values("unit", na_position="last")  # the draw must not depend on the arrival order
+    def block_excess(tree: _Tree, g: int, block: int, cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest excess in the block, and that of the followed unit if it is here, per replicate."""
+        n = tree.totals(LEAVES + block)
         p = cells["weight"].to_numpy(dtype=float)
         expected = cells["expected"].to_numpy(dtype=float)
         fixed = np.flatnonzero(cells["fixed"].to_numpy(dtype=bool))
         draw, step = _draws(seed, g, LEAVES + block), max(1, _CELLS // len(p))
-        most, own = np.empty(replicates), np.full(replicates, np.nan)
+        most, own = np.empty(replicates), np.empty(replicates)
         for k in range(0, replicates, step):
             part = n[k : k + step]
             z = _excess(draw.multinomial(part, p / p.sum()) if len(p) > 1 else part[:, None], expected)
             most[k : k + step] = z.max(1)
-            if len(fixed):
-                own[k : k + step] = z[:, fixed[0]]
-        own = own if len(fixed) else None
-        return pd.DataFrame({"group": g, "replicate": np.arange(replicates), "max_z": most, "fixed_z": own})
+            own[k : k + step] = z[:, fixed[0]] if len(fixed) else 0
+        return most, own if len(fixed) else None
+
+    def redraw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees_here: dict[int, _Tree] = {}
+        most: dict[int, np.ndarray] = {}
+        own: dict[int, np.ndarray] = {}
+
+        def add(cells: pd.DataFrame) -> None:
+            for (g, block), part in cells.groupby(["group", "block"], sort=False):
+                tree = trees_here.setdefault(g, _Tree(seed, g, *shared.value[g], replicates))
+                top, followed = block_excess(tree, g, block, part)
+                most[g] = top if g not in most else np.maximum(most[g], top)
+                if followed is not None:
+                    own[g] = followed
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = (batch["group"] == batch["group"].iloc[-1]) & (batch["block"] == batch["block"].iloc[-1])
+            # Rows come block by block; the last block of a batch may go on in the next one.
+            held.append(batch[~last] if not last.all() else batch)
+            if not last.all():
+                add(pd.concat(held))
+                held = [batch[last]]
+        if held:
+            add(pd.concat(held))
+        for g, top in most.items():
+            yield pd.DataFrame({"group": g, "replicate": np.arange(replicates), "max_z": top, "fixed_z": own.get(g)})
 
     cells = marked.select("group", "block", F.col("unit").cast("string").alias("unit"), "weight", "expected", "fixed")
-    drawn = cells.groupBy("group", "block").applyInPandas(redraw, "group bigint, replicate bigint, max_z double, fixed_z double")
+    # Within a block units stand in order, so the draw does not depend on their arrival.
+    cells = cells.repartition("group", "block").sortWithinPartitions("group", "block", F.col("unit").asc_nulls_last())
+    drawn = cells.mapInPandas(redraw, "group bigint, replicate bigint, max_z double, fixed_z double")
     return drawn.groupBy("group", "replicate").agg(F.max("max_z").alias("max_z"), F.max("fixed_z").alias("fixed_z"))
 
 
