@@ -206,9 +206,32 @@ def concentration_measures(spark, folder):
     """The report without its random part."""
     report = concentration_test(
         events(spark, folder), "unit", weights(spark, folder), "customers per nation",
-        replicates=1, rounded=False,
+        rounded=False,
     )
     return report.select(
         "subject", "unit", "observed", F.round("expected", 6).alias("expected"),
         F.round("std_excess", 6).alias("std_excess"), "n_total", "n_units",
     )
+
+
+_CROWDED = f"(SELECT unit, CAST(CASE WHEN unit = '7' THEN 6 ELSE 1 END * observed AS BIGINT) AS observed FROM {_COUNTS})"
+
+
+@query(
+    "concentration_planted",
+    f"""WITH e AS (SELECT c.unit, c.observed, w.weight FROM {_CROWDED} c LEFT JOIN {_WEIGHTS} w ON c.unit IS NOT DISTINCT FROM w.key),
+    t AS (SELECT unit, observed, CAST(sum(observed) OVER () AS BIGINT) AS n_total, count(*) OVER () AS n_units,
+      sum(observed) OVER () * (weight / sum(weight) OVER ()) AS expected FROM e),
+    top AS (SELECT *, (observed - expected) / sqrt(expected) AS z FROM t ORDER BY observed DESC LIMIT 1)
+    SELECT s.subject, 999 AS n_permutations, n_total, n_units, unit, observed, round(expected, 6) AS expected,
+      round(z, 6) AS std_excess, CAST(0.001 AS DOUBLE) AS pseudo_p FROM top, (VALUES ('most_concentrated'), ('highest_raw_count')) AS s(subject)""",
+)
+def concentration_planted(spark, folder):
+    """The full test on orders of which one nation has six times its own: no draw reaches that, so p is 1 / 1000."""
+    copies = F.when(F.col("unit") == "7", 6).otherwise(1)
+    crowded = events(spark, folder).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    report = concentration_test(crowded, "unit", weights(spark, folder), "customers per nation", rounded=False)
+    return report.select(
+        "subject", "n_permutations", "n_total", "n_units", "unit", "observed",
+        F.round("expected", 6).alias("expected"), F.round("std_excess", 6).alias("std_excess"), "pseudo_p",
+    )
