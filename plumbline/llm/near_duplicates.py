@@ -3,8 +3,9 @@
 A document is the set of its word shingles, as 64-bit numbers. Equal sets are one class, and only the class
 with the smallest id goes on. The global order of shingles puts rare ones first:
 
-1. the lower half of all numbers is counted over the whole corpus, cut into fragments by number. Shingles of one document
-   come first, then those of few, then the upper half, then those of many; within each, by number;
+1. the lower half of all numbers is counted over the whole corpus, cut into fragments by number, and the upper half over
+   the documents that are still open then. Shingles of one document come first, then those of few, then
+   those of many; within each, by number;
 2. two sets of similarity 0.8 share a shingle among the first fifth of this order (prefix filter), at places
    that leave room for the overlap needed (positional filter). Shingles of one document fill most
    prefixes and match nothing;
@@ -34,13 +35,22 @@ PER_CENT = 80
 #: Documents of a counted shingle, and of a prefix shingle, above which it counts as common.
 COMMON = 32
 #: Shingles a task holds before it passes a block on, and shingles of a fragment.
-BLOCK_SHINGLES = 1 << 20
-FRAGMENT_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 19
+FRAGMENT_SHINGLES = 1 << 20
+#: Rows a task works on at once.
+SLICE_ROWS = 256
 SEGMENTS = 4
 LEADER_ROUNDS = 3
 _HALF = np.uint64(1 << 63)
 
 
+def sliced(batches: Iterator) -> Iterator:
+    """The batches in short slices, so that no more sets than that are held at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
 def set_of(text: bytes | None, words: Words, size: int) -> np.ndarray:
     return np.unique(shingles(words.of(text or b""), size))
 
@@ -57,8 +67,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        words = Words()
-        for batch in batches:
+        words = Words(1 << 18)
+        for batch in sliced(batches):
             sets = [set_of(t.as_py(), words, size) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -82,46 +92,53 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
 
 
-def shared_shingles(docs: DataFrame, size: int, fragments: int) -> DataFrame:
-    """(doc_id, few, many): the numbers in the lower half that other documents have too, by how many have them.
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values in a sorted array."""
+    if not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return first, np.diff(np.append(first, len(values)))
+
+
+def shared_shingles(sets: DataFrame, fragments: int, read) -> DataFrame:
+    """(doc_id, few, many): numbers of a document that others have too, by how many have them.
 
-    Tasks deal their numbers to fragments in blocks. Of equal sets in a block one is kept, that of the smallest
-    id. A number that many documents of a block have is common everywhere: its documents are told at once,
-    past the fragments (`fragment` below 0), and the fragment gets the number alone. So no block brings a
-    fragment more than COMMON documents per number.
+    `read` makes (id, digest, numbers below 2^63) of each row of a batch of `sets`. Tasks deal their numbers to
+    fragments in blocks. Of equal digests in a block one is kept, that of the smallest id. A number that many
+    documents of a block have is common everywhere: its documents are told at once, past the fragments (`fragment`
+    below 0), and the fragment gets the number alone. So no block brings a fragment more than COMMON
+    documents per number. What fragments find goes back to documents in as many parts as there are fragments.
     """
     width = -(-(1 << 63) // fragments)
 
+    def part_of(owners: np.ndarray) -> np.ndarray:
+        return (mixed(owners.view(np.uint64)) % np.uint64(fragments)).astype(np.int64)
+
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
-        words = Words()
-        sets: dict[bytes, tuple[int, np.ndarray]] = {}
-        held = 0
+        held: dict[bytes, tuple[int, np.ndarray]] = {}
+        size = 0
 
         def block():
-            ids = np.array([i for i, _ in sets.values()], np.int64)
-            numbers = np.concatenate([s for _, s in sets.values()])
-            owners = np.repeat(ids, [len(s) for _, s in sets.values()])
+            ids = np.array([i for i, _ in held.values()], np.int64)
+            numbers = np.concatenate([s for _, s in held.values()])
+            owners = np.repeat(ids, [len(s) for _, s in held.values()])
             order = np.argsort(numbers, kind="stable")
             numbers, owners = numbers[order], owners[order]
-            first = np.flatnonzero(np.diff(numbers, prepend=_HALF))
-            counts = np.diff(np.append(first, len(numbers)))
+            _, counts = _runs(numbers)
             common = np.repeat(counts > COMMON, counts)
             rows = []
 
             def add(fragment: int, n: np.ndarray, o: np.ndarray, told: np.ndarray) -> None:
                 rows.append((fragment, packed(np.diff(n, prepend=np.uint64(0))), packed(o), packed(told)))
 
-            where = (numbers // np.uint64(width)).astype(np.int64)
-            cuts = np.searchsorted(where, np.arange(fragments + 1))
+            cuts = np.searchsorted((numbers // np.uint64(width)).astype(np.int64), np.arange(fragments + 1))
             for k, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if begin < end:
-                    own = ~common[begin:end]
-                    n = numbers[begin:end]
+                    own, n = ~common[begin:end], numbers[begin:end]
                     add(k, n[own], owners[begin:end][own], np.unique(n[~own]))
-            past = mixed(owners.view(np.uint64)) % np.uint64(fragments)
+            past = part_of(owners)
             for k in np.unique(past[common]).tolist():
                 own = common & (past == k)
                 add(-1 - k, numbers[own], owners[own], numbers[:0])
@@ -129,22 +146,19 @@ def shared_shingles(docs: DataFrame, size: int, fragments: int) -> DataFrame:
             names = ["fragment", "numbers", "owners", "common"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = set_of(text.as_py(), words, size)
-                low = found[: np.searchsorted(found, _HALF)]
-                if not len(low):
+        for batch in sliced(batches):
+            for doc_id, digest, numbers in read(batch):
+                if not len(numbers):
                     continue
-                key = xxhash.xxh128_digest(found.tobytes())
-                if key in sets:
-                    sets[key] = (min(sets[key][0], doc_id), low)
+                if digest in held:
+                    held[digest] = min(held[digest][0], doc_id), numbers
                     continue
-                sets[key] = (doc_id, low)
-                held += len(low)
-                if held >= BLOCK_SHINGLES:
+                held[digest] = doc_id, numbers
+                size += len(numbers)
+                if size >= BLOCK_SHINGLES:
                     yield block()
-                    sets, held = {}, 0
-        if sets:
+                    held, size = {}, 0
+        if held:
             yield block()
 
     def count(table):
@@ -157,58 +171,114 @@ def shared_shingles(docs: DataFrame, size: int, fragments: int) -> DataFrame:
         told = np.unique(np.concatenate([unpacked(b[2], np.uint64) for b in blocks]))
         order = np.argsort(numbers, kind="stable")
         numbers, owners = numbers[order], owners[order]
-        first = np.flatnonzero(np.diff(numbers, prepend=_HALF))
-        counts = np.diff(np.append(first, len(numbers)))
+        first, counts = _runs(numbers)
         many = np.repeat((counts > COMMON) | np.isin(numbers[first], told), counts) | told_apart
         kept = np.repeat(counts > 1, counts) | many
         numbers, owners, many = numbers[kept], owners[kept], many[kept]
+        parts = part_of(owners)
+        rows = []
+        for k in np.unique(parts).tolist():
+            own = parts == k
+            rows.append((k, packed(np.diff(numbers[own], prepend=np.uint64(0))), packed(owners[own]), np.packbits(many[own]).tobytes()))
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["part", "numbers", "owners", "many"])
+
+    def gather(table):
+        import pyarrow as pa
+
+        numbers, owners, many = [], [], []
+        for n, o, m in zip(*(table.column(c).to_pylist() for c in ("numbers", "owners", "many"))):
+            numbers.append(np.cumsum(unpacked(n, np.uint64), dtype=np.uint64))
+            owners.append(unpacked(o, np.int64))
+            many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(owners[-1])).astype(bool))
+        numbers, owners, many = map(np.concatenate, (numbers, owners, many))
         by = np.argsort(owners, kind="stable")
         numbers, owners, many = numbers[by], owners[by], many[by]
-        cuts = np.flatnonzero(np.diff(owners, prepend=owners[0] - 1)) if len(owners) else np.empty(0, np.int64)
-        ends = np.append(cuts[1:], len(owners))
-        few = [numbers[a:b][~many[a:b]].tobytes() for a, b in zip(cuts, ends)]
-        lots = [numbers[a:b][many[a:b]].tobytes() for a, b in zip(cuts, ends)]
-        return pa.table([pa.array(owners[cuts], pa.int64()), pa.array(few, pa.binary()), pa.array(lots, pa.binary())], ["doc_id", "few", "many"])
+        first, counts = _runs(owners)
+        spans = list(zip(first.tolist(), (first + counts).tolist()))
+        few = [numbers[a:b][~many[a:b]].tobytes() for a, b in spans]
+        lots = [numbers[a:b][many[a:b]].tobytes() for a, b in spans]
+        return pa.table([pa.array(owners[first], pa.int64()), pa.array(few, pa.binary()), pa.array(lots, pa.binary())], ["doc_id", "few", "many"])
+
+    dealt = sets.mapInArrow(deal, "fragment bigint, numbers binary, owners binary, common binary")
+    found = dealt.groupBy("fragment").applyInArrow(lambda table: count(table), "part bigint, numbers binary, owners binary, many binary")
+    return found.groupBy("part").applyInArrow(lambda table: gather(table), "doc_id bigint, few binary, many binary")
+
+
+def text_sets(size: int):
+    """Reads (id, digest, lower half) from batches of (doc_id, text)."""
+    words = Words(1 << 18)
+
+    def read(batch) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        import xxhash
+
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            found = set_of(text.as_py(), words, size)
+            yield doc_id, xxhash.xxh128_digest(found.tobytes()), found[: np.searchsorted(found, _HALF)]
+
+    return read
 
-    dealt = docs.mapInArrow(deal, "fragment bigint, numbers binary, owners binary, common binary")
-    counted = dealt.groupBy("fragment").applyInArrow(lambda table: count(table), "doc_id bigint, few binary, many binary")
-    # A document has a row per fragment at most.
-    return counted.groupBy("doc_id").agg(F.collect_list("few").alias("few"), F.collect_list("many").alias("many"))
 
+def upper_halves(batch) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Reads (id, digest, upper half less 2^63) from batches of (doc_id, variant, numbers)."""
+    for doc_id, variant, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "numbers"))):
+        found = np.frombuffer(raw, np.uint64)
+        yield doc_id, variant.to_bytes(8, "little", signed=True), found[np.searchsorted(found, _HALF) :] ^ _HALF
 
-def prefixes(open_docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, variant, n, numbers, prefix, places): sorted numbers of each set, and those of its prefix that may match.
 
-    `open_docs` has (doc_id, text, few, many, prefix_length, digest); a text whose set has another digest is
-    not the one meant.
+def open_sets(open_docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, variant, n, numbers): sorted numbers of each set, from (doc_id, text, digest, variant).
+
+    A text whose set has another digest is not the one meant.
     """
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        words = Words()
-        for batch in batches:
+        words = Words(1 << 18)
+        for batch in sliced(batches):
             rows = []
-            columns = (batch.column(c) for c in ("doc_id", "text", "few", "many", "prefix_length", "digest", "variant"))
-            for doc_id, text, few, many, length, digest, variant in zip(*columns):
+            for doc_id, text, digest, variant in zip(*(batch.column(c) for c in ("doc_id", "text", "digest", "variant"))):
                 found = set_of(text.as_py(), words, size)
-                if xxhash.xxh128_digest(found.tobytes()) != digest.as_py():
-                    continue
-                few, many = (np.frombuffer(b"".join(x.as_py() or []), np.uint64) for x in (few, many))
-                low = found[: np.searchsorted(found, _HALF)]
-                common = np.isin(low, many)
-                rare = np.isin(low, few) & ~common
+                if xxhash.xxh128_digest(found.tobytes()) == digest.as_py():
+                    rows.append((doc_id.as_py(), variant.as_py(), len(found), found.tobytes()))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "variant", "n", "numbers"])
+
+    return open_docs.mapInArrow(cut, "doc_id bigint, variant bigint, n bigint, numbers binary")
+
+
+def prefix_entries(sets: DataFrame) -> DataFrame:
+    """(doc_id, variant, n, prefix, places): the shingles of each prefix that may match, in the global order.
+
+    `sets` also has few, many of the lower and few_up, many_up of the upper half, and prefix_length.
+    """
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["doc_id", "variant", "n", "numbers", "few", "many", "few_up", "many_up", "prefix_length"]
+        for batch in sliced(batches):
+            rows = []
+            for doc_id, variant, n, raw, few, many, few_up, many_up, length in zip(*(batch.column(c).to_pylist() for c in names)):
+                found = np.frombuffer(raw, np.uint64)
+                several = np.concatenate([np.frombuffer(few or b"", np.uint64), np.frombuffer(few_up or b"", np.uint64) | _HALF])
+                lots = np.concatenate([np.frombuffer(many or b"", np.uint64), np.frombuffer(many_up or b"", np.uint64) | _HALF])
+                common = np.isin(found, lots)
+                rare = np.isin(found, several) & ~common
                 alone = int((~common & ~rare).sum())
-                rest = np.concatenate([low[rare], found[len(low) :], low[common]])[: max(0, length.as_py() - alone)]
-                places = list(range(alone, alone + len(rest)))
-                rows.append((doc_id.as_py(), variant.as_py(), len(found), found.tobytes(), rest.view(np.int64).tolist(), places))
+                rest = np.concatenate([found[rare], found[common]])[: max(0, length - alone)]
+                if len(rest):
+                    rows.append((doc_id, variant, n, rest.view(np.int64).tolist(), list(range(alone, alone + len(rest)))))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                names = ["doc_id", "variant", "n", "numbers", "prefix", "places"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                out = ["doc_id", "variant", "n", "prefix", "places"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], out)
 
-    return open_docs.mapInArrow(cut, "doc_id bigint, variant bigint, n bigint, numbers binary, prefix array<bigint>, places array<bigint>")
+    return sets.mapInArrow(cut, "doc_id bigint, variant bigint, n bigint, prefix array<bigint>, places array<bigint>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,7 +294,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         edges = np.array([k * quarter for k in range(1, SEGMENTS)], np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, variant, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "n", "numbers"))):
                 found = np.frombuffer(raw, np.uint64)
@@ -239,7 +309,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         names = ["a", "v_a", "b", "v_b", "sizes"]
-        for batch in batches:
+        for batch in sliced(batches):
             sides = zip(batch.column("left"), batch.column("right"))
             counts = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in sides]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(counts, pa.int64())], [*names, "overlap"])
@@ -283,19 +353,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     fragments = max(1, math.ceil(total / FRAGMENT_SHINGLES))
     readable = told.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    shared = settle(shared_shingles(readable, size, fragments))
-    counted = F.aggregate(F.concat("few", "many"), F.lit(0).cast("bigint"), lambda n, b: n + F.octet_length(b)) / 8
+    shared = settle(shared_shingles(readable, fragments, text_sets(size)))
+    counted = (F.octet_length("few") + F.octet_length("many")) / 8
     known = classes.join(shared, "doc_id", "left").withColumn("prefix_length", F.col("n") - _fit(F.col("n"), PER_CENT, 100) + 1)
     # Where shingles of this document alone fill the prefix, nothing can match.
     known = known.where(F.col("low") - F.coalesce(counted.cast("bigint"), F.lit(0)) < F.col("prefix_length"))
     known = settle(known.select("doc_id", "few", "many", "prefix_length", "digest", F.xxhash64("digest").alias("variant")))
-    sets = prefixes(readable.join(known, "doc_id"), size)
+    sets = open_sets(readable.join(known.select("doc_id", "digest", "variant"), "doc_id"), size)
     if not linkable.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc_id", "variant"])
     sets = settle(sets)
+    # The upper half is counted over what is left: the others match nothing.
+    rest = sets.agg(F.sum("n")).first()[0] or 0
+    upper = shared_shingles(sets.select("doc_id", "variant", "numbers"), max(1, math.ceil(rest / 2 / FRAGMENT_SHINGLES)), upper_halves)
+    upper = settle(upper.withColumnsRenamed({"few": "few_up", "many": "many_up"}))
+    facts = known.drop("digest").join(upper, "doc_id", "left")
 
     index_length = F.col("n") - _fit(F.col("n"), 2 * PER_CENT, 100 + PER_CENT) + 1
-    entries = sets.select("doc_id", "variant", "n", index_length.alias("index_length"), F.explode(F.arrays_zip("prefix", "places")).alias("_e"))
+    prefixes = prefix_entries(sets.join(facts, ["doc_id", "variant"]))
+    entries = prefixes.select("doc_id", "variant", "n", index_length.alias("index_length"), F.explode(F.arrays_zip("prefix", "places")).alias("_e"))
     indexed = F.col("_e.places") < F.col("index_length")
     entries = settle(entries.select("doc_id", "variant", "n", F.col("_e.prefix").alias("shingle"), F.col("_e.places").alias("place"), indexed.alias("indexed")))
     sizes = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.count_if("indexed").alias("starts"))
@@ -334,7 +410,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         members, many = many, many.drop("component")
         if turn < LEADER_ROUNDS:
             members = members.withColumn("band", band)
-            drawn = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "variant", "component")).alias("_l")
+            # The fewer shingles of its own, the nearer a set is to all others of the group.
+            drawn = F.min(F.struct("place" if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), "doc_id", "variant", "component")).alias("_l")
             leaders = members.groupBy("shingle", "band").agg(drawn)
             leaders = leaders.select("shingle", "band", F.col("_l.doc_id").alias("a"), F.col("_l.variant").alias("v_a"), F.col("_l.component").alias("_c"))
             met = members.join(leaders, ["shingle", "band"]).where("component <> _c")
