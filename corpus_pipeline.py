@@ -7,10 +7,10 @@ and returns a DataFrame, which is written as Parquet and read again. All but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.decontamination import contaminated
-from plumbline.llm.mixing import mix_sources
+from plumbline.llm.mixing import mix_rows, row_hash
 from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import keep_good, train
 from plumbline.llm.suite import END_ID, tokenizer_path
@@ -51,14 +51,27 @@ def _row_key():
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole number of times."""
-    taken = mix_sources(docs.select("doc_id", "source", "text"))
-    copies = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
-    copies = settle(taken.groupBy("doc_id").agg(copies.alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id"))
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    """Every row as often as the mix takes it, to the nearest whole number of times, with or without an id."""
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix_rows(rows, row_hash(*docs.columns))
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    copies = taken.select("key", "nth", copies.alias("_copies")).where("_copies > 0")
+    copies = settle(_numbered(rows.select("_row", row_hash(*docs.columns).alias("key"))).join(copies, ["key", "nth"]).select("_row", "_copies"))
+    met = rows.join(copies, "_row")
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds `nth` to (_row, key): 1, 2, 3 and so on for rows of equal key, counted by stretches of at most 65536 rows."""
+    rows = settle(rows.withColumn("_stretch", F.shiftright("_row", 16)))
+    earlier = Window.partitionBy("key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("key", "_stretch").count()
+    starts = counts.select("key", "_stretch", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("key", "_stretch").orderBy("_row"))
+    numbered = rows.withColumn("_within", within).join(starts, ["key", "_stretch"])
+    return numbered.select("_row", "key", (F.col("_before") + F.col("_within")).alias("nth"))
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in seekable files, and what is read back from them."""
     return encode_to_files(docs, tokenizer_path(), END_ID)

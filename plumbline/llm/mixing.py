@@ -91,6 +91,11 @@ def sainte_lague(votes: DataFrame, group: list[str], candidate: str, vote: str,
     )
 
 
+def row_hash(*columns: str) -> Column:
+    """96 bits that tell a row's values."""
+    return F.struct(F.xxhash64(*columns).alias("long"), F.hash(*columns).alias("short"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -111,7 +116,26 @@ def mix_sources(
     its own, the last; null ids share a shard; repeated rows are taken one after another. Only `doc_id`, `text`
     and `source` are read. An empty table gives no row. All steps are DataFrame functions.
     """
-    sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = mix_rows(docs, row_hash("doc_id", "source", "text"), weights, most_copies, block_words, shard_docs, seed)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_rows(
+    docs: DataFrame,
+    key: Column,
+    weights: Sequence[int] = (5, 2, 1),
+    most_copies: int = MOST_COPIES,
+    block_words: int = BLOCK_WORDS,
+    shard_docs: int = SHARD_DOCS,
+    seed: int = 17,
+) -> DataFrame:
+    """`mix_sources` with what tells the rows: (key, nth, doc_id, size, source_size, target, taken).
+
+    Rows of equal `key` must be equal in `doc_id`, `text` and `source`; they count as rows 1, 2, 3 and so on, as `nth`.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    alike = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("_rows"))
+    sized = settle(alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))).drop("_rows"))
     shards = max(1, -(-sized.count() // shard_docs))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
     supply = settle(placed.groupBy("source", "shard").agg(F.sum("size").alias("supply")))
@@ -133,7 +157,7 @@ def mix_sources(
         F.least(F.col("seats") * block_words, F.col("supply") * most_copies).alias("words"),
     )
     known = placed.join(quotas, placed["source"].eqNullSafe(quotas["_source"]) & (F.col("shard") == F.col("_shard")))
-    seeded = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    seeded = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "key", "nth")
     rounds = F.when(F.col("supply") > 0, F.floor(F.col("words") / F.col("supply"))).otherwise(0)
     end = F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
@@ -141,5 +165,5 @@ def mix_sources(
         .withColumn("_rounds", rounds)
         .withColumn("_rest", F.col("words") - F.col("_rounds") * F.col("supply"))
         .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.col("_end") - F.col("size")))))
-        .select("doc_id", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.col("_part")).cast("bigint").alias("taken"))
+        .select("key", "nth", "doc_id", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.col("_part")).cast("bigint").alias("taken"))
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import corpus_pipeline
 from plumbline.llm import suite
+from tests.llm.test_mixing import filled
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,3 +50,28 @@ def test_registered():
     names = contract.queries()
     assert "pipeline" in names and set(suite.QUERIES) <= set(names)
     assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 11))
+
+
+def test_rows_without_id_are_mixed_by_their_own_source(spark):
+    rng = random.Random(3)
+    rows = []
+    for source, n in (("a", 60), ("b", 300), ("c", 900), (None, 40)):
+        for i in range(n):
+            text = " ".join([f"{source}{i}"] * rng.choice([1, 8, 30]))
+            rows.append((None if i % 4 else len(rows), text, "en", source, len(text)))
+    rows += [(None, "the same words again and again", "en", "c", 30)] * 200 + [(7, "one id, another text", "en", "b", 20)] * 3 + [(None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").repartition(3)
+    found = [tuple(r) for r in corpus_pipeline.mixed_sources(spark, docs, SMALL).collect()]
+    size, held = Counter(), Counter()
+    for r in rows:
+        size[r[3]] += len((r[1] or "").split())
+    for r in found:
+        held[r[3]] += len((r[1] or "").split())
+    for source, want in filled(size).items():
+        assert abs(held[source] - want) <= 60, (source, held[source], want)
+    had, got = Counter(rows), Counter(found)
+    assert all(n <= 3 * had[r] for r, n in got.items())
+    # Only the last few words of a source's blocks may be missing.
+    assert sum(got[r] < 3 * n for r, n in had.items() if r[3] == "a" and r[1]) <= 5
+    again = [tuple(r) for r in corpus_pipeline.mixed_sources(spark, docs.repartition(5), SMALL).collect()]
+    assert Counter(again) == got
