@@ -106,14 +106,14 @@ def mix_sources(
 ) -> DataFrame:
     """How many words of each document a mix takes: (doc_id, size, source_size, target, taken).
 
-    Documents are dealt to shards by a hash of their id. All blocks of the mix are apportioned to the sources by their
-    targets, then each source's blocks to the shards by the words it has there: integer quotas per source
+    Documents are dealt to shards by a hash of id, source, text and a running number among equal rows. All blocks of the
+    mix are apportioned to the sources by their targets, then each source's blocks to the shards by the words it has there: integer quotas per source
     and shard. Within both, documents stand in seeded order; a quota takes whole rounds of them, then the
     first blocks of that order. So only one document of a shard and source is cut, a source's words miss its target by
     about half a block, and none is taken more than `most_copies` times. Reruns agree.
 
     One row per row of `docs`. A null or empty text has size 0 and gives nothing; a null source is a source of
-    its own, the last; null ids share a shard; repeated rows are taken one after another. Only `doc_id`, `text`
+    its own, the last; null and repeated ids and repeated rows are dealt to shards like any others. Only `doc_id`, `text`
     and `source` are read. An empty table gives no row. All steps are DataFrame functions.
     """
     mixed = mix_rows(docs, row_hash("doc_id", "source", "text"), weights, most_copies, block_words, shard_docs, seed)
@@ -129,7 +129,7 @@ def mix_rows(
     shard_docs: int = SHARD_DOCS,
     seed: int = 17,
 ) -> DataFrame:
-    """`mix_sources` with what tells the rows: (key, nth, doc_id, size, source_size, target, taken).
+    """`mix_sources` with what tells the rows: (key, nth, shard, doc_id, size, source_size, target, taken).
 
     Rows of equal `key` must be equal in `doc_id`, `text` and `source`; they count as rows 1, 2, 3 and so on, as `nth`.
     """
@@ -137,7 +137,7 @@ def mix_rows(
     alike = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("_rows"))
     sized = settle(alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))).drop("_rows"))
     shards = max(1, -(-sized.count() // shard_docs))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "nth"), F.lit(shards)))
     supply = settle(placed.groupBy("source", "shard").agg(F.sum("size").alias("supply")))
     sources = source_targets(supply.groupBy("source").agg(F.sum("supply").alias("source_size")), weights, most_copies)
     sources = sources.withColumn("_one", F.lit(0)).withColumn(
@@ -157,7 +157,7 @@ def mix_rows(
         F.least(F.col("seats") * block_words, F.col("supply") * most_copies).alias("words"),
     )
     known = placed.join(quotas, placed["source"].eqNullSafe(quotas["_source"]) & (F.col("shard") == F.col("_shard")))
-    seeded = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "key", "nth")
+    seeded = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "key", "nth"), "doc_id", "size", "key", "nth")
     rounds = F.when(F.col("supply") > 0, F.floor(F.col("words") / F.col("supply"))).otherwise(0)
     end = F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
@@ -165,5 +165,5 @@ def mix_rows(
         .withColumn("_rounds", rounds)
         .withColumn("_rest", F.col("words") - F.col("_rounds") * F.col("supply"))
         .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.col("_end") - F.col("size")))))
-        .select("key", "nth", "doc_id", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.col("_part")).cast("bigint").alias("taken"))
+        .select("key", "nth", "shard", "doc_id", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.col("_part")).cast("bigint").alias("taken"))
     )

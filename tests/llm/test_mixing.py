@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-from plumbline.llm.mixing import mix_sources, sainte_lague
+from plumbline.llm.mixing import mix_rows, mix_sources, row_hash, sainte_lague
 
 
 def filled(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
@@ -53,6 +53,16 @@ def test_targets_and_bounds(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_equal_ids_are_dealt_to_many_shards(spark):
+    rows = [(None, "one text", "a")] * 400 + [(None, f"text {i}", "a") for i in range(400)] + [(7, f"text {i}", "a") for i in range(400)]
+    rows += [(10 + i, "more words than the others have", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mix_rows(docs, row_hash("doc_id", "source", "text"), shard_docs=50)
+    assert "shard" in mixed.columns and mixed.count() == len(rows)
+    assert max(r["count"] for r in mixed.groupBy("shard").count().collect()) <= 100
+    assert mixed.select("key", "nth").distinct().count() == len(rows)
+
+
 def test_quotients(spark):
     rng = random.Random(1)
     rows, want = [], {}
