@@ -12,8 +12,9 @@ ELLIPSIS = "…"
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+# Possessive and unrolled, so that long strings need no stack.
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_JSON_TOKEN = _JSON_STRING + r'|[,:]|[^",:]++'
 _NUMBER_KIND = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 

@@ -11,6 +11,7 @@ from plumbline.functions.text import shorten, spaced_json, spaced_json_length
 from plumbline.operators import curation as c
 from plumbline.operators import extraction as x
 from plumbline.operators import prepare, scoring
+from plumbline.operators.session_metrics import attribution_totals, output_attribution, session_outline
 from plumbline.sources.local import inline_rows
 
 
@@ -98,6 +99,37 @@ def test_spaced_json_as_python_writes_it(spark):
     assert [(r["s"], r["n"]) for r in got] == [(w, len(w)) for w in want]
 
 
+@pytest.mark.parametrize("size", [3_000, 60_000, 1_000_000])
+def test_spaced_json_of_very_long_strings(spark, size):
+    values = ["x" * size, '"\\\n' * (size // 10), {"a": "y:," * (size // 3), "b": [1, "z" * size]}]
+    texts = [json.dumps(v, separators=(",", ":")) for v in values]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = df.select(spaced_json(F.col("j")).alias("s"), spaced_json_length(F.col("j")).alias("n")).collect()
+    for value, row in zip(values, got):
+        assert row["s"] == json.dumps(value)
+        assert row["n"] == len(row["s"])
+
+
+def test_attribution_and_outline_of_very_long_texts(spark):
+    long = "w" * 1_000_000
+    turn = "Said.\n```json\n" + json.dumps({"message": "m", "questions": [{"number": 1, "text": long}]}) + "\n```\n"
+    nodes = spark.createDataFrame(
+        [
+            ("s#1", "s", 1, "s#0", "agent_turn", json.dumps({"text": turn}), "{}"),
+            ("s#2", "s", 2, "s#0", "tool_call", json.dumps({"name": "look", "input": {"q": long}}), "{}"),
+        ],
+        "id string, session_id string, seq bigint, parent_id string, kind string, content string, meta string",
+    )
+    attributed = output_attribution(nodes)
+    (row,) = attributed.collect()
+    assert row["questions"] == len(json.dumps([{"number": 1, "text": long}]))
+    assert attribution_totals(attributed).first()["questions"] == row["questions"]
+    sessions = spark.createDataFrame([("s", "open", None, None)], "session_id string, status string, question string, model string")
+    lines = {r["line_no"]: r["line"] for r in session_outline(sessions, nodes).collect()}
+    assert lines[1].startswith('  ├─ 🔧 look({"q": "www') and lines[1].endswith("…)")
+
+
+
 def test_shorten(spark):
     df = texts(spark, "a" * 101, "a" * 100, " b\n\t c ")
     got = [r[0] for r in df.orderBy("id").select(shorten(F.col("text"))).collect()]
