@@ -46,14 +46,22 @@ class DoubleArray:
         order = np.argsort(parents, kind="stable")
         firsts = np.concatenate([[0], np.flatnonzero(np.diff(parents[order])) + 1]) if len(order) else np.empty(0, np.int64)
         counts = np.diff(np.append(firsts, len(order)))
-        used = np.zeros(2 * len(parents) + int(codes.max(initial=0)) + 2, bool)
+        used = np.zeros(1024, bool)
         used[0] = True
+
+        def room(places: int) -> None:
+            """Makes `used` that long at least."""
+            nonlocal used
+            if len(used) < places:
+                used = np.concatenate([used, np.zeros(places, bool)])
+
         bases = np.zeros(len(parents) + 1, np.int64)
         # Nodes with several children first: the first place where all of them are free.
         free, top = 1, 1
         for k in np.flatnonzero(counts > 1).tolist():
             children = order[firsts[k] : firsts[k] + counts[k]]
             steps = codes[children] - codes[children[0]]
+            room(max(top, free) + int(steps[-1]) + 2)
             at = self._fit(used, free, top, steps)
             used[at + steps] = True
             top = max(top, at + int(steps[-1]) + 1)
@@ -61,8 +69,10 @@ class DoubleArray:
             bases[parents[children[0]]] = at - codes[children[0]]
             while used[free]:
                 free += 1
+                room(free + 1)
         # An only child fits anywhere: the free places in order.
         single = order[firsts[counts == 1]]
+        room(int(used.sum()) + len(single))
         slots[single + 1] = np.flatnonzero(~used)[: len(single)]
         bases[parents[single]] = slots[single + 1] - codes[single]
         size = int(slots.max(initial=0)) + 1
