@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.context_mixing import score_documents
 from plumbline.llm.decontamination import contaminated
 from plumbline.llm.fill_in_middle import fill_in_middle
 from plumbline.llm.mixing import mix_sources
@@ -189,6 +190,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(table(spark, folder, "conversations"))
 
 
+@query("op12_language_model")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
+
+
 @query(
     "op13_fill_in_middle",
     r"""
