@@ -3,11 +3,10 @@
 A text is spelled in bits: each word is its bytes and a blank, the text's end one byte more, and a byte is the bits of its
 prefix code. Every bit is predicted from counts of the training texts under several hashed contexts (the last 1, 2, 3 and 5
 bytes within the word, and the place in the byte's code). The predictions are mixed in the logistic domain with
-weights of the document, one set per place in the word (the gate); a table of the document refines the mixed
-probability (what came true where it had said the same); and a word's spelled probability is mixed with its share of all training
-words, the dictionary, and with its share of the document's words so far, again by shares of the document. Weights, table
-and shares learn online, block after block of the document's own words, whose sizes double from 32 to 1024. Every document
-starts from the same state, so scores depend on the training texts and its own words before alone.
+weights of the document, one set per length of the word before (the gate). A word's spelled probability is then refined
+adaptively: it is mixed with the word's share of all training words, the dictionary, and with its share of the document's words so
+far. Weights and the shares of this last mix learn online, block after block of the document's own words, whose sizes double
+from 32 to 1024. Every document starts from the same state, so scores depend on the training texts and its own words before alone.
 
 How the corpus is gathered: tasks pack texts into compressed blocks of about 16 MB and count each block's words. Counts are
 summed per word over all blocks (one row per block and word, and so the tables grow with the corpus) and go back to the blocks.
@@ -40,13 +39,15 @@ ORDERS = ((1, 16), (2, 20), (3, 21), (5, 22))
 FRAGMENT = 16
 COUNTING_TASKS = 256
 #: A slot's prediction is ln((ones + PRIOR) / (zeros + PRIOR)), kept in 1/STRETCH as one byte.
-PRIOR, STRETCH = 0.4, 12.0
+PRIOR, STRETCH = 0.1, 12.0
 GATES = 8
 FIRST_WEIGHT, RATE, DAMPING = 0.35, 0.6, 24.0
-BUCKETS, BUCKET_PRIOR = 33, 24.0
 #: First shares of spelling, of the dictionary and of the document's own words so far, and what they count as, in words.
-SHARES, SHARES_PRIOR = (0.3, 0.45, 0.25), 8.0
+SHARES, SHARES_PRIOR = (0.2, 0.55, 0.25), 6.0
 FIRST_WORDS, MOST_WORDS = 32, 1024
+#: Words that the array operations take at once, about.
+AT_ONCE = 1 << 14
+SPELLED = 1 << 13
 END, _PIECE = b"\n", b"\t"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = "block bigint, word binary, n bigint, payload binary"
@@ -163,11 +164,10 @@ class ByteCode:
         heapq.heapify(heap)
         parent, side = {}, {}
         for node in range(256, 511):
-            for bit in (0, 1):
-                _, _, below = heapq.heappop(heap)
-                parent[below], side[below] = node, bit
-                heap_total = _ if not bit else heap_total + _
-            heapq.heappush(heap, (heap_total, node, node))
+            (less, _, zero), (more, _, one) = heapq.heappop(heap), heapq.heappop(heap)
+            parent |= {zero: node, one: node}
+            side |= {zero: 0, one: 1}
+            heapq.heappush(heap, (less + more, node, node))
         nodes, bits, self.lengths = [], [], np.zeros(256, np.int64)
         for byte in range(256):
             way, at = [], byte
@@ -203,8 +203,8 @@ class Speller:
         total = np.concatenate([[0], np.cumsum(bits)])
         return total[ends] - total[ends - sizes]
 
-    def spell(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """(bit, gate, slots of each predictor, number of the word) for all bits of the words."""
+    def spell(self, keys: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(bit, slots of each predictor, number of the word) for all bits of the words."""
         told = list(map(spelled, keys))
         sizes = np.array([len(t) for t in told], np.int64)
         raw = np.frombuffer(b"".join(told), np.uint8)
@@ -227,7 +227,7 @@ class Speller:
                 context = context << np.uint64(8) | before[k]
             full = context[byte] << np.uint64(8) | node
             slots.append((full if 8 * (order + 1) <= log2 else (full * _SPREAD) >> np.uint64(64 - log2)).astype(np.int64))
-        return self.code.bits[step], np.minimum(place, GATES - 1)[byte].astype(np.uint8), slots, owner[byte]
+        return self.code.bits[step], slots, owner[byte]
 
 
 def predictor_tables(types: DataFrame, code: ByteCode) -> list[np.ndarray]:
@@ -245,8 +245,8 @@ def predictor_tables(types: DataFrame, code: ByteCode) -> list[np.ndarray]:
         tables = [np.zeros((2, 1 << log2), np.int64) for _, log2 in ORDERS]
         for batch in batches:
             keys, times = batch.column("word").to_pylist(), np.array(batch.column("c").to_pylist(), np.int64)
-            for k in range(0, len(keys), 1 << 14):
-                bit, _, slots, owner = speller.spell(keys[k : k + (1 << 14)])
+            for k in range(0, len(keys), SPELLED):
+                bit, slots, owner = speller.spell(keys[k : k + SPELLED])
                 weights = times[k:][owner]
                 for table, slot in zip(tables, slots):
                     np.add.at(table.reshape(-1), slot + bit.astype(np.int64) * table.shape[1], weights)
@@ -309,15 +309,14 @@ class Dictionary:
         self.bits = speller.lengths(keys)
         self.bytes = np.array([len(spelled(k)) for k in keys], np.int64)
         self.starts = np.cumsum(self.bits) - self.bits
-        total = int(self.bits.sum())
-        self.bit, self.gate = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        self.told = np.empty((total, len(tables)), np.int8)
-        for k in range(0, len(keys), 1 << 14):
-            bit, gate, slots, _ = speller.spell(keys[k : k + (1 << 14)])
-            at = int(self.starts[k])
-            self.bit[at : at + len(bit)], self.gate[at : at + len(bit)] = bit, gate
-            for j, (table, slot) in enumerate(zip(tables, slots)):
-                self.told[at : at + len(bit), j] = table[slot]
+        self.gate = np.minimum(self.bytes, GATES - 1)
+        # Each prediction with the sign of the bit: above 0 where it is right.
+        self.told = [np.empty(int(self.bits.sum()), np.int8) for _ in tables]
+        for k in range(0, len(keys), SPELLED):
+            bit, slots, _ = speller.spell(keys[k : k + SPELLED])
+            at, sign = int(self.starts[k]), bit.astype(np.int8) * np.int8(2) - np.int8(1)
+            for told, table, slot in zip(self.told, tables, slots):
+                told[at : at + len(bit)] = table[slot] * sign
 
     def units(self, text: bytes) -> np.ndarray:
         """Numbers of a text's words and its end."""
@@ -345,13 +344,9 @@ def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
     def per_text(values: np.ndarray) -> np.ndarray:
         return np.bincount(owner, weights=values[flat], minlength=len(texts))
 
-    score = np.zeros(len(texts))
-    k = words.told.shape[1]
-    weights = np.full((len(texts) * GATES, k), FIRST_WEIGHT, np.float32)
-    centres = (np.arange(BUCKETS) - BUCKETS // 2) / 2
-    right = np.tile(BUCKET_PRIOR / (1 + np.exp(-centres)), len(texts))
-    tried = np.full(len(texts) * BUCKETS, BUCKET_PRIOR)
-    shares = np.tile(np.array(SHARES) * SHARES_PRIOR, (len(texts), 1))
+    gates = np.zeros(len(flat), np.int64)
+    gates[1:] = words.gate[flat[:-1]]
+    gates[offsets] = 0
     # How often each word stood in its text before, and how many words did.
     same = owner * len(words.bits) + flat
     order = np.argsort(same, kind="stable")
@@ -360,47 +355,17 @@ def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
     before[order] = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
     with np.errstate(divide="ignore"):
         again = np.log(before) - np.log(np.maximum(np.arange(len(flat)) - offsets[owner], 1))
+
+    score = np.zeros(len(texts))
+    weights = np.full((len(words.told), len(texts) * GATES), FIRST_WEIGHT / STRETCH, np.float32)
+    shares = np.tile(np.array(SHARES) * SHARES_PRIOR, (len(texts), 1))
     at, width = 0, FIRST_WORDS
     active = np.arange(len(texts))
     while len(active):
         lengths = np.minimum(sizes[active] - at, width)
-        place = ranges(offsets[active] + at, lengths)
-        unit = flat[place]
-        text = np.repeat(active, lengths)
-        bits = words.bits[unit]
-        index = ranges(words.starts[unit], bits)
-        of_unit = np.repeat(np.arange(len(unit)), bits)
-        of_text = text[of_unit]
-        y = words.bit[index]
-        told = words.told[index].astype(np.float32) * np.float32(1 / STRETCH)
-        row = of_text * GATES + words.gate[index]
-        own = weights[row]
-        mixed = own[:, 0] * told[:, 0]
-        for j in range(1, k):
-            mixed += own[:, j] * told[:, j]
-        p = 1 / (1 + np.exp(-mixed))
-        bucket = of_text * BUCKETS + np.clip(np.rint(mixed * 2).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
-        refined = np.clip((p + (right / tried)[bucket]) / 2, 1e-6, 1 - 1e-6)
-        spelt = np.bincount(of_unit, weights=np.log(np.where(y, refined, 1 - refined)), minlength=len(unit))
-        whole = words.whole[unit]
-        with np.errstate(divide="ignore"):
-            said = np.stack([spelt, words.share[unit], np.where(whole, again[place], -np.inf)], 1)
-            said += np.log(shares / shares.sum(1, keepdims=True))[text]
-        total = np.logaddexp.reduce(said, 1)
-        # A long word's digest has no bits and no share: its pieces are scored.
-        total[bits == 0] = 0
-        score += np.bincount(text, weights=total, minlength=len(texts))
-
-        missed = y - p
-        rows = np.bincount(row, minlength=len(weights))
-        step = RATE / (rows + DAMPING)
-        for j in range(k):
-            weights[:, j] += step * np.bincount(row, weights=missed * told[:, j], minlength=len(weights))
-        right += np.bincount(bucket, weights=y, minlength=len(right))
-        tried += np.bincount(bucket, minlength=len(tried))
-        credit = np.where(whole[:, None], np.exp(said - total[:, None]), 0)
-        for j in range(len(SHARES)):
-            shares[:, j] += np.bincount(text, weights=credit[:, j], minlength=len(texts))
+        for group in np.split(np.arange(len(active)), np.flatnonzero(np.diff(np.cumsum(lengths) // AT_ONCE)) + 1):
+            place = ranges(offsets[active[group]] + at, lengths[group])
+            _forward(words, flat[place], owner[place], gates[place], again[place], weights, shares, score)
         at += width
         width = min(2 * width, MOST_WORDS)
         active = active[sizes[active] > at]
@@ -410,6 +375,39 @@ def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
     ]
 
 
+def _forward(words: Dictionary, unit, text, gate, again, weights, shares, score) -> None:
+    """One block of words of some texts: adds to their scores, then learns from it. Words of a text stand together."""
+    bits = words.bits[unit]
+    index = ranges(words.starts[unit], bits)
+    starts = np.minimum(np.cumsum(bits) - bits, max(len(index) - 1, 0))
+    row = text * GATES + gate
+    told = [np.take(t, index).astype(np.float32) for t in words.told]
+    margin = np.zeros(len(index), np.float32)
+    for j, t in enumerate(told):
+        margin += np.repeat(weights[j, row], bits) * t
+    # The bit's probability is 1 / (1 + against), and what the mix missed of it against / (1 + against).
+    against = np.exp(-np.clip(margin, -12, 12))
+    spelt, missed = -np.log1p(against), against / (1 + against)
+    sums = lambda x: np.where(bits > 0, np.add.reduceat(x, starts, dtype=np.float64), 0.0) if len(x) else np.zeros(len(bits))
+    whole = words.whole[unit]
+    with np.errstate(divide="ignore"):
+        said = np.stack([sums(spelt), words.share[unit], np.where(whole, again, -np.inf)], 1)
+        said += np.log(shares / shares.sum(1, keepdims=True))[text]
+    total = np.logaddexp.reduce(said, 1)
+    # A long word's digest has no bits and no share: its pieces are scored.
+    total[bits == 0] = 0
+    score += np.bincount(text, weights=total, minlength=len(score))
+
+    rows, place = np.unique(row, return_inverse=True)
+    step = RATE / STRETCH**2 / (np.bincount(place, weights=bits) + DAMPING)
+    for j, t in enumerate(told):
+        weights[j, rows] += step * np.bincount(place, weights=sums(missed * t))
+    credit = np.where(whole[:, None], np.exp(said - total[:, None]), 0)
+    texts, place = np.unique(text, return_inverse=True)
+    for j in range(len(SHARES)):
+        shares[texts, j] += np.bincount(place, weights=credit[:, j])
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
