@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; `conf` adds or overrides settings."""
@@ -56,4 +61,32 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _MADE.get():
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settled_tables() -> Iterator[list[str]]:
+    """The folders of all tables that are settled within the block, for `remove_tables`."""
+    made: list[str] = []
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def remove_tables(spark: SparkSession, made: list[str], read_by: Iterable[DataFrame] = ()) -> None:
+    """Delete settled tables whose readers have ended, so that disk use does not grow with the number of steps.
+
+    Tables that any of `read_by` still reads stay, and stay in `made`.
+    """
+    jvm = spark.sparkContext._jvm
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    names = {path.rpartition("/")[2] for path in made}
+    needed = {part for df in read_by for file in df.inputFiles() for part in file.split("/")[-3:] if part in names}
+    for path in [p for p in made if p.rpartition("/")[2] not in needed]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+        made.remove(path)
