@@ -12,6 +12,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_WORDS = 8
 SHARD_DOCS = 1024
 MOST_COPIES = 3
+STRETCH = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -91,6 +92,19 @@ def sainte_lague(votes: DataFrame, group: list[str], candidate: str, vote: str,
     )
 
 
+def numbered_copies(rows: DataFrame, times: Column, name: str, spread: list[str]) -> DataFrame:
+    """Each row `times` times, numbered from 1 on as `name`.
+
+    Numbers are made in stretches of STRETCH, so no row holds an array of all; the stretches of a row that stands very
+    often are dealt out by `spread` and their place.
+    """
+    stretches = rows.withColumn("_times", times.cast("bigint")).where("_times > 0")
+    stretches = stretches.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_times") - 1) / STRETCH))))
+    inner = F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(STRETCH).cast("bigint"), F.col("_times") - F.col("_stretch") * STRETCH))
+    dealt = stretches.repartition(*spread, "_stretch").withColumn("_in", F.explode(inner))
+    return dealt.withColumn(name, F.col("_stretch") * STRETCH + F.col("_in")).drop("_times", "_stretch", "_in")
+
+
 def row_hash(*columns: str) -> Column:
     """96 bits that tell a row's values."""
     return F.struct(F.xxhash64(*columns).alias("long"), F.hash(*columns).alias("short"))
@@ -135,7 +149,7 @@ def mix_rows(
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
     alike = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("_rows"))
-    sized = settle(alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))).drop("_rows"))
+    sized = settle(numbered_copies(alike, F.col("_rows"), "nth", ["key"]).drop("_rows"))
     shards = max(1, -(-sized.count() // shard_docs))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "nth"), F.lit(shards)))
     supply = settle(placed.groupBy("source", "shard").agg(F.sum("size").alias("supply")))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.components import merge_components
 from plumbline.llm.shingles import Words, mixed, shingles
-from plumbline.session import settle
+from plumbline.session import remove_tables, settle, settled_tables
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 80 * union.
@@ -227,8 +227,23 @@ def upper_halves(batch) -> Iterator[tuple[int, bytes, np.ndarray]]:
         yield doc_id, variant.to_bytes(8, "little", signed=True), found[np.searchsorted(found, _HALF) :] ^ _HALF
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) with texts compressed, for the way through a shuffle."""
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for batch in sliced(batches):
+            told = pa.array([tool.compress(t.as_py()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), told], ["doc_id", "text"])
+
+    return texts.mapInArrow(pack, "doc_id bigint, text binary")
+
+
 def open_sets(open_docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, variant, n, numbers): sorted numbers of each set, from (doc_id, text, digest, variant).
+    """(doc_id, variant, n, numbers): sorted numbers of each set, from (doc_id, text, digest, variant) with packed texts.
 
     A text whose set has another digest is not the one meant.
     """
@@ -236,12 +251,13 @@ def open_sets(open_docs: DataFrame, size: int) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
+        import zstandard
 
-        words = Words(1 << 18)
+        words, tool = Words(1 << 18), zstandard.ZstdDecompressor()
         for batch in sliced(batches):
             rows = []
             for doc_id, text, digest, variant in zip(*(batch.column(c) for c in ("doc_id", "text", "digest", "variant"))):
-                found = set_of(text.as_py(), words, size)
+                found = set_of(tool.decompress(text.as_py()), words, size)
                 if xxhash.xxh128_digest(found.tobytes()) == digest.as_py():
                     rows.append((doc_id.as_py(), variant.as_py(), len(found), found.tobytes()))
             if rows:
@@ -314,7 +330,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             counts = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in sides]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(counts, pa.int64())], [*names, "overlap"])
 
-    cut = sets.select("doc_id", "variant", "n", "numbers").mapInArrow(segments, "doc_id bigint, variant bigint, n bigint, segment int, numbers binary")
+    ends = pairs.select(F.col("a").alias("doc_id"), F.col("v_a").alias("variant")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("v_b").alias("variant")))
+    met = sets.select("doc_id", "variant", "n", "numbers").join(ends.distinct(), ["doc_id", "variant"], "left_semi")
+    cut = met.select("doc_id", "variant", "n", "numbers").mapInArrow(segments, "doc_id bigint, variant bigint, n bigint, segment int, numbers binary")
     left, right = (
         cut.select(F.col("doc_id").alias(x), F.col("variant").alias(f"v_{x}"), F.col("n").alias(f"n_{x}"), "segment", F.col("numbers").alias(name))
         for x, name in (("a", "left"), ("b", "right"))
@@ -344,6 +362,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     component, whatever their texts. Only `doc_id` and `text` are read. Jobs run while this is called; what
     they share is settled.
     """
+    with settled_tables() as made:
+        found = _near_duplicates(docs, size, lambda *read_by: remove_tables(docs.sparkSession, made, read_by))
+    remove_tables(docs.sparkSession, made, [found])
+    return found
+
+
+def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
+    """`tidy` takes what is still read of the tables settled so far; the others go."""
     told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = settle(signatures(told, size))
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -359,10 +385,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     # Where shingles of this document alone fill the prefix, nothing can match.
     known = known.where(F.col("low") - F.coalesce(counted.cast("bigint"), F.lit(0)) < F.col("prefix_length"))
     known = settle(known.select("doc_id", "few", "many", "prefix_length", "digest", F.xxhash64("digest").alias("variant")))
-    sets = open_sets(readable.join(known.select("doc_id", "digest", "variant"), "doc_id"), size)
+    sets = open_sets(packed_texts(readable).join(known.select("doc_id", "digest", "variant"), "doc_id"), size)
     if not linkable.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc_id", "variant"])
     sets = settle(sets)
+    tidy(signed, classes, known, sets)
     # The upper half is counted over what is left: the others match nothing.
     rest = sets.agg(F.sum("n")).first()[0] or 0
     upper = shared_shingles(sets.select("doc_id", "variant", "numbers"), max(1, math.ceil(rest / 2 / FRAGMENT_SHINGLES)), upper_halves)
@@ -376,6 +403,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     entries = settle(entries.select("doc_id", "variant", "n", F.col("_e.prefix").alias("shingle"), F.col("_e.places").alias("place"), indexed.alias("indexed")))
     sizes = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.count_if("indexed").alias("starts"))
     sizes = settle(sizes.where("docs > 1 AND starts > 0"))
+    tidy(signed, classes, sets, entries, sizes)
     few = entries.join(sizes.where(F.col("docs") <= COMMON).select("shingle"), "shingle", "left_semi")
     many = entries.join(sizes.where(F.col("docs") > COMMON).select("shingle"), "shingle", "left_semi")
 
@@ -395,6 +423,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     own = linkable.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "digest")
     own = own.join(classes.select("digest", F.col("doc_id").alias("b")), "digest").select("a", "b")
     labels = merge_components(labels, checked(pairs).unionByName(own))
+    many = settle(many)
+    tidy(signed, classes, sets, many, labels)
 
     def placed(rows: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
@@ -427,6 +457,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             met = met.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
             pairs = met.select(F.col("x.id").alias("a"), F.col("x.v").alias("v_a"), F.col("y.id").alias("b"), F.col("y.v").alias("v_b"))
         labels = merge_components(labels, checked(pairs))
+        tidy(signed, classes, sets, many, labels)
 
     found = classes.select("digest", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     found = found.select("digest", F.coalesce("component", "doc_id").alias("component"))

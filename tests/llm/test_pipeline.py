@@ -49,7 +49,7 @@ def test_registered():
 
     names = contract.queries()
     assert "pipeline" in names and set(suite.QUERIES) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 14))
 
 
 def test_rows_without_id_are_mixed_by_their_own_source(spark):
