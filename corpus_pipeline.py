@@ -7,82 +7,119 @@ and returns a DataFrame, which is written as Parquet and read again. All but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.decontamination import contaminated
-from plumbline.llm.mixing import mix_rows, row_hash
+from plumbline.llm.mixing import mix_rows, numbered_copies, row_hash
 from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import keep_good, train
 from plumbline.llm.suite import END_ID, tokenizer_path
 from plumbline.llm.token_files import encode_to_files
-from plumbline.session import settle
+from plumbline.session import remove_tables, settle, settled_tables
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labelled ones among `docs`."""
+    """Documents that the quality classifier accepts. It learns from the labelled ones among `docs`.
+
+    Whole texts of any length are scored; a null text counts as empty, an empty one has a score like any other. Rows that repeat share
+    their fate. An empty table stays empty.
+    """
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplicates the one with the smallest id; of rows that repeat an id, one.
+    """Of rows linked by near duplicates the one with the smallest id, nulls last; of equal rows, one.
 
-    Documents without words or without id are linked with nothing and stay.
+    Rows are told by a 64-bit hash of all their values, so rows that share an id or have none are rows of their own. Null, empty and
+    blank texts are linked with nothing and stay, however often. An empty table stays empty; texts of any length are read whole.
     """
-    groups = settle(near_duplicates(docs))
-    known = groups.where("doc_id IS NOT NULL")
-    others = known.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named, nameless = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    keyed = docs.select(_row_key(docs).alias("key"), F.struct(*docs.columns).alias("row"))
+    groups = settle(near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).where("n_shingles > 0"))
+    members = groups.groupBy("doc_id", "component_id").count().withColumnsRenamed({"doc_id": "key", "component_id": "component"})
+    several = groups.where("doc_id <> component_id").select(F.col("component_id").alias("component")).distinct()
+    linked = members.join(several, "component", "left_semi").join(keyed.select("key", "row.doc_id").distinct(), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = settle(linked.groupBy("component").agg(first).select("component", F.col("first.key").alias("key")))
+    others = members.join(several, "component", "left_semi").join(kept, "key", "left_anti").select("key", F.lit(True).alias("goes"))
+    repeated = members.where("count > 1").join(others, "key", "left_anti").select("key", F.lit(False).alias("goes"))
+    marks = settle(others.unionByName(repeated))
+    met = keyed.join(marks, "key", "left")
+    alone = met.where("goes IS NULL").select("row.*")
+    if marks.where("NOT goes").isEmpty():
+        return alone
+    return alone.unionByName(met.where("NOT goes").select("row.*").dropDuplicates())
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a test item. A row without id cannot be told by its id and is told by its text."""
-    found = contaminated(docs.withColumn("doc_id", _row_key()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = settle(found.select(F.col("doc_id").alias("_key")).distinct())
-    return docs.withColumn("_key", _row_key()).join(dirty, "_key", "left_anti").select(docs.columns)
+    """Rows whose text holds no copy of a test item, told by the text alone: equal texts share their fate, equal ids do not.
+
+    A null or empty text holds nothing and stays. Without items all rows stay; an empty table stays empty.
+    """
+    keyed = docs.select(F.xxhash64("text").alias("key"), F.struct(*docs.columns).alias("row"))
+    found = contaminated(keyed.select(F.col("key").alias("doc_id"), "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = settle(found.select(F.col("doc_id").alias("key")).distinct())
+    return keyed.join(dirty, "key", "left_anti").select("row.*")
 
 
-def _row_key():
-    """The id, or the text's hash where there is none."""
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+def _row_key(docs: DataFrame):
+    """A hash of all values of a row."""
+    return F.xxhash64(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it, to the nearest whole number of times, with or without an id."""
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mix_rows(rows, row_hash(*docs.columns))
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    copies = taken.select("key", "nth", copies.alias("_copies")).where("_copies > 0")
-    copies = settle(_numbered(rows.select("_row", row_hash(*docs.columns).alias("key"))).join(copies, ["key", "nth"]).select("_row", "_copies"))
-    met = rows.join(copies, "_row")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds `nth` to (_row, key): 1, 2, 3 and so on for rows of equal key, counted by stretches of at most 65536 rows."""
-    rows = settle(rows.withColumn("_stretch", F.shiftright("_row", 16)))
-    earlier = Window.partitionBy("key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("key", "_stretch").count()
-    starts = counts.select("key", "_stretch", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("key", "_stretch").orderBy("_row"))
-    numbered = rows.withColumn("_within", within).join(starts, ["key", "_stretch"])
-    return numbered.select("_row", "key", (F.col("_before") + F.col("_within")).alias("nth"))
+    """Every row as often as the mix takes it, to the nearest whole number of times, with or without an id.
+
+    A row's taken words by its words, rounded, is its number of copies; equal rows add theirs up. A null or empty text and a row of
+    no words has nothing to be taken and goes. A null source is a source of its own. An empty table stays empty.
+    """
+    key = row_hash(*docs.columns)
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)
+    taken = mix_rows(docs, key).groupBy("key").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = settle(taken.where("copies > 0"))
+    met = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).join(taken, "key")
+    single = met.where("rows = 1")
+    out = single.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
+    if taken.where("rows > 1").isEmpty():
+        return out
+    # Equal rows: one of them, as often as all are taken together.
+    repeated = met.where("rows > 1").dropDuplicates(["key"])
+    return out.unionByName(numbered_copies(repeated, F.col("copies"), "n", ["key"]).select("row.*"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in seekable files, and what is read back from them."""
+    """Token ids of all documents in seekable files, and what is read back from them.
+
+    A null or empty text is the end id alone; rows without id come first. An empty table gives no row.
+    """
     return encode_to_files(docs, tokenizer_path(), END_ID)
 
 
+#: Tables that the last stage settled; its result is written before the next one begins.
+_LEFT: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, which first deletes what the one before it has settled and nobody reads any more."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_tables(spark, _LEFT, [docs])
+        with settled_tables() as made:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", good_quality),
-    ("n-gram Jaccard join", one_of_each_group),
-    ("benchmark decontamination", without_benchmark),
-    ("mixing sources to target weights", mixed_sources),
-    ("token-ID / binary output", token_files),
+    ("quality classifier", _tidy(good_quality)),
+    ("n-gram Jaccard join", _tidy(one_of_each_group)),
+    ("benchmark decontamination", _tidy(without_benchmark)),
+    ("mixing sources to target weights", _tidy(mixed_sources)),
+    ("token-ID / binary output", _tidy(token_files)),
 ]
 
 #: SQL cannot express the trained classifier, the alignment or the encoder; tests compare with brute force.
@@ -90,7 +127,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`: (doc_id, start, n_tokens, ids_crc32) per row of the corpus, as read back from its token files.
+
+    Each stage's result is written in the shared folder and read by the next; a result goes when the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        with settled_tables() as made:
+            docs = settle(stage(spark, docs, sf_dir))
+        remove_tables(spark, before)
+        before = made[-1:]
     return docs
