@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.shingles import PlainWords
 
-#: Items of fewer words match nothing.
+#: Items of fewer words match by themselves alone, word for word.
 SEED_WORDS = 3
 SIMILAR = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: How much oftener than the median of its item a place's pairs may stand before they are left out, where others suffice.
 OFTEN = 4
-#: Pairs are counted in one document of so many. Counts choose among seeds that all find the same rows.
-COUNTED = 16
 #: Pairs of the test items that are looked for in one pass over the documents.
 BLOCK_GRAMS = 1 << 20
 #: Words of documents that are looked up at once.
@@ -63,9 +61,14 @@ class Items:
         self.words = [words.of(t) for _, t in rows]
         self.least = np.ones(len(rows), np.int64)
         self.width = np.ones(len(rows), np.int64)
+        # Items too short for seeds, by their word or their two words as a number.
+        self.short: dict[int, dict[int, list[int]]] = {1: {}, 2: {}}
         grams, owners, places, apart = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, w in enumerate(self.words):
-            if len(w) >= max(size, 2):
+            if 0 < len(w) < max(size, 2) and len(w) <= 2:
+                number = int((w if len(w) == 1 else pairs(w, 1))[0])
+                self.short[len(w)].setdefault(number, []).append(k)
+            elif len(w) >= 2:
                 score = math.ceil(similar * MATCH * len(w) - 1e-9)
                 self.least[k] = max(1, score - 2)
                 self.width[k] = max(0, 2 * len(w) - score) + 1
@@ -124,7 +127,7 @@ class Lookup:
 
 
 def document_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
-    """In how many documents each of some pairs stands, over one document of COUNTED."""
+    """In how many documents each of some pairs stands."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator) -> Iterator:
@@ -141,8 +144,7 @@ def document_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "docs"])
 
-    some = docs.select("text").sample(False, 1 / COUNTED, 17)
-    counted = some.mapInArrow(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    counted = docs.select("text").mapInArrow(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs"))
     out = np.zeros(len(wanted), np.int64)
     for row in counted.collect():
         out[row["gram"]] = row["docs"]
@@ -201,6 +203,21 @@ def candidates(items: Items, lookup: Lookup, words: np.ndarray, ends: np.ndarray
     return out
 
 
+def short_copies(items: Items, words: np.ndarray) -> list[tuple[int, int]]:
+    """(item, end) of items of one or two words that stand in a text as they are: the first place of each."""
+    out = []
+    for length, numbers in items.short.items():
+        if not numbers or len(words) < length:
+            continue
+        there = words if length == 1 else pairs(words, 1)
+        for at in np.flatnonzero(np.isin(there, np.array(list(numbers), np.uint64))).tolist():
+            out += [(k, at + length) for k in numbers[int(there[at])] if (items.words[k] == words[at : at + length]).all()]
+    first: dict[int, int] = {}
+    for k, end in out:
+        first.setdefault(k, end)
+    return list(first.items())
+
+
 def find_copies(docs: DataFrame, items: Items, similar: float) -> DataFrame:
     """(doc_id, item_id, score, similarity, end_word) for one block of items."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -225,7 +242,9 @@ def find_copies(docs: DataFrame, items: Items, similar: float) -> DataFrame:
             numbers, held, room = [], [], CHUNK_WORDS
             for n, text in enumerate(batch.column("text")):
                 own = words.of(text.as_py() or b"")
-                if len(own) < 2:
+                for k, end in short_copies(items, own):
+                    rows.append((n, items.ids[k], MATCH * len(items.words[k]), 1.0, end))
+                if len(own) < 2 or not len(items.grams):
                     continue
                 numbers.append(n)
                 held.append(own)
@@ -253,10 +272,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS,
     near diagonals; where a document has so many, it is aligned with the item. Common pairs are left out as far as the
     others still show every alignment. This holds where `similar` asks for a score of 3 or more.
 
-    Words are compared in lower case (A-Z) without punctuation around them. Null and empty texts match nothing, and
-    so do items of fewer than `size` words (2 at least). Null ids stay null; repeated rows are matched each. Only `doc_id`,
+    Words are compared in lower case (A-Z) without punctuation around them. Null and empty texts match nothing. Items of one
+    or two words, fewer than `size`, match where they stand word for word. Null ids stay null; repeated rows are matched each. Only `doc_id`,
     `item_id` and `text` are read. Items are taken in blocks of about a million pairs, each block in a pass
-    over a sample of the documents, which only sets what is looked up, and one over all; documents are never shuffled.
+    over the documents that counts and one that finds; documents are never shuffled.
     """
     told = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     asked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text"))
@@ -267,6 +286,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS,
         items = Items(held, size, similar)
         if len(items.grams):
             items.keep_rare(document_counts(told, items.distinct))
+        if len(items.grams) or any(items.short.values()):
             results.append(find_copies(told, items, similar))
 
     room = BLOCK_GRAMS

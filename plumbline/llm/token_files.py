@@ -33,6 +33,8 @@ from plumbline.session import settle
 #: Fixed by the formats.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
+#: Bytes of ids that a reading task takes, about.
+READ_BYTES = 64 << 20
 _ENTRY, _SPAN = "<III", "<qqQQ"
 _FILES = "file string, part int, frames bigint, docs bigint, tokens bigint"
 
@@ -271,7 +273,10 @@ def read_token_digests(files: DataFrame) -> DataFrame:
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    spread = files.select("file", "start").repartition(F.col("file"))
+    # A row is a whole file: the number of tasks follows from the ids to be read, not from the size of these rows.
+    count, tokens = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    tasks = min(count, -(-4 * tokens // READ_BYTES))
+    spread = files.select("file", "start").repartition(max(1, tasks))
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -28,6 +28,9 @@ from plumbline.session import settle
 
 LEAST_BYTES = 1000
 BLOCK_LINES = 256
+#: Index blocks, and compressed bytes of archives, that a reading task takes, about.
+TASK_BLOCKS = 1 << 10
+READ_BYTES = 16 << 20
 MAGIC = b"CAPINDX1"
 #: Fixed by the format: the profile of revisits that hold an equal payload.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -236,7 +239,9 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     Unknown and null keys give nothing; repeated ones are looked up once. The index's list of files, one
     line per file with its first and last key, is sent to all tasks; directories and blocks are read where needed.
     """
-    rows = sorted((r["first_key"], r["last_key"], r["file"]) for r in index.select("first_key", "last_key", "file").collect())
+    told = index.select("first_key", "last_key", "file", "blocks").collect()
+    rows = sorted((r["first_key"], r["last_key"], r["file"]) for r in told)
+    tasks = max(1, -(-sum(r["blocks"] for r in told) // TASK_BLOCKS))
     listed = keys.sparkSession.sparkContext.broadcast(rows)
 
     def find(batches: Iterator) -> Iterator:
@@ -279,12 +284,15 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     asked = keys.select("key").where(F.col("key").isNotNull()).distinct()
     asked = asked.repartitionByRange("key").sortWithinPartitions("key")
     blocks = asked.mapInArrow(find, "key string, file string, at bigint, size bigint")
-    blocks = blocks.repartition("file", "at").sortWithinPartitions("file", "at", "key")
+    blocks = blocks.repartition(tasks, "file", "at").sortWithinPartitions("file", "at", "key")
     return blocks.mapInArrow(search, _CAPTURE)
 
 
-def read_captures(captures: DataFrame) -> DataFrame:
-    """The records of captures, read by range and checked: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+def read_captures(captures: DataFrame, tasks: int = 200) -> DataFrame:
+    """The records of captures, read by range and checked: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    `tasks` follows from the bytes to be read: the rows that name them are small.
+    """
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -298,15 +306,17 @@ def read_captures(captures: DataFrame) -> DataFrame:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    places = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    places = captures.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
     return places.sortWithinPartitions("archive", "offset").mapInArrow(read, _RECORD)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
     """Write the archives and their index, then look every URL up and read its captures back.
 
-    One row per row of `pages`; repeated rows and URLs come back as often as they stand there.
+    One row per row of `pages`; repeated rows and URLs come back as often as they stand there. A null html is an empty
+    payload. An empty table writes no file and gives no row; a page of any length is one record, which a task holds once.
     """
     captures = write_archives(pages)
     index = write_index(captures)
-    return read_captures(lookup(index, captures.select("key")))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return read_captures(lookup(index, captures.select("key")), max(1, -(-size // READ_BYTES)))

@@ -128,3 +128,12 @@ def test_edits_everywhere_and_common_half(spark):
     want = {(d, k): score for d, text in enumerate(docs) for k, item in enumerate(items) if (score := slow(item, text)) >= len(item)}
     assert {(0, 0), (1, 0), (2, 1), (3, 5), (4, 6)} <= set(want)
     assert {(r.doc_id, r.item_id): r.score for r in found} == want and len(found) == len(want)
+
+
+def test_items_of_one_and_two_words_match_word_for_word(spark):
+    docs = spark.createDataFrame(
+        [(1, "A Blue, whale sings."), (2, "whale blue and more blue"), (3, "the blue sky"), (None, "blue whale"), (5, None), (6, "zymurgy")], "doc_id bigint, text string"
+    )
+    items = spark.createDataFrame([(1, "blue whale"), (2, "Zymurgy!"), (3, ""), (4, None), (5, "...")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.similarity, r.end_word) for r in contaminated(docs, items).collect()}
+    assert found == {(1, 1, 1.0, 3), (None, 1, 1.0, 2), (6, 2, 1.0, 1)}

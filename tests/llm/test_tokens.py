@@ -118,3 +118,17 @@ def test_a_plain_reader_unpacks_the_file(spark):
         data = source.read()
     whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
     assert struct.unpack_from("<I", whole) == (1,)
+
+
+def test_reading_tasks_grow_with_the_ids(spark, monkeypatch):
+    from plumbline.llm import token_files as files
+    from plumbline.llm.suite import END_ID, tokenizer_path
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word by word ', 40) AS text").repartition(8)
+    written = files.write_token_files(docs, tokenizer_path(), END_ID)
+    tokens, n = written.selectExpr("sum(tokens)", "count(*)").first()
+    for size in (1 << 30, 4 * tokens // 2, 1):
+        monkeypatch.setattr(files, "READ_BYTES", size)
+        read = files.read_token_digests(written)
+        assert read.rdd.getNumPartitions() == max(1, min(n, -(-4 * tokens // size)))
+        assert read.count() == 3000
