@@ -72,42 +72,59 @@ def _read(data: bytes, at: int = 0):
     return kind, has_z, parts, at
 
 
+def _plain_points(wkb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are little-endian two-dimensional points, and their coordinates, read from Arrow's own buffers."""
+    wide = pa.types.is_large_binary(wkb.type)
+    _, offsets, data = wkb.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[wkb.offset : wkb.offset + len(wkb) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    present = np.asarray(pc.is_valid(wkb).to_numpy(zero_copy_only=False), bool)
+    plain = np.flatnonzero(present & (np.diff(ends) == 21))
+    told = raw[ends[plain, None] + np.arange(21)]
+    own = (told[:, :5] == np.frombuffer(b"\x01\x01\x00\x00\x00", np.uint8)).all(1)
+    return plain[own], np.ascontiguousarray(told[own, 5:]).view("<f8").reshape(-1, 2)
+
+
 @F.arrow_udf(_DECODED)
 def decode_wkb(wkb: pa.Array) -> pa.Array:
-    """BINARY -> struct(type, has_z, x, y, parts); x and y for points, parts for all others."""
+    """BINARY -> struct(type, has_z, x, y, parts); x and y for points, parts for all others.
+
+    Plain points are decoded as arrays, all other values of the batch one by one.
+    """
     if isinstance(wkb, pa.ChunkedArray):
         wkb = wkb.combine_chunks()
-    lengths = pc.binary_length(wkb)
-    names = ["type", "has_z", "x", "y", "parts"]
-    if len(wkb) and wkb.null_count == 0 and pc.all(pc.equal(lengths, 21)).as_py():
-        data = np.frombuffer(b"".join(wkb.to_pylist()), "u1").reshape(-1, 21)
-        if (data[:, :5] == np.frombuffer(b"\x01\x01\x00\x00\x00", "u1")).all():
-            xy = np.ascontiguousarray(data[:, 5:]).view("<f8")
-            n = len(wkb)
-            present = ~np.isnan(xy[:, 0])
-            return pa.StructArray.from_arrays(
-                [
-                    pa.array(["POINT"] * n), pa.array(np.zeros(n, bool)),
-                    pa.array(xy[:, 0], mask=~present), pa.array(xy[:, 1], mask=~present),
-                    pa.nulls(n, _PARTS),
-                ],
-                names,
-            )
-    rows = []
-    for blob in wkb.to_pylist():
-        if blob is None:
-            rows.append(None)
-            continue
-        kind, has_z, parts, _ = _read(blob)
-        at = parts[0]["xy"][0] if kind == 1 and parts[0]["xy"] else {}
-        rows.append(
-            {
-                "type": TYPE_NAMES[kind], "has_z": has_z, "x": at.get("x"), "y": at.get("y"),
-                "parts": None if kind == 1 else parts,
-            }
-        )
-    kinds = [pa.string(), pa.bool_(), pa.float64(), pa.float64(), _PARTS]
-    return pa.array(rows, pa.struct(list(zip(names, kinds))))
+    n = len(wkb)
+    plain, xy = _plain_points(wkb)
+    here, z = np.zeros(n, bool), np.zeros(n, bool)
+    at = np.full((n, 2), np.nan)
+    here[plain], at[plain] = True, xy
+    names = np.full(n, "POINT", object)
+    parts: list = [None] * n
+    missing = ~np.asarray(pc.is_valid(wkb).to_numpy(zero_copy_only=False), bool)
+    for k in np.flatnonzero(~here & ~missing).tolist():
+        kind, z[k], read, _ = _read(wkb[k].as_py())
+        names[k] = TYPE_NAMES[kind]
+        if kind != 1:
+            parts[k] = read
+        elif read[0]["xy"]:
+            at[k] = read[0]["xy"][0]["x"], read[0]["xy"][0]["y"]
+    absent = np.isnan(at[:, 0])
+    columns = [
+        pa.array(names, pa.string()), pa.array(z), pa.array(at[:, 0], mask=absent), pa.array(at[:, 1], mask=absent), pa.array(parts, _PARTS),
+    ]
+    return pa.StructArray.from_arrays(columns, ["type", "has_z", "x", "y", "parts"], mask=pa.array(missing))
+
+
+# Fixed by the format, as hexadecimal text: byte order, then a code of 1 to 7 with an offset of thousands or flags for Z, M and srid.
+_LITTLE = "01((0[1-7]00|E[9A-F]03|D[1-7]07|B[9A-F]0B)0000|0[1-7]0000(20|40|60|80|A0|C0|E0))"
+_BIG = "00(0000(000[1-7]|03E[9A-F]|07D[1-7]|0BB[9A-F])|(20|40|60|80|A0|C0|E0)00000[1-7])"
+
+
+def looks_like_wkb(binary: Column) -> Column:
+    """Whether a value begins like well-known binary and is long enough for a point or a count; NULL for NULL."""
+    head = F.hex(F.substring(binary, 1, 5))
+    point = head.rlike("^(01(0100|E903|D107|B90B)|0101|00.{6}01|000000(03E9|07D1|0BB9))")
+    return head.rlike(f"^({_LITTLE}|{_BIG})$") & (F.octet_length(binary) >= F.when(point, 21).otherwise(9))
 
 
 @F.arrow_udf(T.BinaryType())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.wkb import looks_like_wkb
 from plumbline.sources.local import inline_rows
 
 CATEGORICAL_MAX = 25
@@ -31,16 +34,23 @@ def _type_kind(kind: T.DataType) -> str:
     return "categorical"
 
 
-def inferred(df: DataFrame) -> tuple[dict[str, str], dict[str, int]]:
-    """({column: kind}, {string column: longest value}), from two small-result jobs."""
-    kinds = {f.name: _type_kind(f.dataType) for f in df.schema.fields}
+def inferred(df: DataFrame, spatial: Collection[str] = ()) -> tuple[dict[str, str], dict[str, int]]:
+    """({column: kind}, {string column: longest value}), from two small-result jobs.
+
+    Columns named in `spatial` are geometry, as their file's footer says. A binary column that no footer names is geometry
+    if it has values and all of them begin like well-known binary.
+    """
+    kinds = {f.name: "spatial" if f.name in spatial else _type_kind(f.dataType) for f in df.schema.fields}
+    binaries = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType) and f.name not in spatial]
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     measures = [F.approx_count_distinct(c, _SKETCH_ERROR).alias(c) for c in numbers]
     measures += [F.max(F.length(c)).alias(c) for c in texts]
+    measures += [F.bool_and(looks_like_wkb(F.col(c))).alias(c) for c in binaries]
     if not measures:
         return kinds, {}
     seen = df.agg(*measures).first()
+    kinds |= {c: "spatial" for c in binaries if seen[c]}
     few = [c for c in numbers if seen[c] <= _SKETCH_MARGIN]
     if few:
         exact = df.agg(*[F.size(F.collect_set(c)).alias(c) for c in few]).first()

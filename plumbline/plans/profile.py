@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.wkb import decode_wkb, geometry, point_geometry
@@ -24,6 +24,8 @@ from plumbline.operators.temporal import (
     volume_by_year,
 )
 from plumbline.sources.catalog import Catalog
+from plumbline.sources.geoparquet import geometry_columns
+from plumbline.sources.tables import guarded_path, safe_name, scan
 
 KINDS = ("categorical", "numeric", "temporal", "spatial")
 
@@ -115,12 +117,26 @@ def profile_columns(
     return out
 
 
-def profile_raw(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Profile of an undeclared table; kinds are candidates, marked by `type_inferred`."""
+def profile_raw(df: DataFrame, columns: Sequence[str] | None = None, spatial: Mapping[str, int | None] | None = None) -> DataFrame:
+    """Profile of an undeclared table; kinds are candidates, marked by `type_inferred`.
+
+    `spatial` names the geometry columns that are known beforehand, with their srid.
+    """
     df = df.select(*columns) if columns else df
-    kinds, lengths = inferred(df)
+    known = {c: srid for c, srid in (spatial or {}).items() if c in df.columns}
+    kinds, lengths = inferred(df, known)
     wide = [c for c, longest in lengths.items() if longest > KEY_LENGTH]
-    return profile_columns(df, kinds, wide).withColumn("type_inferred", F.lit(True))
+    return profile_columns(df, kinds, wide, known).withColumn("type_inferred", F.lit(True))
+
+
+def profile_raw_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """Raw profile of a Parquet dataset below `root`, geometry by its footer, marked with its name as untrusted content.
+
+    A path outside of `root`, of another format or without a dataset is an error.
+    """
+    full = guarded_path(spark, root, path)
+    profile = profile_raw(scan(spark, full), spatial=geometry_columns(spark, full))
+    return profile.select(F.lit(safe_name(full)).alias("dataset"), F.lit(True).alias("untrusted"), "*")
 
 
 def profile_declared(

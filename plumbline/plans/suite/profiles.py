@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import frequency, infer, numeric, quantiles, temporal
+from plumbline.functions.wkb import point_wkb
 from plumbline.plans.profile import profile_declared, profile_raw
 from plumbline.plans.suite import query, table
 from plumbline.sources.catalog import catalog_from_entries
@@ -381,6 +382,61 @@ _raw("documents", "ncccn")
 _raw("conversations", "nccc")
 _raw("lineitem", "nnncnncccct")
 
+# A point per order in well-known binary: of 20, one missing, one empty, one with a height, one with no finite place.
+_POINTS = """SELECT o_orderkey, o_orderstatus,
+  CASE o_orderkey % 20 WHEN 0 THEN 'null' WHEN 1 THEN 'empty' WHEN 2 THEN 'height' WHEN 3 THEN 'endless' ELSE 'plain' END AS form,
+  CAST(2400000 + o_custkey % 1000 * 500 AS DOUBLE) AS x, CAST(1060000 + o_orderkey % 2000 * 125 AS DOUBLE) AS y FROM orders"""
+
+
+def order_points(spark, folder) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    m = F.col("o_orderkey") % 20
+    x = F.when(m == 3, float("inf")).otherwise((2400000 + F.col("o_custkey") % 1000 * 500).cast("double"))
+    plain = point_wkb(x, (1060000 + F.col("o_orderkey") % 2000 * 125).cast("double"))
+    nothing = F.unhex(F.lit("0101000000" + 2 * "000000000000F87F"))
+    height = F.concat(F.unhex(F.lit("01E9030000")), F.substring(plain, 6, 16), F.substring(plain, 14, 8))
+    geom = F.when(m == 0, F.lit(None)).when(m == 1, nothing).when(m == 2, height).otherwise(plain)
+    return orders.select("o_orderkey", "o_orderstatus", geom.alias("geom"))
+
+
+def spatial_long_sql(srid: int | None) -> str:
+    """Long profile rows of the points of `_POINTS`."""
+    placed = "form IN ('height', 'plain')"
+    inside = f"{placed} AND x BETWEEN 2480000 AND 2840000 AND y BETWEEN 1070000 AND 1300000"
+    none = "CAST(NULL AS VARCHAR)"
+    measures = {
+        "n": "CAST(count(*) AS DOUBLE)",
+        "srid_declared": f"max(CAST({srid or 'NULL'} AS DOUBLE))",
+        "null_rate": "count(*) FILTER (WHERE form = 'null') / count(*)",
+        "empty_rate": "count(*) FILTER (WHERE form = 'empty') / count(*)",
+        "invalid_rate": "count(*) FILTER (WHERE form = 'endless') / count(*)",
+        "has_z_rate": "count(*) FILTER (WHERE form = 'height') / count(*)",
+        "out_of_envelope_rate": f"count(*) FILTER (WHERE form = 'endless' OR {placed} AND NOT ({inside})) / count(*)",
+        "min_x": f"min(x) FILTER (WHERE {inside})", "max_x": f"max(x) FILTER (WHERE {inside})",
+        "min_y": f"min(y) FILTER (WHERE {inside})", "max_y": f"max(y) FILTER (WHERE {inside})",
+        "max_length": "max(CAST(0 AS DOUBLE))", "max_area": "max(CAST(0 AS DOUBLE))",
+    }
+    rows = [(m, none, sql, none) for m, sql in measures.items()]
+    rows.append(("geometry_types", "'POINT'", "CAST(count(*) FILTER (WHERE form <> 'null') AS DOUBLE)", none))
+    return _cells(rows, "geom", "spatial", f"({_POINTS})")
+
+
+@query(
+    "profile_raw_points",
+    "SELECT *, true AS type_inferred FROM ("
+    + _union([long_sql(f"({_POINTS})", "o_orderkey", "numeric"), long_sql(f"({_POINTS})", "o_orderstatus", "categorical"), spatial_long_sql(None)]) + ")",
+)
+def profile_raw_points(spark, folder):
+    """A binary column of points is found to be geometry by its values, and profiled as such."""
+    return _rounded_long(profile_raw(order_points(spark, folder)))
+
+
+@query("profile_declared_spatial", _union([long_sql("orders", "o_orderstatus", "categorical"), spatial_long_sql(2056)]))
+def profile_declared_spatial(spark, folder):
+    entry = """{"dataset": "placed", "columns": {"o_orderstatus": {"type": "categorical"}, "geom": {"type": "spatial", "srid": 2056}}}"""
+    return _rounded_long(profile_declared(order_points(spark, folder), catalog_from_entries(spark, [entry]), "placed"))
+
+
 _ENTRY = """{"dataset": "orders", "columns": {
   "o_orderstatus": {"type": "categorical"}, "o_orderpriority": {}, "o_totalprice": {"type": "numeric"},
   "o_orderdate": {"type": "temporal"}}}"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import math
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.wkb import decode_wkb, geometry, point_geometry
 from plumbline.operators import frequency, infer, numeric, quantiles, spatial, temporal
-from plumbline.plans.profile import profile_declared, profile_raw
+from plumbline.plans.profile import profile_declared, profile_raw, profile_raw_file
 from plumbline.sources.catalog import catalog_from_entries
+from plumbline.sources.geoparquet import geometry_columns
 from plumbline.sources.local import inline_rows
 
 
@@ -221,3 +223,46 @@ def test_worker_code_needs_no_installed_package(tmp_path):
         [sys.executable, "-c", read, CASES["line"][0].hex()], input=code, cwd=tmp_path, capture_output=True, timeout=60
     )
     assert out.returncode == 0 and b"LINESTRING" in out.stdout, out.stderr
+
+
+def test_mixed_batches_decode_value_by_value(spark):
+    values = [(k, CASES[name][0] if name else None) for k, name in enumerate(["point", None, "big endian", "point z", "empty point", "square", "point", None, "line"])]
+    rows = spark.createDataFrame(values, "k int, w binary").coalesce(1)
+    got = rows.select("k", decode_wkb("w").alias("d")).select("k", geometry(F.col("d")).alias("g")).orderBy("k").collect()
+    for (_, blob), row in zip(values, got):
+        want = next((case[1] for case in CASES.values() if case[0] == blob), None)
+        g = row["g"]
+        assert (g is None) if want is None else (g["type"], g["is_empty"], g["is_valid"], g["has_z"], g["xmin"], g["ymin"], g["length"], g["area"]) == want
+
+
+def test_binary_columns_are_geometry_only_if_all_values_are(spark):
+    shapes = [c[0] for c in CASES.values()]
+    rows = [(k, s, s if k else b"plain bytes", None, b"\x01\x01") for k, s in enumerate(shapes)] + [(99, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, geom binary, mixed binary, nothing binary, cut binary")
+    kinds = {r["column"]: r["kind"] for r in infer.infer_kinds(df).collect()}
+    assert {c: kinds[c] for c in ("geom", "mixed", "nothing", "cut")} == {"geom": "spatial", "mixed": "categorical", "nothing": "categorical", "cut": "categorical"}
+    profile = profile_raw(df.select("geom")).where("metric = 'null_rate'").collect()
+    assert [(r["kind"], r["value"]) for r in profile] == [("spatial", 1 / len(rows))]
+
+
+def test_raw_profile_of_a_file_takes_geometry_from_its_footer(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    crs = {"id": {"authority": "EPSG", "code": 2056}}
+    geo = {"version": "1.1.0", "primary_column": "geom", "columns": {"geom": {"encoding": "WKB", "geometry_types": ["Point"], "crs": crs}, "old": {"encoding": "point"}}}
+    data = pa.table({"name": ["a", "b", None], "geom": [CASES["point"][0], None, None], "none": pa.array([None, None, None], pa.binary())})
+    folder = tmp_path / "data" / "my towns.parquet"
+    folder.mkdir(parents=True)
+    pq.write_table(data.replace_schema_metadata({"geo": json.dumps(geo)}), folder / "part-0.parquet")
+    pq.write_table(data, tmp_path / "data" / "plain.parquet")
+    root = str(tmp_path / "data")
+    assert geometry_columns(spark, f"{root}/my towns.parquet") == {"geom": 2056}
+    assert geometry_columns(spark, f"{root}/plain.parquet") == {}
+    out = profile_raw_file(spark, root, "my towns.parquet").collect()
+    assert {(r["dataset"], r["untrusted"], r["type_inferred"]) for r in out} == {("my_towns", True, True)}
+    assert {r["column"]: r["kind"] for r in out} == {"name": "categorical", "geom": "spatial", "none": "categorical"}
+    assert [r["value"] for r in out if r["metric"] == "srid_declared"] == [2056.0]
+    for wrong in ("../outside.parquet", "plain.csv", "absent.parquet"):
+        with pytest.raises(ValueError):
+            profile_raw_file(spark, root, wrong)
