@@ -1,6 +1,6 @@
 """Well-known-binary geometry: Arrow batches in and out, measures as Column expressions.
 
-The Python part only turns bytes into coordinates; types, extents, lengths, areas and validity are
+The Python part turns bytes into coordinates and judges rings; types, extents, lengths and areas are
 computed from those coordinates inside Spark.
 """
 
@@ -15,16 +15,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.rings import rings_valid
+
 # OGC geometry type names by code.
 TYPE_NAMES = {
     1: "POINT", 2: "LINESTRING", 3: "POLYGON", 4: "MULTIPOINT",
     5: "MULTILINESTRING", 6: "MULTIPOLYGON", 7: "GEOMETRYCOLLECTION",
 }
 _XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-_PARTS = pa.list_(pa.struct([("role", pa.string()), ("xy", pa.list_(_XY))]))
+_PARTS = pa.list_(pa.struct([("role", pa.string()), ("member", pa.int32()), ("xy", pa.list_(_XY))]))
 _POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 _PART_TYPE = T.StructType(
-    [T.StructField("role", T.StringType()), T.StructField("xy", T.ArrayType(_POINT_TYPE))]
+    [
+        T.StructField("role", T.StringType()),
+        T.StructField("member", T.IntegerType()),
+        T.StructField("xy", T.ArrayType(_POINT_TYPE)),
+    ]
 )
 _DECODED = T.StructType(
     [
@@ -37,8 +43,11 @@ _DECODED = T.StructType(
 )
 
 
-def _read(data: bytes, at: int = 0):
-    """(type code, has_z, parts, next offset) of the geometry at an offset."""
+def _read(data: bytes, at: int = 0, member: int = 0):
+    """(type code, has_z, parts, next offset) of the geometry at an offset.
+
+    Parts of one polygon or multipolygon carry one member number, that of their first part within the value.
+    """
     order = "<" if data[at] == 1 else ">"
     (code,) = struct.unpack_from(order + "I", data, at + 1)
     at += 5
@@ -54,20 +63,20 @@ def _read(data: bytes, at: int = 0):
 
     if kind == 1:
         xy, at = run(1, at)
-        return kind, has_z, [{"role": "point", "xy": [p for p in xy if p["x"] == p["x"]]}], at
+        return kind, has_z, [{"role": "point", "member": member, "xy": [p for p in xy if p["x"] == p["x"]]}], at
     (count,) = struct.unpack_from(order + "I", data, at)
     at += 4
     if kind == 2:
         xy, at = run(count, at)
-        return kind, has_z, [{"role": "line", "xy": xy}], at
+        return kind, has_z, [{"role": "line", "member": member, "xy": xy}], at
     parts = []
     for i in range(count):
         if kind == 3:
             (n,) = struct.unpack_from(order + "I", data, at)
             xy, at = run(n, at + 4)
-            parts.append({"role": "hole" if i else "ring", "xy": xy})
+            parts.append({"role": "hole" if i else "ring", "member": member, "xy": xy})
         else:
-            _, _, inner, at = _read(data, at)
+            _, _, inner, at = _read(data, at, member if kind == 6 else member + len(parts))
             parts += inner
     return kind, has_z, parts, at
 
@@ -150,6 +159,22 @@ def polyline_wkb(xy: pa.Array, closed: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def polygons_wkb(polygons: pa.Array) -> pa.Array:
+    """array<polygon>, a polygon being array<ring>, a ring array<struct<x,y>> -> WKB: a polygon if there is one, else a multipolygon."""
+    out = []
+    for shapes in polygons.to_pylist():
+        if shapes is None:
+            out.append(None)
+            continue
+        coded = []
+        for rings in shapes:
+            body = b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in r) for r in rings)
+            coded.append(struct.pack("<BII", 1, 3, len(rings)) + body)
+        out.append(coded[0] if len(coded) == 1 else struct.pack("<BII", 1, 6, len(coded)) + b"".join(coded))
+    return pa.array(out, pa.binary())
+
+
 def _segments(xy: Column) -> Column:
     pairs = F.arrays_zip(
         F.slice(xy, 1, F.greatest(F.size(xy) - 1, F.lit(0))).alias("a"),
@@ -183,40 +208,18 @@ def _ring_area(part: Column) -> Column:
     return F.abs(twice) / 2
 
 
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-
-def _crosses_itself(part: Column) -> Column:
-    """Two sides of a ring properly cross (quadratic in the corners of one ring, not in rows)."""
-    sides = _segments(part["xy"])
-
-    def cross(s, t):
-        return (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (
-            _turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0
-        )
-
-    return F.exists(sides, lambda s: F.exists(sides, lambda t: cross(s, t)))
-
-
-def _part_valid(part: Column) -> Column:
+def _run_valid(part: Column) -> Column:
+    """Lines have two different corners and points and lines finite coordinates; rings are judged together."""
     xy = part["xy"]
-    ring = part["role"].isin("ring", "hole")
-    n = F.size(xy)
-    distinct = F.size(F.array_distinct(xy))
-    closed = F.element_at(xy, 1) == F.element_at(xy, -1)
-    return (
-        F.when(n == 0, True)
-        .when(ring, (n >= 4) & (distinct >= 3) & closed & ~_crosses_itself(part))
-        .when(part["role"] == "line", distinct >= 2)
-        .otherwise(True)
-    )
+    finite = F.forall(xy, lambda p: F.abs(p["x"]) + F.abs(p["y"]) < F.lit(float("inf")))
+    distinct = F.size(F.array_distinct(xy)) >= 2
+    return part["role"].isin("ring", "hole") | (F.size(xy) == 0) | (finite & ((part["role"] != "line") | distinct))
 
 
 def geometry(decoded: Column) -> Column:
     """struct(type, is_empty, is_valid, has_z, xmin, xmax, ymin, ymax, length, area).
 
-    Validity covers corner counts, ring closure and proper self-crossings.
+    Validity is that of `rings.member_valid` for polygons; lines need two different corners, all coordinates are finite.
     """
     parts = decoded["parts"]
     shaped = parts.isNotNull()
@@ -232,7 +235,7 @@ def geometry(decoded: Column) -> Column:
         F.struct(
             decoded["type"].alias("type"),
             F.when(shaped, F.size(xs) == 0).otherwise(decoded["x"].isNull()).alias("is_empty"),
-            F.when(shaped, F.forall(parts, _part_valid))
+            F.when(shaped, rings_valid(parts) & F.forall(parts, _run_valid))
             .otherwise(F.coalesce(F.abs(decoded["x"]) + F.abs(decoded["y"]) < F.lit(float("inf")), F.lit(True)))
             .alias("is_valid"),
             decoded["has_z"].alias("has_z"),

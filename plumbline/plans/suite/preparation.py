@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.wkb import (
@@ -9,6 +11,7 @@ from plumbline.functions.wkb import (
     geometry,
     point_geometry,
     point_wkb,
+    polygons_wkb,
     polyline_wkb,
 )
 from plumbline.operators import prepare, scoring, temporal
@@ -331,3 +334,106 @@ def spa_size(spark, folder):
 def spa_types(spark, folder):
     shapes = _shapes(spark, folder).select(decode_wkb("wkb").alias("d")).select(geometry(F.col("d")).alias("g"))
     return geometry_types(measures_by_type(shapes, "g"))
+
+
+# --- validity of polygons --------------------------------------------------------------------------
+
+
+def _box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+_SHELL = _box(0, 0, 10, 10)
+# Planted shapes: polygons as lists of rings, whether they are valid, and their area.
+_PLANTED = {
+    "hole inside": ([[_SHELL, _box(2, 2, 4, 4)]], True, 96),
+    "hole outside": ([[_SHELL, _box(12, 2, 14, 4)]], False, 96),
+    "hole meets shell once": ([[_SHELL, [(0, 0), (4, 2), (2, 4), (0, 0)]]], True, 94),
+    "hole cuts shell in two": ([[_SHELL, [(0, 5), (5, 3), (10, 5), (5, 7), (0, 5)]]], False, 80),
+    "hole along a side": ([[_SHELL, _box(0, 2, 4, 4)]], False, 92),
+    "hole in a hole": ([[_SHELL, _box(1, 1, 9, 9), _box(2, 2, 4, 4)]], False, 32),
+    "holes meet once": ([[_SHELL, _box(2, 2, 4, 4), _box(4, 4, 6, 6)]], True, 92),
+    "holes meet in a circle": (
+        [[_SHELL, [(2, 2), (5, 1), (8, 2), (2, 2)], [(2, 2), (5, 8), (2, 6), (2, 2)], [(8, 2), (8, 6), (5, 8), (8, 2)]]], False, 85,
+    ),
+    "polygons meet once": ([[_SHELL], [_box(10, 10, 12, 12)]], True, 104),
+    "polygons share a side": ([[_SHELL], [_box(10, 2, 12, 4)]], False, 104),
+    "polygon in a polygon": ([[_SHELL], [_box(2, 2, 4, 4)]], False, 104),
+    "polygon in a hole": ([[_SHELL, _box(1, 1, 9, 9)], [_box(2, 2, 4, 4)]], True, 40),
+    "spike": ([[[(0, 0), (10, 0), (10, 10), (10, 14), (10, 10), (0, 10), (0, 0)]]], False, 100),
+    "corner on an own side": ([[[(0, 0), (10, 0), (10, 10), (5, 0), (0, 10), (0, 0)]]], False, 50),
+    "nothing": ([], True, 0),
+}
+_SIZE = "(c_custkey % 3 + 1)"
+
+
+@query(
+    "spa_quality",
+    f"""SELECT shape, count(*) AS n, count(*) FILTER (WHERE NOT valid) AS invalids, count(*) FILTER (WHERE shape = 'nothing') AS empties,
+      max(CAST(area * {_SIZE} * {_SIZE} AS DOUBLE)) AS max_area FROM customer JOIN (VALUES """
+    + ", ".join(f"({i}, '{name}', {valid}, {area})" for i, (name, (_, valid, area)) in enumerate(_PLANTED.items()))
+    + f") AS planted(i, shape, valid, area) ON c_custkey % {len(_PLANTED)} = i GROUP BY 1",
+)
+def spa_quality(spark, folder):
+    """A planted polygon or multipolygon per customer, through well-known binary, judged by the plane sweep."""
+    k = F.col("c_custkey")
+    kind = (k % len(_PLANTED) + 1).cast("int")
+    all_shapes = F.from_json(F.lit(json.dumps([shape for shape, _, _ in _PLANTED.values()])), "array<array<array<array<array<double>>>>>")
+    size = (k % 3 + 1).cast("double")
+
+    def place(at):
+        return prepare.point(2600000 + k + at[0] * size, 1200000 + k + at[1] * size)
+
+    placed = F.transform(F.element_at(all_shapes, kind), lambda rings: F.transform(rings, lambda ring: F.transform(ring, place)))
+    names = F.array(*map(F.lit, _PLANTED))
+    coded = table(spark, folder, "customer").select(F.element_at(names, kind).alias("shape"), polygons_wkb(placed).alias("wkb"))
+    judged = coded.select("shape", decode_wkb("wkb").alias("d")).select("shape", geometry(F.col("d")).alias("g"))
+    return judged.groupBy("shape").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("g.is_valid")).alias("invalids"),
+        F.count_if(F.col("g.is_empty")).alias("empties"),
+        F.max("g.area").alias("max_area"),
+    )
+
+
+# A ring of 4 to 7 corners per order; sides meet if they share a place other than the corner between neighbours.
+_RINGS = """WITH place AS (SELECT o_orderkey AS o, o_custkey AS c, 4 + o_orderkey % 4 AS n, unnest(range(0, 4 + o_orderkey % 4)) AS i FROM orders),
+  corner AS (SELECT o, i, n, (o * (2 * i + 3) + c * i) % 17 * 2 + CASE WHEN i = 0 THEN 1 ELSE 0 END AS x,
+    (c * (i + 1) + o * i * i) % 17 * 2 + i % 2 AS y FROM place),
+  side AS (SELECT a.o, a.n, a.i, a.x, a.y, b.x AS u, b.y AS v FROM corner a JOIN corner b ON a.o = b.o AND b.i = (a.i + 1) % a.n),
+  pair AS (SELECT s.o, s.n, s.i, t.i AS j, s.x AS ax, s.y AS ay, s.u AS bx, s.v AS by_, t.x AS cx, t.y AS cy, t.u AS dx, t.v AS dy,
+    sign((s.u - s.x) * (t.y - s.y) - (s.v - s.y) * (t.x - s.x)) AS abc, sign((s.u - s.x) * (t.v - s.y) - (s.v - s.y) * (t.u - s.x)) AS abd,
+    sign((t.u - t.x) * (s.y - t.y) - (t.v - t.y) * (s.x - t.x)) AS cda, sign((t.u - t.x) * (s.v - t.y) - (t.v - t.y) * (s.u - t.x)) AS cdb
+    FROM side s JOIN side t ON s.o = t.o AND s.i < t.i),
+  met AS (SELECT o, CASE
+      WHEN j = i + 1 THEN abd = 0 AND (ax - bx) * (dx - bx) + (ay - by_) * (dy - by_) > 0
+      WHEN i = 0 AND j = n - 1 THEN abc = 0 AND (bx - ax) * (cx - ax) + (by_ - ay) * (cy - ay) > 0
+      ELSE abc * abd < 0 AND cda * cdb < 0
+        OR abc = 0 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, by_) AND greatest(ay, by_)
+        OR abd = 0 AND dx BETWEEN least(ax, bx) AND greatest(ax, bx) AND dy BETWEEN least(ay, by_) AND greatest(ay, by_)
+        OR cda = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, dy) AND greatest(cy, dy)
+        OR cdb = 0 AND bx BETWEEN least(cx, dx) AND greatest(cx, dx) AND by_ BETWEEN least(cy, dy) AND greatest(cy, dy) END AS meets FROM pair),
+  ring AS (SELECT c.o, c.n AS corners, c.n >= 3 AND NOT coalesce(m.any_meets, false) AS valid
+    FROM (SELECT DISTINCT o, n FROM corner) c LEFT JOIN (SELECT o, bool_or(meets) AS any_meets FROM met GROUP BY 1) m USING (o))
+  SELECT corners, count(*) AS n, count(*) FILTER (WHERE valid) AS valids FROM ring GROUP BY 1"""
+
+
+@query("spa_rings", _RINGS)
+def spa_rings(spark, folder):
+    """A ring per order from its keys, judged by the plane sweep; the SQL tests every pair of its sides."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def corner(i):
+        x = (o * (2 * i + 3) + c * i) % 17 * 2 + F.when(i == 0, 1).otherwise(0)
+        y = (c * (i + 1) + o * i * i) % 17 * 2 + i % 2
+        return prepare.point(x.cast("double"), y.cast("double"))
+
+    corners = (4 + o % 4).cast("long")
+    run = F.transform(F.sequence(F.lit(0).cast("long"), corners - 1), corner)
+    coded = (
+        table(spark, folder, "orders")
+        .select(corners.alias("corners"), run.alias("run"))
+        .select("corners", polygons_wkb(F.array(F.array(F.array_append("run", F.element_at("run", 1))))).alias("wkb"))
+    )
+    judged = coded.select("corners", decode_wkb("wkb").alias("d")).select("corners", geometry(F.col("d")).alias("g"))
+    return judged.groupBy("corners").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g.is_valid")).alias("valids"))
