@@ -16,7 +16,9 @@ from plumbline.functions.text import (
     number,
     truthy,
 )
+from plumbline.operators.entry_tree import roots
 from plumbline.operators.ordered import running_number
+from plumbline.operators.phrases import found_names
 from plumbline.session import settle
 from plumbline.sources.tables import path_exists
 
@@ -115,26 +117,8 @@ def attach_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def entry_hash(merged: DataFrame) -> DataFrame:
-    """(dataset, hash, n_chars): SHA-256 of the key-sorted content.
-
-    Keys are hashed one by one and the fixed-size digests combined in key order, so long values are
-    never gathered in one row.
-    """
-    key = F.concat_ws("/", "scope", "name")
-    line = F.concat_ws("=", key, "value")
-    return merged.groupBy("dataset").agg(
-        F.sha2(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(key.alias("k"), F.sha2(line, 256).alias("h")))),
-                    lambda e: e["h"],
-                ),
-                "",
-            ),
-            256,
-        ).alias("hash"),
-        F.sum(F.length("value") + F.length("name")).alias("n_chars"),
-    )
+    """(dataset, hash, n_chars): root of the entry's hash tree, see `entry_tree`."""
+    return roots(merged).select("dataset", F.col("digest").alias("hash"), "n_chars")
 
 
 def changed_entries(hashes: DataFrame, versions: DataFrame) -> DataFrame:
@@ -171,24 +155,19 @@ def write_versions(merged: DataFrame, path: str) -> DataFrame:
 
 
 def uncovered_names(merged: DataFrame, names: DataFrame) -> DataFrame:
-    """(dataset, name) of profiled columns that the entry names nowhere as a whole word.
+    """(dataset, name) of profiled columns that the entry names nowhere as a whole word or phrase.
 
-    Entries are cut into words and matched by an anti join. Names that are not one plain word are
-    looked for in the texts of their own dataset.
+    Plain names are matched with the entry's words by an anti join, all others through the phrase index. Empty
+    names are covered nowhere, NULL names are left out.
     """
     text = F.concat_ws(" ", "name", "value")
     words = merged.select(
         "dataset", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0)))).alias("name")
     )
     plain = names.filter(F.col("name").rlike(_PLAIN_NAME)).join(words, ["dataset", "name"], "left_anti")
-    quoted = F.regexp_replace(F.col("n.name"), r"([^0-9A-Za-z_\s])", r"\\$1")
-    around = F.concat(F.lit("(?<![0-9A-Za-z_])"), quoted, F.lit("(?![0-9A-Za-z_])"))
-    texts = merged.select("dataset", text.alias("text"))
-    other = (
-        names.filter(~F.col("name").rlike(_PLAIN_NAME)).alias("n")
-        .join(texts.alias("t"), (F.col("n.dataset") == F.col("t.dataset")) & F.regexp_like(F.col("t.text"), around), "left_anti")
-    )
-    return plain.unionByName(other)
+    odd = names.filter(~F.col("name").rlike(_PLAIN_NAME))
+    found = found_names(odd, merged.select("dataset", text.alias("text")))
+    return plain.unionByName(odd.join(found, ["dataset", "name"], "left_anti"))
 
 
 def coverage(merged: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.operators import curation as c
+from plumbline.operators.entry_tree import entry_tree, updated_tree
 from plumbline.operators.extraction import parsed_turns
 from plumbline.plans.suite import query, table
 from plumbline.plans.suite.sessions import _TURN_SQL, agent_texts
@@ -78,8 +79,19 @@ def cur_inventory(spark, folder):
     return c.inventory(c.merge_deltas(deltas(spark, folder)))
 
 
-_HASHES = f"""(SELECT dataset, sha256(string_agg(sha256(scope || '/' || name || '=' || value), '' ORDER BY scope || '/' || name)) AS hash,
-  CAST(sum(length(value) + length(name)) AS BIGINT) AS n_chars FROM {_MERGED} GROUP BY 1)"""
+def _tree_sql(merged: str) -> str:
+    """All nodes of the hash trees of (dataset, scope, name, value)."""
+    above = "sha256(string_agg(node || digest, '' ORDER BY node)) AS digest, CAST(sum(n_chars) AS BIGINT) AS n_chars"
+    return f"""(WITH l3 AS (SELECT dataset, sha256(scope || '/' || name) AS node, sha256(scope || '/' || name || '=' || value) AS digest,
+        length(value) + length(name) AS n_chars FROM {merged}),
+      l2 AS (SELECT dataset, left(node, 4) AS node, {above} FROM l3 GROUP BY dataset, left(node, 4)),
+      l1 AS (SELECT dataset, left(node, 2) AS node, {above} FROM l2 GROUP BY dataset, left(node, 2)),
+      l0 AS (SELECT dataset, '' AS node, {above} FROM l1 GROUP BY dataset)
+      SELECT dataset, 0 AS level, node, digest, n_chars FROM l0 UNION ALL SELECT dataset, 1, node, digest, n_chars FROM l1
+      UNION ALL SELECT dataset, 2, node, digest, n_chars FROM l2 UNION ALL SELECT dataset, 3, node, digest, n_chars FROM l3)"""
+
+
+_HASHES = f"(SELECT dataset, digest AS hash, n_chars FROM {_tree_sql(_MERGED)} WHERE level = 0)"
 
 
 @query("cur_hash", f"SELECT * FROM {_HASHES}")
@@ -87,6 +99,15 @@ def cur_hash(spark, folder):
     return c.entry_hash(c.merge_deltas(deltas(spark, folder)))
 
 
+@query("cur_tree_update", f"SELECT * FROM {_tree_sql(_MERGED)}")
+def cur_tree_update(spark, folder):
+    """The tree of the first two thirds of all deltas, updated by the rest, is that of all deltas."""
+    rows = deltas(spark, folder)
+    late = F.col("seq") % 3 == 2
+    last = c.delta_writes(rows).groupBy("dataset", "scope", "name").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    return updated_tree(entry_tree(c.merge_deltas(rows.filter(~late))), last.filter(late).drop("seq"))
+
+
 # Stored versions: even users have the same content twice over, user % 4 = 1 has other content,
 # the rest is new.
 _STORED = f"""(SELECT dataset, hash, 1 AS version FROM {_HASHES} WHERE CAST(substr(dataset, 2) AS INTEGER) % 2 = 0
@@ -136,6 +157,31 @@ def cur_uncovered(spark, folder):
     return c.uncovered_names(c.merge_deltas(deltas(spark, folder)), names(spark, folder))
 
 
+# Names with other characters than letters and digits: pieces of what an event wrote, some overwritten since.
+_ODD = """(SELECT DISTINCT dataset, CASE seq % 8 WHEN 0 THEN '"v' || cents || '"' WHEN 1 THEN 'sens":"v' || cents || '","type' WHEN 2 THEN 'titre "t' || cents || '"'
+    WHEN 3 THEN event_type || '_' || r || ' {"sens' WHEN 4 THEN ':"v' || cents WHEN 5 THEN '{' WHEN 6 THEN '":"' ELSE 'type":"numeric"}' END AS name FROM """ + _DELTA + ")"
+
+
+@query(
+    "cur_phrases",
+    f"""SELECT n.dataset, n.name FROM {_ODD} n WHERE NOT EXISTS (SELECT 1 FROM {_MERGED} m WHERE m.dataset = n.dataset
+      AND contains(m.name || ' ' || m.value, n.name)
+      AND regexp_matches(m.name || ' ' || m.value, '(^|[^0-9A-Za-z_])' || regexp_escape(n.name) || '($|[^0-9A-Za-z_])'))""",
+)
+def cur_phrases(spark, folder):
+    """Names of any characters, looked for in what the last writes left."""
+    ev = table(spark, folder, "events")
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    forms = [
+        F.concat(F.lit('"v'), cents, F.lit('"')), F.concat(F.lit('sens":"v'), cents, F.lit('","type')), F.concat(F.lit('titre "t'), cents, F.lit('"')),
+        F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string"), F.lit(' {"sens')), F.concat(F.lit(':"v'), cents), F.lit("{"),
+        F.lit('":"'), F.lit('type":"numeric"}'),
+    ]
+    name = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    odd = ev.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dataset"), name.alias("name")).distinct()
+    return c.uncovered_names(c.merge_deltas(deltas(spark, folder)), odd)
+
+
 @query(
     "cur_coverage",
     f"""SELECT n.dataset, count(*) AS n_names, count(*) - count(u.name) AS n_covered FROM {_NAMES} n
