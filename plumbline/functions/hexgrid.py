@@ -62,6 +62,11 @@ def axial(cell: Column) -> tuple[Column, Column]:
     return q, r
 
 
+def shifted(cell: Column, dq: Column, dr: Column) -> Column:
+    """Id of the cell `dq`, `dr` axial steps away; the packed id is linear in both."""
+    return cell + dq.cast("bigint") * F.lit(_SPAN) + dr
+
+
 def cell_centre(
     cell: Column, edge: Column, origin: tuple[float, float] = ORIGIN
 ) -> tuple[Column, Column]:

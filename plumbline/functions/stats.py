@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,28 @@ def std_excess(observed: Column, expected: Column) -> Column:
 def pseudo_p(null_stat: Column, observed: Column) -> Column:
     """Aggregate: (#{null >= observed} + 1) / (replicates + 1)."""
     return (F.count_if(null_stat >= observed) + 1) / (F.count(F.lit(1)) + 1)
+
+
+# Coefficients of the polynomial 26.2.17 of Abramowitz and Stegun, and its scale.
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+_TAIL_SCALE = 0.2316419
+_TAIL_STEPS = 16
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal; NULL for NULL.
+
+    Below 2 a polynomial (absolute error below 1e-7), beyond a continued fraction, which keeps small tails
+    accurate relative to their own size.
+    """
+    a = F.abs(z)
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    t = 1 / (1 + a * _TAIL_SCALE)
+    polynomial = F.lit(0.0)
+    for c in reversed(_TAIL):
+        polynomial = (polynomial + c) * t
+    fraction = a
+    for step in range(_TAIL_STEPS, 0, -1):
+        fraction = a + step / fraction
+    upper = density * F.when(a < 2, polynomial).otherwise(1 / fraction)
+    return F.when(z < 0, 1 - upper).otherwise(upper)

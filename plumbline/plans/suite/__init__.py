@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("profiles", "preparation", "exposure", "cells", "sessions", "text", "curation", "scoring")
+MODULES = ("profiles", "preparation", "exposure", "cells", "sessions", "text", "curation", "scoring", "crossed")
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
