@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from plumbline.operators.cells import cell_counts
+from plumbline.operators.crossed import contingency, correlations
 from plumbline.operators.hot_spots import local_statistics
 from plumbline.operators.neighbours import nearest_neighbours
 from plumbline.operators.ranking import value_ranks
@@ -77,3 +80,59 @@ def cell_hot_spots(spark, folder):
 )
 def num_ranks(spark, folder):
     return value_ranks(table(spark, folder, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+# Line items with a gap in one measure.
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "part")
+_MEASURED = "(SELECT l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax, l_linenumber::DOUBLE AS l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_partkey::DOUBLE END AS part FROM lineitem)"
+_RANKED = "(SELECT {} FROM m)".format(", ".join(
+    f"{c}, CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE END AS rank_{c}"
+    for c in _MEASURES
+))
+
+
+@query(
+    "num_correlations",
+    f"WITH m AS MATERIALIZED {_MEASURED}, r AS MATERIALIZED {_RANKED} " + " UNION ALL ".join(
+        f"""SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n,
+        round(corr({a}, {b}), 8) + 0.0::DOUBLE AS pearson, round(corr(rank_{a}, rank_{b}), 8) + 0.0::DOUBLE AS spearman FROM r"""
+        for a, b in combinations(_MEASURES, 2)
+    ),
+)
+def num_correlations(spark, folder):
+    rows = table(spark, folder, "lineitem").withColumn("part", F.when(F.col("l_linenumber") != 3, F.col("l_partkey")))
+    out = correlations(rows, _MEASURES)
+    return out.withColumn("pearson", F.round("pearson", 8)).withColumn("spearman", F.round("spearman", 8))
+
+
+_TRAITS = ("o_orderstatus", "o_orderpriority", "month", "clerk")
+_TRAITED = """(SELECT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS VARCHAR) AS month,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 300 AS VARCHAR) END AS clerk FROM orders)"""
+
+
+def _contingency_sql(a: str, b: str) -> str:
+    """Chi-square as the sum over all cells of the full table, also the empty ones."""
+    return f"""SELECT '{a}' AS column_a, '{b}' AS column_b, n, n_a, n_b, round(chi, 6) AS chi_square,
+      CASE WHEN least(n_a, n_b) > 1 THEN round(sqrt(chi / (n * (least(n_a, n_b) - 1))), 8) END AS cramers_v, round(bits, 8) AS mutual_bits FROM (
+      SELECT CAST(sum(o) AS BIGINT) AS n, count(DISTINCT va) AS n_a, count(DISTINCT vb) AS n_b, sum((o - e) * (o - e) / e) AS chi,
+        sum(CASE WHEN o > 0 THEN o / total * log2(o / e) ELSE 0 END) AS bits FROM (
+        SELECT va, vb, coalesce(o, 0)::DOUBLE AS o, na::DOUBLE * nb / total AS e, total::DOUBLE AS total FROM
+          (SELECT {a} AS va, count(*) AS na FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1)
+          CROSS JOIN (SELECT {b} AS vb, count(*) AS nb FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1)
+          CROSS JOIN (SELECT count(*) AS total FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)
+          LEFT JOIN (SELECT {a} AS va, {b} AS vb, count(*) AS o FROM t GROUP BY 1, 2) USING (va, vb)))"""
+
+
+@query(
+    "cat_contingency",
+    f"WITH t AS MATERIALIZED {_TRAITED} " + " UNION ALL ".join(_contingency_sql(a, b) for a, b in combinations(_TRAITS, 2)),
+)
+def cat_contingency(spark, folder):
+    rows = table(spark, folder, "orders").select(
+        "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 300).alias("clerk"),
+    )
+    out = contingency(rows, _TRAITS)
+    for name, digits in (("chi_square", 6), ("cramers_v", 8), ("mutual_bits", 8)):
+        out = out.withColumn(name, F.round(name, digits))
+    return out
