@@ -140,19 +140,18 @@ class _Tree:
         self.weights[LEAVES:] = weights
         for node in range(LEAVES - 1, 0, -1):
             self.weights[node] = self.weights[2 * node] + self.weights[2 * node + 1]
-        self.held: dict[int, np.ndarray] = {}
+        # The last node split on each level with its halves' totals: blocks asked for in order split a node once.
+        self.split: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
     def totals(self, node: int) -> np.ndarray:
         if node == 1:
             return np.full(self.replicates, self.total, np.int64)
-        if node not in self.held:
-            above = node // 2
+        above, level = node // 2, node.bit_length()
+        if self.split.get(level, (0,))[0] != above:
             n, left = self.totals(above), self.weights[2 * above] / self.weights[above]
-            if len(self.held) > 64:
-                self.held.clear()
             taken = n if left == 1 else np.zeros_like(n) if left == 0 else _draws(self.seed, self.group, above).binomial(n, left)
-            self.held[2 * above], self.held[2 * above + 1] = taken, n - taken
-        return self.held[node]
+            self.split[level] = above, taken, n - taken
+        return self.split[level][1 + node % 2]
 
 
 def null_statistics(
@@ -180,7 +179,7 @@ def null_statistics(
 
     def block_excess(tree: _Tree, g: int, block: int, cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest excess in the block, and that of the followed unit if it is here, per replicate."""
-        n = tree.totals(LEAVES + block)
+        n = tree.totals(LEAVES + int(block))
         p = cells["weight"].to_numpy(dtype=float)
         expected = cells["expected"].to_numpy(dtype=float)
         fixed = np.flatnonzero(cells["fixed"].to_numpy(dtype=bool))
@@ -222,8 +221,13 @@ def null_statistics(
             yield pd.DataFrame({"group": g, "replicate": np.arange(replicates), "max_z": top, "fixed_z": own.get(g)})
 
     cells = marked.select("group", "block", F.col("unit").cast("string").alias("unit"), "weight", "expected", "fixed")
-    # Within a block units stand in order, so the draw does not depend on their arrival.
-    cells = cells.repartition("group", "block").sortWithinPartitions("group", "block", F.col("unit").asc_nulls_last())
+    # A task takes adjacent blocks, so that it draws the upper nodes once. The number of tasks is given: rows are few
+    # bytes and much work, and adaptive execution would join them by bytes. Within a block units stand in order, so
+    # the draw does not depend on their arrival.
+    spark = units.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cells = cells.repartitionByRange(2 * tasks, "group", "block")
+    cells = cells.sortWithinPartitions("group", "block", F.col("unit").asc_nulls_last())
     drawn = cells.mapInPandas(redraw, "group bigint, replicate bigint, max_z double, fixed_z double")
     return drawn.groupBy("group", "replicate").agg(F.max("max_z").alias("max_z"), F.max("fixed_z").alias("fixed_z"))
 

@@ -166,9 +166,7 @@ def reproject(spark, folder):
     count(*) OVER (PARTITION BY resolution) AS n FROM {_TESTED}) WHERE rk = 1""",
 )
 def cell_peak(spark, folder):
-    report = scale_robustness(
-        points(spark, folder), "geom", grid(spark, folder), RESOLUTIONS, replicates=1, rounded=False
-    )
+    report = scale_robustness(points(spark, folder), "geom", grid(spark, folder), RESOLUTIONS, rounded=False)
     return report.select(
         "resolution", F.col("peak_cell").alias("cell"), F.round("peak_std_excess", 6).alias("z"),
         F.col("n_cells_tested").alias("n"),
@@ -181,6 +179,65 @@ def robustness(spark, folder):
     return scale_robustness(points(spark, folder), "geom", grid(spark, folder), RESOLUTIONS)
 
 
+_EVEN = "(SELECT CAST(2480000 + (k * 7919) % 360000 AS DOUBLE) + 50.0 AS x, CAST(1070000 + (k * 5407) % 230000 AS DOUBLE) + 50.0 AS y FROM (SELECT {} AS k FROM orders {}))"
+_EVEN_ALL = _EVEN.format("o_orderkey", "")
+_CROWD = _EVEN.format("(SELECT min(o_orderkey) FROM orders)", "WHERE o_orderkey % 3 = 0")
+_CROWDED = f"(SELECT * FROM {_EVEN_ALL} UNION ALL SELECT * FROM {_CROWD})"
+
+
+def _even_grid(spark, folder):
+    """Exposure 1 at the place of every order."""
+    k = F.col("o_orderkey")
+    corners = table(spark, folder, "orders").select(
+        (F.lit(2480000) + (k * 7919) % 360000).alias("east"), (F.lit(1070000) + (k * 5407) % 230000).alias("north"), F.lit(1.0).alias("w")
+    )
+    return exposure_grid(corners, "east", "north", "w", 100, "sw_corner")
+
+
+# No cell expects less than one point here, so an excess of 50 standard deviations is beyond all 999 redistributions
+# (Chernoff's bound is below 1e-50 for each cell of each): p is 1 / 1000 at every resolution.
+@query(
+    "scale_planted",
+    f"""SELECT resolution, n AS n_cells_tested, n_total AS n_total_tested, cell AS peak_cell, round(z, 2) AS peak_std_excess,
+    CASE WHEN z > 50 AND least_expected >= 1 THEN 0.001::DOUBLE END AS pseudo_p, z > 50 AS significant,
+    CASE WHEN min(z) OVER () > 50 THEN 'robuste' END AS verdict
+    FROM (SELECT *, (observed - expected) / sqrt(expected) AS z, min(expected) OVER (PARTITION BY resolution) AS least_expected,
+        row_number() OVER (PARTITION BY resolution ORDER BY (observed - expected) / sqrt(expected) DESC, cell) AS rk,
+        count(*) OVER (PARTITION BY resolution) AS n
+      FROM (SELECT resolution, cell, observed, CAST(sum(observed) OVER (PARTITION BY resolution) AS BIGINT) AS n_total,
+          sum(observed) OVER (PARTITION BY resolution) * (weight / sum(weight) OVER (PARTITION BY resolution)) AS expected
+        FROM {cells_sql(_CROWDED, "count(*) AS observed")} JOIN {cells_sql(_EVEN_ALL, "count(*)::DOUBLE AS weight")} USING (resolution, cell)))
+    WHERE rk = 1""",
+)
+def scale_planted(spark, folder):
+    """Points as the exposure, and a third as many again at one place: robust."""
+    even, k = _even_grid(spark, folder), F.col("o_orderkey")
+    first = table(spark, folder, "orders").agg(F.min(k)).first()[0]
+    place = point(F.lit(2480000.0 + first * 7919 % 360000 + 50), F.lit(1070000.0 + first * 5407 % 230000 + 50))
+    crowd = table(spark, folder, "orders").filter(k % 3 == 0).select(place.alias("geom"))
+    points_here = even.select(point(F.col("x"), F.col("y")).alias("geom")).unionByName(crowd)
+    report = scale_robustness(points_here, "geom", even, RESOLUTIONS)
+    return report.select(
+        "resolution", "n_cells_tested", "n_total_tested", "peak_cell", "peak_std_excess", "pseudo_p", "significant", "verdict"
+    )
+
+
+@query(
+    "scale_proportional",
+    f"""SELECT resolution, count(*) AS n_cells_tested, CAST(sum(observed) AS BIGINT) AS n_total_tested, 0.0::DOUBLE AS peak_std_excess,
+    1.0::DOUBLE AS pseudo_p, false AS significant, 'absente' AS verdict, CAST(0 AS BIGINT) AS unpopulated_points
+    FROM {cells_sql(_EVEN_ALL, "count(*) AS observed")} GROUP BY 1""",
+)
+def scale_proportional(spark, folder):
+    """As many points as exposure in every cell: no excess, so every redistribution reaches the observed peak."""
+    even = _even_grid(spark, folder)
+    report = scale_robustness(even.select(point(F.col("x"), F.col("y")).alias("geom")), "geom", even, RESOLUTIONS)
+    return report.select(
+        "resolution", "n_cells_tested", "n_total_tested", (F.col("peak_std_excess") + 0.0).alias("peak_std_excess"),
+        "pseudo_p", "significant", "verdict", "unpopulated_points",
+    )
+
+
 @query("scale_abstention", "SELECT unnest([6, 7, 8]) AS resolution, 'abstention' AS exposure_model, (SELECT count(*) FROM lineitem) AS n_rows")
 def scale_abstention(spark, folder):
     rows = points(spark, folder)
