@@ -18,7 +18,7 @@ from plumbline.functions.text import (
 )
 from plumbline.operators.entry_tree import roots
 from plumbline.operators.ordered import running_number
-from plumbline.operators.phrases import found_names
+from plumbline.operators.phrases import MERGED, found_names
 from plumbline.session import settle
 from plumbline.sources.tables import path_exists
 
@@ -164,10 +164,10 @@ def uncovered_names(merged: DataFrame, names: DataFrame) -> DataFrame:
     words = merged.select(
         "dataset", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0)))).alias("name")
     )
-    plain = names.filter(F.col("name").rlike(_PLAIN_NAME)).join(words, ["dataset", "name"], "left_anti")
+    plain = names.filter(F.col("name").rlike(_PLAIN_NAME)).join(words.hint(MERGED), ["dataset", "name"], "left_anti")
     odd = names.filter(~F.col("name").rlike(_PLAIN_NAME))
     found = found_names(odd, merged.select("dataset", text.alias("text")))
-    return plain.unionByName(odd.join(found, ["dataset", "name"], "left_anti"))
+    return plain.unionByName(odd.join(found.hint(MERGED), ["dataset", "name"], "left_anti"))
 
 
 def coverage(merged: DataFrame, names: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def coverage(merged: DataFrame, names: DataFrame) -> DataFrame:
     missing = uncovered_names(merged, names).groupBy("dataset").agg(F.count(F.lit(1)).alias("_m"))
     return (
         names.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_names"))
-        .join(missing, "dataset", "left")
+        .join(missing.hint(MERGED), "dataset", "left")
         .select("dataset", "n_names", (F.col("n_names") - F.coalesce("_m", F.lit(0))).alias("n_covered"))
     )
 
@@ -194,7 +194,7 @@ def conformity(merged: DataFrame, names: DataFrame) -> DataFrame:
     column = F.col("scope") == "column"
     marked = merged.withColumn("_object", is_object(v))
     ghosts = (
-        merged.filter(column).join(names, ["dataset", "name"], "left_anti")
+        merged.filter(column).join(names.hint(MERGED), ["dataset", "name"], "left_anti")
         .groupBy("dataset").agg(F.collect_set("name").alias("ghosts"))
     )
     fields = (

@@ -4,6 +4,9 @@ A text is words (runs of ASCII letters, digits and underscores) with gaps around
 between them are one posting; a name of several words is found where all its postings stand at places that fit together.
 A name without any word can only lie inside a gap. All matching is by equal keys: no pattern runs over pairs of
 a name and a text.
+
+Both sides of every join grow with the catalog, and texts and names are far wider than the files they come from, so
+a size estimated from files would have them broadcast: `MERGED` keeps them shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[0-9A-Za-z_]+"
+MERGED = "merge"
 
 
 def _cut(df: DataFrame, text: str) -> DataFrame:
@@ -59,7 +63,7 @@ def found_names(names: DataFrame, texts: DataFrame) -> DataFrame:
         "dataset", "word", "between", "after", (F.col("at") == 0).alias("first"), (F.col("at") == F.col("n_words") - 1).alias("last")
     ).distinct()
     singles = (
-        standing.join(one, ["dataset", "word"])
+        standing.join(one.hint(MERGED), ["dataset", "word"])
         .filter(_fits_left(F.col("_l"), F.col("between"), F.col("first")) & _fits_right(F.col("_r"), F.col("after"), F.col("last")))
         .select("dataset", "name")
     )
@@ -73,7 +77,7 @@ def found_names(names: DataFrame, texts: DataFrame) -> DataFrame:
     # A text is told by its digest: equal texts of a dataset hold the same names.
     postings = _word_rows(texts.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["dataset", "_text"]), "dataset", "_text").filter("at > 0")
     several = (
-        postings.join(pairs, ["dataset", "previous", "between", "word"])
+        postings.join(pairs.hint(MERGED), ["dataset", "previous", "between", "word"])
         .filter(
             _fits_left(F.col("_l"), F.col("lead"), F.col("at") == 1)
             & _fits_right(F.col("_r"), F.col("after"), F.col("at") == F.col("n_words") - 1)
@@ -91,12 +95,12 @@ def found_names(names: DataFrame, texts: DataFrame) -> DataFrame:
     ).distinct()
     free = F.length("_gap") - F.col("_length")
     inside = (
-        gaps.join(lengths, "dataset")
+        gaps.join(lengths.hint(MERGED), "dataset")
         .filter(free >= 0)
         .select("*", free.alias("_free"), F.explode(F.sequence(F.lit(0), free)).alias("_skip"))
         .filter(((F.col("_skip") > 0) | F.col("first")) & ((F.col("_skip") < F.col("_free")) | F.col("last")))
         .select("dataset", F.substring(F.col("_gap"), F.col("_skip") + 1, F.col("_length")).alias("name"))
         .distinct()
-        .join(bare.select("dataset", "name"), ["dataset", "name"])
+        .join(bare.select("dataset", "name").hint(MERGED), ["dataset", "name"])
     )
     return singles.unionByName(several).unionByName(inside).distinct()

@@ -135,3 +135,15 @@ def test_no_pattern_runs_over_pairs(spark):
     names = spark.createDataFrame([("x", "a-b")], "dataset string, name string")
     plan = found_names(names, texts)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "RLIKE" not in plan
+
+
+def test_names_and_words_are_not_broadcast(spark):
+    """Sizes estimated from files are far below those of the words in them, so no join may rest on them."""
+    merged = spark.createDataFrame([("x", "column", "a", '"b c-d"')], "dataset string, scope string, name string, value string")
+    names = spark.createDataFrame([("x", n) for n in ("a", "c-d", "e", "-")], "dataset string, name string")
+    uncovered = c.uncovered_names(merged, names)
+    covered = c.coverage(merged, names)
+    for df in (uncovered, covered):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in uncovered.collect()} == {("x", "e"), ("x", "-")}
+    assert [tuple(r) for r in covered.collect()] == [("x", 4, 2)]
