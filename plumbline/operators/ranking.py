@@ -69,7 +69,11 @@ def adjusted_p(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "p_adj
     The least of p * tests / rank over this and all greater p of the group, at most 1; rejecting where it is at
     most q keeps the expected share of false rejections at q. Equal p-values share the highest of their ranks.
     NULL p-values are no tests and stay NULL; an empty table stays empty.
+
+    The rows are settled first, because they are ranked and then joined with their ranks: p-values that rest on sums
+    of doubles change their last digit with the order in which parts arrive, and one worked out anew would miss its rank.
     """
+    df = settle(df)
     raised = _with_below(_ranges(df, by, p, ranges)).withColumn(
         "_raw", F.col("_value") * F.col("_total") / (F.col("_below") + F.col("_n"))
     )

@@ -137,10 +137,13 @@ def test_no_pattern_runs_over_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "RLIKE" not in plan
 
 
-def test_names_and_words_are_not_broadcast(spark):
+def test_names_and_words_are_not_broadcast(spark, tmp_path):
     """Sizes estimated from files are far below those of the words in them, so no join may rest on them."""
     merged = spark.createDataFrame([("x", "column", "a", '"b c-d"')], "dataset string, scope string, name string, value string")
     names = spark.createDataFrame([("x", n) for n in ("a", "c-d", "e", "-")], "dataset string, name string")
+    for name, df in (("merged", merged), ("names", names)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    merged, names = spark.read.parquet(f"{tmp_path}/merged"), spark.read.parquet(f"{tmp_path}/names")
     uncovered = c.uncovered_names(merged, names)
     covered = c.coverage(merged, names)
     for df in (uncovered, covered):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import pytest
@@ -89,6 +90,15 @@ def test_adjusted_p_equals_definition(spark, ranges):
     assert adjusted_p(df.limit(0), "p").count() == 0
 
 
+def test_every_p_value_finds_its_rank_whatever_it_is_worked_out_to(spark):
+    """P-values whose last digits change from one computation to the next, as those from sums of doubles do."""
+    drawn = F.udf(lambda: int.from_bytes(os.urandom(6)) / 2.0**48, "double").asNondeterministic()
+    out = adjusted_p(spark.range(50).select("id", drawn().alias("p")), "p")
+    got = [tuple(r) for r in out.select("p", "p_adjusted").collect()]
+    want = step_up([p for p, _ in got])
+    assert len(got) == 50 and all(q == pytest.approx(want[p], rel=1e-12) for p, q in got)
+
+
 def test_no_window_without_partition(spark, capsys):
     df = spark.createDataFrame([(0.1,), (0.2,)], "p double")
     adjusted_p(df, "p").explain()
