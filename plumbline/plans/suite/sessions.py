@@ -17,7 +17,7 @@ from plumbline.operators.sessions import (
     seal_sessions,
 )
 from plumbline.plans.suite import query, table
-from plumbline.session import settle, shared_folder
+from plumbline.session import settle, shared_folder, spread
 from plumbline.streaming.session_log import ingest, read_messages, read_nodes, write_messages
 
 # --- events as a log: one session per user ---------------------------------------------------------
@@ -54,6 +54,8 @@ def event_messages(spark, folder):
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
         "user_id", "event_id", "ts", "event_type", "props", cents.alias("cents"),
     )
+    rows = ev
+    ev = spread(ev, "event_id")
     later = F.timestamp_add("MICROSECOND", F.col("cents") * 10000, F.col("ts"))
     call = F.concat(F.lit("e"), F.col("event_id").cast("string"))
     quoted = F.to_json(F.struct(F.col("props").alias("t")))
@@ -114,7 +116,7 @@ def event_messages(spark, folder):
         lambda x: x.isNotNull(),
     )
     body = ev.select("session_id", F.inline(per_event))
-    ends = ev.groupBy("session_id", "user_id").agg(
+    ends = rows.groupBy("session_id", "user_id").agg(
         F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.max("event_id").alias("last")
     )
     start = ends.select(
@@ -165,7 +167,8 @@ def ses_flat(spark, folder):
 
 @query("ses_node_ids", _sql("SELECT session_id || '#' || seq AS id, msg_no, block_no FROM nodes"))
 def ses_node_ids(spark, folder):
-    return numbered(flatten_messages(event_messages(spark, folder))).select("id", "msg_no", "block_no")
+    flat = settle(flatten_messages(event_messages(spark, folder)).select("session_id", "msg_no", "block_no"))
+    return numbered(flat).select("id", "msg_no", "block_no")
 
 
 @query(

@@ -51,6 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by a hash of `keys`, whose values must be many, to three tasks per core or more.
+
+    A table of narrow rows lies in few files and row groups, so that its scan has few tasks. Where much work per row
+    follows, it is dealt out first, while the rows are still narrow.
+    """
+    spark = df.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute `df` once, as a Parquet table in the shared folder, and go on from there.
 

@@ -117,7 +117,8 @@ def write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
         "session_id", F.coalesce("next_seq", F.lit(0)).cast("bigint").alias("_offset")
     ).distinct()
 
-    flat = flatten_messages(accepted.select(*columns))
+    # Numbering reads its rows twice: payloads are parsed once.
+    flat = settle(flatten_messages(accepted.select(*columns)))
     nodes = settle(
         running_number(flat, ["session_id"], ["msg_no", "block_no"], "_n")
         .join(offsets, "session_id")

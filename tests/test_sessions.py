@@ -307,3 +307,14 @@ def test_messages_keep_microseconds(spark, tmp_path):
     stream.awaitTermination()
     stamps = read_nodes(spark, str(tmp_path / "store")).agg(F.max("ts")).first()[0]
     assert stamps == at(0.123456)
+
+
+def test_events_are_parsed_by_all_cores(spark):
+    """The events lie in one row group: without being dealt out, a task or two parse them all."""
+    from plumbline.operators.sessions import flatten_messages
+    from plumbline.plans.suite.sessions import event_messages
+
+    flat = flatten_messages(event_messages(spark, "/root/testdata/sf0.01")).filter("kind = 'tool_call'")
+    tasks = flat.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 3 * spark.sparkContext.defaultParallelism
+    assert max(t["count"] for t in tasks) < 2 * sum(t["count"] for t in tasks) / len(tasks)
