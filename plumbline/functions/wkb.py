@@ -94,11 +94,37 @@ def _plain_points(wkb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return plain[own], np.ascontiguousarray(told[own, 5:]).view("<f8").reshape(-1, 2)
 
 
+# Fixed by the format: a little-endian two-dimensional polygon of one ring begins so, then come the number of corners and these.
+_ONE_RING = np.frombuffer(struct.pack("<BII", 1, 3, 1), np.uint8)
+
+
+def _plain_rings(wkb: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which values are little-endian two-dimensional polygons of one ring, and their parts, read from Arrow's own buffers."""
+    wide = pa.types.is_large_binary(wkb.type)
+    _, offsets, data = wkb.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[wkb.offset : wkb.offset + len(wkb) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    present = np.asarray(pc.is_valid(wkb).to_numpy(zero_copy_only=False), bool)
+    sizes = np.diff(ends)
+    rows = np.flatnonzero(present & (sizes >= 13) & ((sizes - 13) % 16 == 0))
+    head = raw[ends[rows, None] + np.arange(13)]
+    corners = np.ascontiguousarray(head[:, 9:]).view("<u4").reshape(-1).astype(np.int64)
+    plain = (head[:, :9] == _ONE_RING).all(1) & (corners == (sizes[rows] - 13) // 16)
+    rows, corners = rows[plain], corners[plain]
+    cuts = np.concatenate([[0], np.cumsum(corners)])
+    at = np.repeat(ends[rows] + 13 - 16 * cuts[:-1], corners) + 16 * np.arange(cuts[-1])
+    xy = np.ascontiguousarray(raw[at[:, None] + np.arange(16)]).view("<f8").reshape(-1, 2)
+    runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["x", "y"]))
+    n = len(rows)
+    ring = pa.StructArray.from_arrays([pa.array(np.full(n, "ring", object), pa.string()), pa.array(np.zeros(n, np.int32)), runs], ["role", "member", "xy"])
+    return rows, pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), ring).cast(_PARTS)
+
+
 @F.arrow_udf(_DECODED)
 def decode_wkb(wkb: pa.Array) -> pa.Array:
     """BINARY -> struct(type, has_z, x, y, parts); x and y for points, parts for all others.
 
-    Plain points are decoded as arrays, all other values of the batch one by one.
+    Plain points and polygons of one ring are decoded as arrays, all other values of the batch one by one.
     """
     if isinstance(wkb, pa.ChunkedArray):
         wkb = wkb.combine_chunks()
@@ -108,6 +134,8 @@ def decode_wkb(wkb: pa.Array) -> pa.Array:
     at = np.full((n, 2), np.nan)
     here[plain], at[plain] = True, xy
     names = np.full(n, "POINT", object)
+    ringed, rings = _plain_rings(wkb)
+    here[ringed], names[ringed] = True, "POLYGON"
     parts: list = [None] * n
     missing = ~np.asarray(pc.is_valid(wkb).to_numpy(zero_copy_only=False), bool)
     for k in np.flatnonzero(~here & ~missing).tolist():
@@ -118,8 +146,13 @@ def decode_wkb(wkb: pa.Array) -> pa.Array:
         elif read[0]["xy"]:
             at[k] = read[0]["xy"][0]["x"], read[0]["xy"][0]["y"]
     absent = np.isnan(at[:, 0])
+    shaped = pa.array(parts, _PARTS)
+    if len(ringed):
+        place = np.arange(n)
+        place[ringed] = n + np.arange(len(ringed))
+        shaped = pa.concat_arrays([shaped, rings]).take(pa.array(place))
     columns = [
-        pa.array(names, pa.string()), pa.array(z), pa.array(at[:, 0], mask=absent), pa.array(at[:, 1], mask=absent), pa.array(parts, _PARTS),
+        pa.array(names, pa.string()), pa.array(z), pa.array(at[:, 0], mask=absent), pa.array(at[:, 1], mask=absent), shaped,
     ]
     return pa.StructArray.from_arrays(columns, ["type", "has_z", "x", "y", "parts"], mask=pa.array(missing))
 
@@ -162,15 +195,25 @@ def polyline_wkb(xy: pa.Array, closed: pa.Array) -> pa.Array:
 @F.arrow_udf(T.BinaryType())
 def polygons_wkb(polygons: pa.Array) -> pa.Array:
     """array<polygon>, a polygon being array<ring>, a ring array<struct<x,y>> -> WKB: a polygon if there is one, else a multipolygon."""
+    if isinstance(polygons, pa.ChunkedArray):
+        polygons = polygons.combine_chunks()
+    shapes = polygons.values
+    rings = shapes.values
+    corners = rings.values
+    if shapes.null_count or rings.null_count or corners.null_count or any(corners.field(c).null_count for c in ("x", "y")):
+        raise ValueError("a polygon, ring or coordinate is NULL")
+    xy = np.column_stack([corners.field(c).to_numpy() for c in ("x", "y")]).astype("<f8")
+    starts, cuts, ends = polygons.offsets.to_pylist(), shapes.offsets.to_pylist(), rings.offsets.to_pylist()
     out = []
-    for shapes in polygons.to_pylist():
-        if shapes is None:
+    for row, present in enumerate(polygons.is_valid().to_pylist()):
+        if not present:
             out.append(None)
             continue
         coded = []
-        for rings in shapes:
-            body = b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in r) for r in rings)
-            coded.append(struct.pack("<BII", 1, 3, len(rings)) + body)
+        for k in range(starts[row], starts[row + 1]):
+            own = range(cuts[k], cuts[k + 1])
+            body = b"".join(struct.pack("<I", ends[r + 1] - ends[r]) + xy[ends[r] : ends[r + 1]].tobytes() for r in own)
+            coded.append(struct.pack("<BII", 1, 3, len(own)) + body)
         out.append(coded[0] if len(coded) == 1 else struct.pack("<BII", 1, 6, len(coded)) + b"".join(coded))
     return pa.array(out, pa.binary())
 

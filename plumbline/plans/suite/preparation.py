@@ -23,6 +23,7 @@ from plumbline.operators.spatial import (
     spatial_profile,
 )
 from plumbline.plans.suite import query, table
+from plumbline.session import spread
 from plumbline.sources.local import inline_rows
 from plumbline.sources.tables import bounded_view, project, safe_name_column
 
@@ -311,7 +312,7 @@ def _shapes(spark, folder):
     ring = F.when(k % 11 == 0, corners).otherwise(F.array_append(corners, at(x, y)))
     line = F.array(at(x, y), at(x + w, y), at(x + w, y + h))
     closed = k % 2 == 0
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer").select("c_custkey"), "c_custkey").select(
         polyline_wkb(F.when(closed, ring).otherwise(line), closed).alias("wkb")
     )
 
@@ -386,7 +387,7 @@ def spa_quality(spark, folder):
 
     placed = F.transform(F.element_at(all_shapes, kind), lambda rings: F.transform(rings, lambda ring: F.transform(ring, place)))
     names = F.array(*map(F.lit, _PLANTED))
-    coded = table(spark, folder, "customer").select(F.element_at(names, kind).alias("shape"), polygons_wkb(placed).alias("wkb"))
+    coded = spread(table(spark, folder, "customer").select("c_custkey"), "c_custkey").select(F.element_at(names, kind).alias("shape"), polygons_wkb(placed).alias("wkb"))
     judged = coded.select("shape", decode_wkb("wkb").alias("d")).select("shape", geometry(F.col("d")).alias("g"))
     return judged.groupBy("shape").agg(
         F.count(F.lit(1)).alias("n"),
@@ -431,7 +432,7 @@ def spa_rings(spark, folder):
     corners = (4 + o % 4).cast("long")
     run = F.transform(F.sequence(F.lit(0).cast("long"), corners - 1), corner)
     coded = (
-        table(spark, folder, "orders")
+        spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
         .select(corners.alias("corners"), run.alias("run"))
         .select("corners", polygons_wkb(F.array(F.array(F.array_append("run", F.element_at("run", 1))))).alias("wkb"))
     )

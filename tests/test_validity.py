@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from fractions import Fraction as Fr
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.rings import member_valid
+from plumbline.functions.rings import member_valid, short_rings_valid
 from plumbline.functions.wkb import decode_wkb, geometry, polygons_wkb
 
 
@@ -237,3 +238,25 @@ def test_written_polygons_come_back(spark):
     df = spark.createDataFrame(rows, f"k int, s {shape}").select("k", polygons_wkb("s").alias("w"))
     got = df.select("k", decode_wkb("w").alias("d")).orderBy("k").collect()
     assert [r["d"] and (r["d"]["type"], len(r["d"]["parts"])) for r in got] == [("POLYGON", 1), ("MULTIPOLYGON", 2), ("MULTIPOLYGON", 0), None]
+
+
+@pytest.mark.parametrize("corners", [3, 4, 5, 7])
+def test_short_rings_together_like_the_sweep(corners):
+    """Rings judged as arrays: whole coordinates need no sweep, others where doubles can tell the turns."""
+    rng = random.Random(corners)
+    places = [lambda: rng.randrange(5), lambda: 2_600_000 + rng.randrange(9), lambda: rng.uniform(0, 1), lambda: rng.choice([0.1, 0.2, 0.3, 0.7])]
+    rings = [close([(place(), place()) for _ in range(corners)]) for place in places for _ in range(400)]
+    rings += [[*rings[0][:-1], (99, 99)], [(math.nan, 0), *rings[0][1:]]]
+    xy = np.array(rings, float)
+    valid, told = short_rings_valid(xy)
+    alone = np.array([member_valid([r], [False]) for r in xy])
+    assert (valid[told] == alone[told]).all() and 0 < alone[:-2].sum() < len(alone)
+    repeated = np.array([any(a == b for a, b in zip(r, r[1:])) for r in rings])
+    assert told[:800][~repeated[:800]].all() and told[800:1200].mean() > 0.99 and told[-2:].all()
+
+
+def test_shapes_are_judged_by_all_cores(spark):
+    from plumbline.plans.suite.preparation import _shapes
+
+    tasks = _shapes(spark, "/root/testdata/sf0.01").filter("length(wkb) > 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 3 * spark.sparkContext.defaultParallelism
