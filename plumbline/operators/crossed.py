@@ -13,6 +13,7 @@ from plumbline.operators.ranking import value_ranks
 from plumbline.session import settle
 
 _MOMENTS = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+ROWS_PER_TASK = 1 << 18  # whose ranks one task puts together
 _NO_SPREAD = 1e-13  # a variance below this share of the squares about the shift is rounding
 
 
@@ -74,7 +75,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     on the pair's rows; an empty table gives n = 0.
 
     The input is read once, into a narrow table with row numbers. Ranks are found per distinct value of a column,
-    so frequent values are one row, and return to the rows by a join and one grouping by row number.
+    so frequent values are one row, and return to the rows by a join and one grouping by row number, in tasks of
+    about ROWS_PER_TASK rows, so a task's memory does not grow with the table.
     """
     columns = list(columns)
     if len(columns) < 2 or len(set(columns)) < len(columns):
@@ -86,8 +88,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)])
     long = rows.select("row", F.inline(each)).filter(F.col("v").isNotNull())
     ranks = value_ranks(long, ["c"], "v").select("c", "v", "average_rank")
-    ranked = long.join(ranks, ["c", "v"]).groupBy("row").pivot("c", list(range(len(columns)))).agg(F.first("average_rank"))
-    ranked = settle(ranked.select([F.col(str(i)).alias(n) for i, n in enumerate(names)]))
+    tasks = max(-(-rows.count() // ROWS_PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Dealt out before they are grouped: row numbers hardly repeat within a task, so combining there would only fill memory.
+    dealt = long.join(ranks, ["c", "v"]).select("row", "c", "average_rank").repartition(tasks, "row")
+    of_row = [F.max(F.when(F.col("c") == i, F.col("average_rank"))).alias(n) for i, n in enumerate(names)]
+    ranked = settle(dealt.groupBy("row").agg(*of_row).select(names))
     plain = _coefficient(co_moments(rows, names), "pearson")
     ordered = _coefficient(co_moments(ranked, names), "spearman").drop("n")
     labels = F.array(*[F.lit(c) for c in columns])

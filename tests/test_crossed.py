@@ -9,6 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from plumbline.operators import crossed
 from plumbline.operators.crossed import contingency, correlations
 
 
@@ -77,3 +80,24 @@ def test_contingency_of_a_hot_value(spark):
     same = contingency(df.select("a", df.a.alias("again")), ["a", "again"]).first()
     assert same.cramers_v == pytest.approx(1.0)
     assert contingency(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_ranks_come_together_in_tasks_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1.0, 2.0, rng.random()]), float(rng.randrange(9)), rng.random()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    sizes = []
+    settled = crossed.settle
+
+    def watched(table):
+        out = settled(table)
+        sizes.append(max((r["n"] for r in table.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()), default=0))
+        return out
+
+    whole = [tuple(r) for r in correlations(df, ["a", "b", "c"]).collect()]
+    monkeypatch.setattr(crossed, "settle", watched)
+    monkeypatch.setattr(crossed, "ROWS_PER_TASK", 10)
+    parts = [tuple(r) for r in correlations(df, ["a", "b", "c"]).collect()]
+    assert sizes[1] < 40
+    for one, two in zip(sorted(whole), sorted(parts), strict=True):
+        assert one[:3] == two[:3] and one[3:] == pytest.approx(two[3:], abs=1e-12)
