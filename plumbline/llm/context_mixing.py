@@ -194,10 +194,8 @@ class Speller:
     def __init__(self, code: ByteCode):
         self.code = code
 
-    def lengths(self, keys: list[bytes]) -> np.ndarray:
-        """Bits of each word."""
-        told = list(map(spelled, keys))
-        sizes = np.array([len(t) for t in told], np.int64)
+    def lengths(self, told: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Bits of each word, as it is spelled."""
         bits = self.code.lengths[np.frombuffer(b"".join(told), np.uint8)]
         ends = np.cumsum(sizes)
         total = np.concatenate([[0], np.cumsum(bits)])
@@ -221,10 +219,11 @@ class Speller:
         step = ranges(self.code.starts[raw], lengths)
         node = self.code.nodes[step]
         slots = []
+        context, known = np.zeros(len(raw), np.uint64), 0
         for order, log2 in ORDERS:
-            context = np.zeros(len(raw), np.uint64)
-            for k in range(order):
+            for k in range(known, order):
                 context = context << np.uint64(8) | before[k]
+            known = order
             full = context[byte] << np.uint64(8) | node
             slots.append((full if 8 * (order + 1) <= log2 else (full * _SPREAD) >> np.uint64(64 - log2)).astype(np.int64))
         return self.code.bits[step], slots, owner[byte]
@@ -299,33 +298,35 @@ class Dictionary:
     def __init__(self, keys: list[bytes], counts: list[int], speller: Speller, tables: list[np.ndarray], n: int, v: int):
         self.number = dict(zip(keys, range(len(keys))))
         c = np.array(counts, np.float64)
+        told = list(map(spelled, keys))
+        self.bytes = np.fromiter(map(len, told), np.int64, len(told))
         token = np.array([counts_as_token(k) for k in keys], bool)
-        whole = np.array([len(spelled(k)) > 0 for k in keys], bool) & token
+        whole = (self.bytes > 0) & token
         self.token, self.known = token, token & (c > 0)
         self.base = np.where(token, np.log10((c + 1) / (n + v + 1)), 0.0)
         with np.errstate(divide="ignore"):
             self.share = np.where(whole, np.log(c / max(n, 1)), -np.inf)
         self.whole = whole
-        self.bits = speller.lengths(keys)
-        self.bytes = np.array([len(spelled(k)) for k in keys], np.int64)
+        self.bits = speller.lengths(told, self.bytes)
         self.starts = np.cumsum(self.bits) - self.bits
         self.gate = np.minimum(self.bytes, GATES - 1)
         # Each prediction with the sign of the bit: above 0 where it is right.
-        self.told = [np.empty(int(self.bits.sum()), np.int8) for _ in tables]
+        self.told = np.empty((int(self.bits.sum()), len(tables)), np.int8)
         for k in range(0, len(keys), SPELLED):
             bit, slots, _ = speller.spell(keys[k : k + SPELLED])
             at, sign = int(self.starts[k]), bit.astype(np.int8) * np.int8(2) - np.int8(1)
-            for told, table, slot in zip(self.told, tables, slots):
-                told[at : at + len(bit)] = table[slot] * sign
+            for j, (table, slot) in enumerate(zip(tables, slots)):
+                self.told[at : at + len(bit), j] = table[slot] * sign
 
     def units(self, text: bytes) -> np.ndarray:
         """Numbers of a text's words and its end."""
         out = []
         for part in pieces(text):
-            numbers = list(map(self.number.get, part))
-            if None in numbers:
-                numbers = [self.number[u] for w in part for u in units_of(w)]
-            out.append(np.array(numbers, np.int32))
+            try:
+                numbers = np.fromiter(map(self.number.__getitem__, part), np.int32, len(part))
+            except KeyError:  # a long word
+                numbers = np.array([self.number[u] for w in part for u in units_of(w)], np.int32)
+            out.append(numbers)
         out.append(np.array([self.number[END]], np.int32))
         return np.concatenate(out)
 
@@ -357,7 +358,7 @@ def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
         again = np.log(before) - np.log(np.maximum(np.arange(len(flat)) - offsets[owner], 1))
 
     score = np.zeros(len(texts))
-    weights = np.full((len(words.told), len(texts) * GATES), FIRST_WEIGHT / STRETCH, np.float32)
+    weights = np.full((words.told.shape[1], len(texts) * GATES), FIRST_WEIGHT / STRETCH, np.float32)
     shares = np.tile(np.array(SHARES) * SHARES_PRIOR, (len(texts), 1))
     at, width = 0, FIRST_WORDS
     active = np.arange(len(texts))
@@ -381,13 +382,17 @@ def _forward(words: Dictionary, unit, text, gate, again, weights, shares, score)
     index = ranges(words.starts[unit], bits)
     starts = np.minimum(np.cumsum(bits) - bits, max(len(index) - 1, 0))
     row = text * GATES + gate
-    told = [np.take(t, index).astype(np.float32) for t in words.told]
+    # All predictions of a bit lie side by side, so one look finds them.
+    told = words.told.view(np.dtype((np.void, words.told.shape[1]))).take(index, 0).view(np.int8).reshape(len(index), -1)
+    told = told.T.astype(np.float32, order="C")
     margin = np.zeros(len(index), np.float32)
     for j, t in enumerate(told):
         margin += np.repeat(weights[j, row], bits) * t
     # The bit's probability is 1 / (1 + against), and what the mix missed of it against / (1 + against).
     against = np.exp(-np.clip(margin, -12, 12))
-    spelt, missed = -np.log1p(against), against / (1 + against)
+    # The logarithm of 1 + against by a quotient that takes its rounding back: several times as fast as log1p, and as exact.
+    sure = 1 + against
+    spelt, missed = np.log(sure) * (against / (1 - sure)), against / sure
     sums = lambda x: np.where(bits > 0, np.add.reduceat(x, starts, dtype=np.float64), 0.0) if len(x) else np.zeros(len(bits))
     whole = words.whole[unit]
     with np.errstate(divide="ignore"):

@@ -110,3 +110,13 @@ def test_first_words_are_scored_as_by_hand():
         spelling, dictionary, _ = cm.SHARES
         want += math.log10(spelling * p + dictionary * counts[keys.index(key)] / 10)
     assert abs(score - want) < 1e-4
+
+
+def test_a_dictionary_spells_each_word_few_times_and_keeps_a_bits_predictions_together(monkeypatch):
+    keys, calls, plain = [b"w%d" % k for k in range(50)] + [cm.END], [], cm.spelled
+    monkeypatch.setattr(cm, "spelled", lambda key: (calls.append(key), plain(key))[1])
+    code = cm.ByteCode([1] * 256)
+    tables = [np.zeros(1 << log2, np.int8) for _, log2 in cm.ORDERS]
+    words = cm.Dictionary(keys, [1] * len(keys), cm.Speller(code), tables, len(keys), len(keys))
+    assert len(calls) <= 2 * len(keys)
+    assert words.told.shape == (int(words.bits.sum()), len(tables))
