@@ -69,6 +69,12 @@ def test_sites_are_sent_to_tiles_a_bounded_number_of_times(spark, monkeypatch):
     assert len(sent) == 2 and sent[0] == len(rows) and sent[1] < 2 * len(rows)
 
 
+def test_a_cell_crowded_at_the_lowest_level_is_searched_part_by_part(spark):
+    unit = 2.0**-90
+    rows = [(k, (k * 37 % 41) * unit, (k * 11 % 17) * unit, "z") for k in range(40)] + [(99, 2.0**20, 0.0, "z")]
+    assert search(spark, rows, cell_sites=8, part_sites=5) == by_all_pairs(rows)
+
+
 def test_ranks_across_ranges(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), rng.choice([float(rng.randrange(40)), 7.0, None, -0.0])) for _ in range(900)]
