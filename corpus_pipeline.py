@@ -17,7 +17,7 @@ from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import keep_good, train
 from plumbline.llm.suite import END_ID, tokenizer_path
 from plumbline.llm.token_files import encode_to_files
-from plumbline.session import remove_tables, settle, settled_tables
+from plumbline.session import remove_tables, settle, settle_narrow, settled_tables
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +36,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     blank texts are linked with nothing and stay, however often. An empty table stays empty; texts of any length are read whole.
     """
     keyed = docs.select(_row_key(docs).alias("key"), F.struct(*docs.columns).alias("row"))
-    groups = settle(near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).where("n_shingles > 0"))
+    groups = settle_narrow(near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).where("n_shingles > 0"))
     members = groups.groupBy("doc_id", "component_id").count().withColumnsRenamed({"doc_id": "key", "component_id": "component"})
     several = groups.where("doc_id <> component_id").select(F.col("component_id").alias("component")).distinct()
     linked = members.join(several, "component", "left_semi").join(keyed.select("key", "row.doc_id").distinct(), "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    kept = settle(linked.groupBy("component").agg(first).select("component", F.col("first.key").alias("key")))
+    kept = settle_narrow(linked.groupBy("component").agg(first).select("component", F.col("first.key").alias("key")))
     others = members.join(several, "component", "left_semi").join(kept, "key", "left_anti").select("key", F.lit(True).alias("goes"))
     repeated = members.where("count > 1").join(others, "key", "left_anti").select("key", F.lit(False).alias("goes"))
-    marks = settle(others.unionByName(repeated))
+    marks = settle_narrow(others.unionByName(repeated))
     met = keyed.join(marks, "key", "left")
     alone = met.where("goes IS NULL").select("row.*")
     if marks.where("NOT goes").isEmpty():
@@ -59,7 +59,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = docs.select(F.xxhash64("text").alias("key"), F.struct(*docs.columns).alias("row"))
     found = contaminated(keyed.select(F.col("key").alias("doc_id"), "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = settle(found.select(F.col("doc_id").alias("key")).distinct())
+    dirty = settle_narrow(found.select(F.col("doc_id").alias("key")).distinct())
     return keyed.join(dirty, "key", "left_anti").select("row.*")
 
 
@@ -96,15 +96,28 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_to_files(docs, tokenizer_path(), END_ID)
 
 
+#: Rows and bytes of a batch between the JVM and Python at most. By Spark's defaults, 10000 rows and 64 MB, each core holds several
+#: copies of some 30 MB of texts on either side, outside the JVM's heap, and neither side gives all of that back.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1 << 10, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: Tables that the last stage settled; its result is written before the next one begins.
 _LEFT: list[str] = []
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """From here on the session's batches are within BATCH; how texts are dealt to batches changes no result.
+
+    The setting stays, as a stage's result is computed after the stage has returned.
+    """
+    for name, most in BATCH.items():
+        spark.conf.set(name, str(most))
+
+
 def _tidy(stage):
-    """The stage, which first deletes what the one before it has settled and nobody reads any more."""
+    """The stage in short batches, which first deletes what the one before it has settled and nobody reads any more."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _short_batches(spark)
         remove_tables(spark, _LEFT, [docs])
         with settled_tables() as made:
             out = stage(spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.session import settle
+from plumbline.session import settle_narrow
 
 ROUNDS = 60
 
@@ -25,18 +25,18 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
     def contracted(pairs: DataFrame, current: DataFrame) -> DataFrame:
         moved = relabel(relabel(pairs, current, "a"), current, "b").where("a <> b")
-        return settle(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return settle_narrow(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     links = contracted(named, labels)
     for _ in range(ROUNDS):
         if links.isEmpty():
             return labels
         both = links.union(links.select("b", "a"))
-        parents = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("parent")).select(F.col("a").alias("node"), F.col("parent")))
+        parents = settle_narrow(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("parent")).select(F.col("a").alias("node"), F.col("parent")))
         while True:
             above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_above"))
             # Roots are their own parents, so every parent is a node.
-            jumped = settle(parents.join(above, "parent").select("node", F.col("parent").alias("_was"), F.col("_above").alias("parent")))
+            jumped = settle_narrow(parents.join(above, "parent").select("node", F.col("parent").alias("_was"), F.col("_above").alias("parent")))
             moved = jumped.where("_was <> parent").isEmpty()
             parents = jumped.select("node", "parent")
             if moved:
@@ -44,6 +44,6 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         followed = labels.join(parents.select(F.col("node").alias("component"), "parent"), "component", "left")
         old = followed.select("node", F.coalesce("parent", "component").alias("component"))
         fresh = parents.where("node <> parent").select("node", F.col("parent").alias("component"))
-        labels = settle(old.unionByName(fresh.join(labels, "node", "left_anti")))
+        labels = settle_narrow(old.unionByName(fresh.join(labels, "node", "left_anti")))
         links = contracted(links, parents.select("node", F.col("parent").alias("component")))
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.components import merge_components
 from plumbline.llm.shingles import Words, mixed, shingles
-from plumbline.session import remove_tables, settle, settled_tables
+from plumbline.session import remove_tables, settle, settle_narrow, settled_tables
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 80 * union.
@@ -126,6 +126,7 @@ def shared_shingles(sets: DataFrame, fragments: int, read) -> DataFrame:
             owners = np.repeat(ids, [len(s) for _, s in held.values()])
             order = np.argsort(numbers, kind="stable")
             numbers, owners = numbers[order], owners[order]
+            del order
             _, counts = _runs(numbers)
             common = np.repeat(counts > COMMON, counts)
             rows = []
@@ -169,12 +170,17 @@ def shared_shingles(sets: DataFrame, fragments: int, read) -> DataFrame:
         numbers = np.concatenate([np.cumsum(unpacked(b[0], np.uint64), dtype=np.uint64) for b in blocks])
         owners = np.concatenate([unpacked(b[1], np.int64) for b in blocks])
         told = np.unique(np.concatenate([unpacked(b[2], np.uint64) for b in blocks]))
+        # Each of these arrays is as long as the fragment: they go as soon as they are used.
+        del blocks
         order = np.argsort(numbers, kind="stable")
         numbers, owners = numbers[order], owners[order]
+        del order
         first, counts = _runs(numbers)
         many = np.repeat((counts > COMMON) | np.isin(numbers[first], told), counts) | told_apart
         kept = np.repeat(counts > 1, counts) | many
+        del first, counts
         numbers, owners, many = numbers[kept], owners[kept], many[kept]
+        del kept
         parts = part_of(owners)
         rows = []
         for k in np.unique(parts).tolist():
@@ -195,6 +201,7 @@ def shared_shingles(sets: DataFrame, fragments: int, read) -> DataFrame:
         numbers, owners, many = map(np.concatenate, (numbers, owners, many))
         by = np.argsort(owners, kind="stable")
         numbers, owners, many = numbers[by], owners[by], many[by]
+        del by
         first, counts = _runs(owners)
         spans = list(zip(first.tolist(), (first + counts).tolist()))
         few = [numbers[a:b][~many[a:b]].tobytes() for a, b in spans]
@@ -374,7 +381,7 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
     signed = settle(signatures(told, size))
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
     # A digest is that of one set; the smallest id stands for its class.
-    classes = settle(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low")))
+    classes = settle_narrow(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low")))
     total = classes.agg(F.sum("low")).first()[0] or 0
     fragments = max(1, math.ceil(total / FRAGMENT_SHINGLES))
     readable = told.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -400,9 +407,9 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
     prefixes = prefix_entries(sets.join(facts, ["doc_id", "variant"]))
     entries = prefixes.select("doc_id", "variant", "n", index_length.alias("index_length"), F.explode(F.arrays_zip("prefix", "places")).alias("_e"))
     indexed = F.col("_e.places") < F.col("index_length")
-    entries = settle(entries.select("doc_id", "variant", "n", F.col("_e.prefix").alias("shingle"), F.col("_e.places").alias("place"), indexed.alias("indexed")))
+    entries = settle_narrow(entries.select("doc_id", "variant", "n", F.col("_e.prefix").alias("shingle"), F.col("_e.places").alias("place"), indexed.alias("indexed")))
     sizes = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.count_if("indexed").alias("starts"))
-    sizes = settle(sizes.where("docs > 1 AND starts > 0"))
+    sizes = settle_narrow(sizes.where("docs > 1 AND starts > 0"))
     tidy(signed, classes, sets, entries, sizes)
     few = entries.join(sizes.where(F.col("docs") <= COMMON).select("shingle"), "shingle", "left_semi")
     many = entries.join(sizes.where(F.col("docs") > COMMON).select("shingle"), "shingle", "left_semi")
@@ -412,7 +419,7 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
         return rows.withColumnsRenamed(renamed)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return settle(similar(settle(pairs.select("a", "v_a", "b", "v_b").distinct()), sets))
+        return settle_narrow(similar(settle_narrow(pairs.select("a", "v_a", "b", "v_b").distinct()), sets))
 
     # The smaller set's shorter prefix meets the larger set's longer one.
     forward = F.struct("n_a", "a", "v_a") < F.struct("n_b", "b", "v_b")
@@ -423,7 +430,7 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
     own = linkable.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "digest")
     own = own.join(classes.select("digest", F.col("doc_id").alias("b")), "digest").select("a", "b")
     labels = merge_components(labels, checked(pairs).unionByName(own))
-    many = settle(many)
+    many = settle_narrow(many)
     tidy(signed, classes, sets, many, labels)
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -432,9 +439,9 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PER_CENT))
     for turn in range(LEADER_ROUNDS + 1):
-        members = settle(placed(many))
+        members = settle_narrow(placed(many))
         open_ = members.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-        many = settle(members.join(open_.select("shingle"), "shingle", "left_semi"))
+        many = settle_narrow(members.join(open_.select("shingle"), "shingle", "left_semi"))
         if many.isEmpty():
             break
         members, many = many, many.drop("component")

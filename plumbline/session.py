@@ -77,6 +77,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """`settle` for tables of a few numbers per row, written by at most three tasks per core.
+
+    A task takes its partitions one after another. As many files as partitions would be mostly tiny ones, and on a local file
+    system without Hadoop's native library each file has the executor start processes (chmod).
+    """
+    return settle(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def settled_tables() -> Iterator[list[str]]:
     """The folders of all tables that are settled within the block, for `remove_tables`."""

@@ -102,3 +102,19 @@ def test_components(spark, seed):
         labels = merge_components(labels, spark.createDataFrame(part, "a bigint, b bigint"))
     got = {r.node: r.component for r in labels.collect()}
     assert {x: got.get(x, x) for x in node} == {x: root(x) for x in node}
+
+
+def test_tables_of_labels_are_few_files(spark):
+    """However many partitions a shuffle has, labels are written by three tasks per core at most, and none is lost."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 3001).selectExpr("id AS a", "(id - 1) div 3 * 3 + 1 AS b")
+        found = merge_components(spark.createDataFrame([], "node bigint, component bigint"), edges)
+        assert len(found.inputFiles()) <= 3 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, found.collect())) == [(i, i - (i - 1) % 3) for i in range(1, 3001) if i % 3 != 1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -75,3 +75,28 @@ def test_rows_without_id_are_mixed_by_their_own_source(spark):
     assert sum(got[r] < 3 * n for r, n in had.items() if r[3] == "a" and r[1]) <= 5
     again = [tuple(r) for r in corpus_pipeline.mixed_sources(spark, docs.repartition(5), SMALL).collect()]
     assert Counter(again) == got
+
+
+def test_batches_of_a_stage_are_short(spark):
+    """Batches of texts lie outside the JVM's heap on both sides, several per core: neither rows nor long texts fill them."""
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {n: spark.conf.get(n) for n in names}
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    def stage(session, docs, sf_dir):
+        return docs.mapInArrow(sizes, "n bigint, size bigint")
+
+    try:
+        for rows, length in ((5000, 100), (900, 20000)):
+            docs = spark.range(rows).coalesce(1).selectExpr("id", f"repeat('a', {length}) AS text")
+            found = corpus_pipeline._tidy(stage)(spark, docs, SMALL).collect()
+            assert sum(r.n for r in found) == rows
+            assert max(r.n for r in found) <= 1 << 10 and max(r.size for r in found) <= 5 << 20
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
