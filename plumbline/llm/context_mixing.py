@@ -217,15 +217,18 @@ class Speller:
         lengths = self.code.lengths[raw]
         byte = np.repeat(np.arange(len(raw)), lengths)
         step = ranges(self.code.starts[raw], lengths)
-        node = self.code.nodes[step]
+        node, spread_node = self.code.nodes[step], (self.code.nodes * _SPREAD)[step]
         slots = []
         context, known = np.zeros(len(raw), np.uint64), 0
         for order, log2 in ORDERS:
             for k in range(known, order):
                 context = context << np.uint64(8) | before[k]
             known = order
-            full = context[byte] << np.uint64(8) | node
-            slots.append((full if 8 * (order + 1) <= log2 else (full * _SPREAD) >> np.uint64(64 - log2)).astype(np.int64))
+            # A place in the code is below 256, so context and place are spread one by one, the context once per byte.
+            plain = 8 * (order + 1) <= log2
+            full = np.repeat((context << np.uint64(8)) * (np.uint64(1) if plain else _SPREAD), lengths)
+            full += node if plain else spread_node
+            slots.append((full if plain else full >> np.uint64(64 - log2)).view(np.int64))
         return self.code.bits[step], slots, owner[byte]
 
 
@@ -393,7 +396,9 @@ def _forward(words: Dictionary, unit, text, gate, again, weights, shares, score)
     # The logarithm of 1 + against by a quotient that takes its rounding back: several times as fast as log1p, and as exact.
     sure = 1 + against
     spelt, missed = np.log(sure) * (against / (1 - sure)), against / sure
-    sums = lambda x: np.where(bits > 0, np.add.reduceat(x, starts, dtype=np.float64), 0.0) if len(x) else np.zeros(len(bits))
+    def sums(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
+        return np.where(bits > 0, np.add.reduceat(x, starts, dtype=kind), kind(0)) if len(x) else np.zeros(len(bits))
+
     whole = words.whole[unit]
     with np.errstate(divide="ignore"):
         said = np.stack([sums(spelt), words.share[unit], np.where(whole, again, -np.inf)], 1)
@@ -406,7 +411,7 @@ def _forward(words: Dictionary, unit, text, gate, again, weights, shares, score)
     rows, place = np.unique(row, return_inverse=True)
     step = RATE / STRETCH**2 / (np.bincount(place, weights=bits) + DAMPING)
     for j, t in enumerate(told):
-        weights[j, rows] += step * np.bincount(place, weights=sums(missed * t))
+        weights[j, rows] += step * np.bincount(place, weights=sums(missed * t, np.float32))
     credit = np.where(whole[:, None], np.exp(said - total[:, None]), 0)
     texts, place = np.unique(text, return_inverse=True)
     for j in range(len(SHARES)):
