@@ -8,8 +8,9 @@ adaptively: it is mixed with the word's share of all training words, the diction
 far. Weights and the shares of this last mix learn online, block after block of the document's own words, whose sizes double
 from 32 to 1024. Every document starts from the same state, so scores depend on the training texts and its own words before alone.
 
-How the corpus is gathered: tasks pack texts into compressed blocks of about 16 MB and count each block's words. Counts are
-summed per word over all blocks (one row per block and word, and so the tables grow with the corpus) and go back to the blocks.
+How the corpus is gathered: tasks number the words of blocks of about 16 MB of texts, count them, and pack each text as the
+numbers of its words, so a word is cut out and looked up once. Counts are summed per word over all blocks (one row per block and
+word, and so the tables grow with the corpus) and go back to the blocks.
 The bit predictors are summed from the distinct words into tables of fixed numbers of slots, 7 MB in all once they are probabilities;
 only these are broadcast.
 """
@@ -21,8 +22,9 @@ import heapq
 import math
 import struct
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -50,7 +52,7 @@ AT_ONCE = 1 << 14
 SPELLED = 1 << 13
 END, _PIECE = b"\n", b"\t"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_BLOCKS = "block bigint, word binary, n bigint, payload binary"
+_BLOCKS = "block bigint, word binary, number int, n bigint, payload binary"
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
@@ -74,6 +76,17 @@ def spelled(key: bytes) -> bytes:
     return key + b" "
 
 
+def numbered(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a text's words and its end."""
+    out = []
+    for part in pieces(text):
+        if len(max(part, key=len, default=b"")) > LONGEST:
+            part = [u for w in part for u in units_of(w)]
+        out.append(np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)))
+    out.append(np.array([numbers[END]], np.int32))
+    return np.concatenate(out)
+
+
 def counts_as_token(key: bytes) -> bool:
     return key[:1] != _PIECE
 
@@ -83,73 +96,79 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def pack_texts(ids: list[int | None], texts: list[bytes]) -> bytes:
+def pack_units(ids: list[int | None], units: list[np.ndarray]) -> bytes:
     import zstandard
 
     head = struct.pack("<I", len(ids)) + bytes(i is not None for i in ids) + np.array([i or 0 for i in ids], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, np.array([len(t) for t in texts], "<i8").tobytes(), *texts]))
+    # Most numbers are small: their bytes lie plane by plane, so that the upper ones pack well.
+    planes = np.concatenate(units).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, np.array([len(u) for u in units], "<i8").tobytes(), planes]))
 
 
-def unpack_texts(payload: bytes) -> Iterator[tuple[int | None, bytes]]:
+def unpack_units(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(payload)
     (n,) = struct.unpack_from("<I", raw)
-    ids, sizes = np.frombuffer(raw, "<i8", n, 4 + n).tolist(), np.frombuffer(raw, "<i8", n, 4 + 9 * n).tolist()
-    at = 4 + 17 * n
-    for k in range(n):
-        yield ids[k] if raw[4 + k] else None, raw[at : at + sizes[k]]
-        at += sizes[k]
+    ids, sizes = np.frombuffer(raw, "<i8", n, 4 + n).tolist(), np.frombuffer(raw, "<i8", n, 4 + 9 * n)
+    flat = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 + 17 * n).reshape(4, -1).T).view("<i4").reshape(-1)
+    return [i if raw[4 + k] else None for k, i in enumerate(ids)], np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """(block, word, n, payload): per block its words with their training counts, and its texts in small letters, compressed."""
+    """(block, word, number, n, payload): per block its words, numbered, with their training counts, and its texts as these numbers."""
 
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        learned, others = Counter(), set()
+        # A word not seen before in the block gets the next number.
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        counts = np.zeros(0, np.int64)
         ids: list[int | None] = []
-        texts: list[bytes] = []
+        units: list[np.ndarray] = []
         held = packed = 0
 
-        def rows(words: list[bytes | None], n: list[int | None], payload: list[bytes | None]):
-            columns = ([block] * len(words), words, n, payload)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "word", "n", "payload"])
+        def rows(words: list[bytes | None], number: list[int | None], n: list[int | None], payload: list[bytes | None]):
+            columns = ([block] * len(words), words, number, n, payload)
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "word", "number", "n", "payload"])
+
+        def packed_texts():
+            nonlocal counts
+            counts = np.append(counts, np.zeros(len(numbers) - len(counts), np.int64))
+            learned = [u for i, u in zip(ids, units) if not held_out(i)]
+            if learned:
+                counts += np.bincount(np.concatenate(learned), minlength=len(counts))
+            return rows([None], [None], [None], [pack_units(ids, units)])
 
         def words():
-            known = list(learned.items()) + [(w, 0) for w in others.difference(learned)]
+            known = list(numbers)
             for k in range(0, len(known), 1 << 15):
                 part = known[k : k + (1 << 15)]
-                yield rows([w for w, _ in part], [n for _, n in part], [None] * len(part))
+                yield rows(part, range(k, k + len(part)), counts[k : k + len(part)], [None] * len(part))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 low = (text.as_py() or b"").lower()
-                count = others.update if held_out(doc_id) else learned.update
-                for part in pieces(low):
-                    if len(max(part, key=len, default=b"")) > LONGEST:
-                        part = [u for w in part for u in units_of(w)]
-                    count(part)
-                count([END])
                 ids.append(doc_id)
-                texts.append(low)
+                units.append(numbered(low, numbers))
                 held += len(low) + 64
                 packed += len(low) + 64
                 if packed >= PAYLOAD_BYTES:
-                    yield rows([None], [None], [pack_texts(ids, texts)])
-                    ids, texts, packed = [], [], 0
+                    yield packed_texts()
+                    ids, units, packed = [], [], 0
                 if held >= BLOCK_BYTES:
                     if ids:
-                        yield rows([None], [None], [pack_texts(ids, texts)])
+                        yield packed_texts()
                     yield from words()
-                    learned, others, ids, texts, held, packed = Counter(), set(), [], [], 0, 0
+                    numbers.clear()
+                    counts, ids, units, held, packed = np.zeros(0, np.int64), [], [], 0, 0
                     block += 1
         if ids:
-            yield rows([None], [None], [pack_texts(ids, texts)])
+            yield packed_texts()
         yield from words()
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -299,7 +318,7 @@ class Dictionary:
     """A block's words: bits, predictions and counts of each."""
 
     def __init__(self, keys: list[bytes], counts: list[int], speller: Speller, tables: list[np.ndarray], n: int, v: int):
-        self.number = dict(zip(keys, range(len(keys))))
+        self.keys = keys
         c = np.array(counts, np.float64)
         told = list(map(spelled, keys))
         self.bytes = np.fromiter(map(len, told), np.int64, len(told))
@@ -321,32 +340,28 @@ class Dictionary:
             for j, (table, slot) in enumerate(zip(tables, slots)):
                 self.told[at : at + len(bit), j] = table[slot] * sign
 
-    def units(self, text: bytes) -> np.ndarray:
-        """Numbers of a text's words and its end."""
-        out = []
-        for part in pieces(text):
-            try:
-                numbers = np.fromiter(map(self.number.__getitem__, part), np.int32, len(part))
-            except KeyError:  # a long word
-                numbers = np.array([self.number[u] for w in part for u in units_of(w)], np.int32)
-            out.append(numbers)
-        out.append(np.array([self.number[END]], np.int32))
-        return np.concatenate(out)
+    @cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return dict(zip(self.keys, range(len(self.keys))))
 
 
 def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
-    """(n_tokens, n_known, base_score, score, bits_per_byte) of texts; each learns from its own words only.
+    """`score_units` of texts whose words the dictionary has."""
+    return score_units(words, [numbered(t, words.numbers) for t in texts])
+
+
+def score_units(words: Dictionary, units: list[np.ndarray]) -> list[np.ndarray]:
+    """(n_tokens, n_known, base_score, score, bits_per_byte) of texts, each given by the numbers of its words, from which alone it learns.
 
     All texts go forward together, block by block of their words, so the work is one array operation for all of them.
     """
-    units = [words.units(t) for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
     flat = np.concatenate(units)
     offsets = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(units)), sizes)
 
     def per_text(values: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=values[flat], minlength=len(texts))
+        return np.bincount(owner, weights=values[flat], minlength=len(units))
 
     gates = np.zeros(len(flat), np.int64)
     gates[1:] = words.gate[flat[:-1]]
@@ -360,11 +375,11 @@ def score_texts(words: Dictionary, texts: list[bytes]) -> list[np.ndarray]:
     with np.errstate(divide="ignore"):
         again = np.log(before) - np.log(np.maximum(np.arange(len(flat)) - offsets[owner], 1))
 
-    score = np.zeros(len(texts))
-    weights = np.full((words.told.shape[1], len(texts) * GATES), FIRST_WEIGHT / STRETCH, np.float32)
-    shares = np.tile(np.array(SHARES) * SHARES_PRIOR, (len(texts), 1))
+    score = np.zeros(len(units))
+    weights = np.full((words.told.shape[1], len(units) * GATES), FIRST_WEIGHT / STRETCH, np.float32)
+    shares = np.repeat(np.array(SHARES)[:, None] * SHARES_PRIOR, len(units), 1)
     at, width = 0, FIRST_WORDS
-    active = np.arange(len(texts))
+    active = np.arange(len(units))
     while len(active):
         lengths = np.minimum(sizes[active] - at, width)
         for group in np.split(np.arange(len(active)), np.flatnonzero(np.diff(np.cumsum(lengths) // AT_ONCE)) + 1):
@@ -400,22 +415,24 @@ def _forward(words: Dictionary, unit, text, gate, again, weights, shares, score)
         return np.where(bits > 0, np.add.reduceat(x, starts, dtype=kind), kind(0)) if len(x) else np.zeros(len(bits))
 
     whole = words.whole[unit]
+    said = np.stack([sums(spelt), words.share[unit], np.where(whole, again, -np.inf)])
     with np.errstate(divide="ignore"):
-        said = np.stack([sums(spelt), words.share[unit], np.where(whole, again, -np.inf)], 1)
-        said += np.log(shares / shares.sum(1, keepdims=True))[text]
-    total = np.logaddexp.reduce(said, 1)
+        said += np.log(shares / shares.sum(0)).take(text, 1)
+    # Spelling is never impossible, so the likeliest is finite.
+    likeliest = said.max(0)
+    credit = np.exp(said - likeliest)
+    together = credit.sum(0)
     # A long word's digest has no bits and no share: its pieces are scored.
-    total[bits == 0] = 0
+    total = np.where(bits > 0, likeliest + np.log(together), 0)
     score += np.bincount(text, weights=total, minlength=len(score))
 
-    rows, place = np.unique(row, return_inverse=True)
-    step = RATE / STRETCH**2 / (np.bincount(place, weights=bits) + DAMPING)
+    # Rows and texts without a word here add up to 0 and stay as they are.
+    step = RATE / STRETCH**2 / (np.bincount(row, weights=bits, minlength=weights.shape[1]) + DAMPING)
     for j, t in enumerate(told):
-        weights[j, rows] += step * np.bincount(place, weights=sums(missed * t, np.float32))
-    credit = np.where(whole[:, None], np.exp(said - total[:, None]), 0)
-    texts, place = np.unique(text, return_inverse=True)
-    for j in range(len(SHARES)):
-        shares[texts, j] += np.bincount(place, weights=credit[:, j])
+        weights[j] += step * np.bincount(row, weights=sums(missed * t, np.float32), minlength=len(step))
+    credit *= whole / together
+    for share, own in zip(shares, credit):
+        share += np.bincount(text, weights=own, minlength=len(share))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -429,7 +446,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     gathered = settle(blocks_of(docs))
     alike = Window.partitionBy("word")
-    words = gathered.where("word IS NOT NULL").select("block", "word", F.sum("n").over(alike).alias("c"), (F.min("block").over(alike) == F.col("block")).alias("lead"))
+    words = gathered.where("word IS NOT NULL").select("block", "word", "number", F.sum("n").over(alike).alias("c"), (F.min("block").over(alike) == F.col("block")).alias("lead"))
     words = settle(words)
     types = settle(words.where("lead AND c > 0").select("word", "c"))
     token = F.substring("word", 1, 1) != F.lit(_PIECE)
@@ -456,20 +473,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         speller = Speller(code)
-        block, keys, times, known = None, [], [], None
+        block, known = None, None
         for batch in batches:
-            for own, word, c, payload in zip(*(batch.column(x).to_pylist() for x in ("block", "word", "c", "payload"))):
-                if own != block:
-                    block, keys, times, known = own, [], [], None
-                if payload is None:
-                    keys.append(word)
-                    times.append(c)
+            blocks, payloads = batch.column("block").to_numpy(), batch.column("payload")
+            numbers, times = (batch.column(x).fill_null(0).to_numpy() for x in ("number", "c"))
+            # A run is some of a block's words or a payload.
+            texts = payloads.is_valid().to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | texts[1:])[: len(blocks)]).tolist()
+            for begin, end in zip(begins, [*begins[1:], len(blocks)]):
+                if blocks[begin] != block:
+                    block, keys, places, counts, known = blocks[begin], [], [], [], None
+                if not texts[begin]:
+                    keys += batch.column("word").slice(begin, end - begin).to_pylist()
+                    places.append(numbers[begin:end])
+                    counts.append(times[begin:end])
                     continue
                 if known is None:
-                    known = Dictionary(keys, times, speller, tables.value, n, v)
-                    keys, times = [], []
-                ids, texts = zip(*unpack_texts(payload))
-                tokens, seen, base, total, rate = score_texts(known, list(texts))
+                    known = Dictionary(keys, np.concatenate(counts), speller, tables.value, n, v)
+                    place = np.empty(len(keys), np.int32)
+                    place[np.concatenate(places)] = np.arange(len(keys))
+                    keys, places, counts = [], [], []
+                ids, units = unpack_units(payloads[begin].as_py())
+                tokens, seen, base, total, rate = score_units(known, [place[u] for u in units])
                 columns = [
                     pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()),
                     pa.array([n] * len(ids), pa.int64()), *(pa.array(x, pa.float64()) for x in (base, total, rate)),
@@ -477,7 +502,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORES.split(", ")])
 
     none = F.lit(None)
-    told = words.select("block", "word", "c", none.cast("binary").alias("payload"))
-    texts = gathered.where("payload IS NOT NULL").select("block", none.cast("binary").alias("word"), none.cast("bigint").alias("c"), "payload")
+    told = words.select("block", "word", "number", "c", none.cast("binary").alias("payload"))
+    texts = gathered.where("payload IS NOT NULL").select("block", none.cast("binary").alias("word"), "number", none.cast("bigint").alias("c"), "payload")
     dealt = told.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
     return dealt.mapInArrow(score, _SCORES)

@@ -120,3 +120,26 @@ def test_a_dictionary_spells_each_word_few_times_and_keeps_a_bits_predictions_to
     words = cm.Dictionary(keys, [1] * len(keys), cm.Speller(code), tables, len(keys), len(keys))
     assert len(calls) <= 2 * len(keys)
     assert words.told.shape == (int(words.bits.sum()), len(tables))
+
+
+def test_texts_are_packed_as_the_numbers_of_their_blocks_words(spark, monkeypatch):
+    """Words are cut out and looked up once, when a block is gathered: its rows alone give back all words of its texts."""
+    monkeypatch.setattr(cm, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(cm, "PAYLOAD_BYTES", 1 << 12)
+    docs = spark.createDataFrame(documents(), "doc_id bigint, text string").repartition(3)
+    blocks: dict[int, dict] = {}
+    rows = cm.blocks_of(docs).collect()
+    for r in rows:
+        if r.payload is None:
+            assert blocks.setdefault(r.block, {}).setdefault(r.number, (bytes(r.word), r.n)) == (r.word, r.n)
+    assert len(blocks) > 3 and all(sorted(words) == list(range(len(words))) for words in blocks.values())
+    told, learned = [], Counter()
+    for r in rows:
+        if r.payload is not None:
+            for doc_id, units in zip(*cm.unpack_units(bytes(r.payload))):
+                words = [blocks[r.block][k][0] for k in units.tolist()]
+                told.append((str(doc_id), words))
+                learned.update({(r.block, w): 0 for w in words} if cm.held_out(doc_id) else Counter((r.block, w) for w in words))
+    assert all(learned[block, word] == n for block, words in blocks.items() for word, n in words.values())
+    want = [(str(i), [u for t in tokens_of(text) for u in cm.units_of(t.encode())]) for i, text in documents()]
+    assert sorted(told) == sorted(want)
