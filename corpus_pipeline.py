@@ -17,7 +17,7 @@ from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import keep_good, train
 from plumbline.llm.suite import END_ID, tokenizer_path
 from plumbline.llm.token_files import encode_to_files
-from plumbline.session import remove_tables, settle, settle_narrow, settled_tables
+from plumbline.session import in_fewer_tasks, remove_tables, settle, settle_narrow, settled_tables
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = row_hash(*docs.columns)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)
     taken = mix_rows(docs, key).groupBy("key").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
-    taken = settle(taken.where("copies > 0"))
+    taken = settle_narrow(taken.where("copies > 0"))
     met = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).join(taken, "key")
     single = met.where("rows = 1")
     out = single.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
@@ -113,14 +113,14 @@ def _short_batches(spark: SparkSession) -> None:
 
 
 def _tidy(stage):
-    """The stage in short batches, which first deletes what the one before it has settled and nobody reads any more."""
+    """The stage in short batches and written as fewer files, which first deletes what the one before it has settled and nobody reads any more."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _short_batches(spark)
         remove_tables(spark, _LEFT, [docs])
         with settled_tables() as made:
-            out = stage(spark, docs, sf_dir)
+            out = in_fewer_tasks(stage(spark, docs, sf_dir))
         _LEFT.extend(made)
         return out
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.session import settle
+from plumbline.session import settle_narrow
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_WORDS = 8
@@ -149,16 +149,16 @@ def mix_rows(
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
     alike = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("_rows"))
-    sized = settle(numbered_copies(alike, F.col("_rows"), "nth", ["key"]).drop("_rows"))
+    sized = settle_narrow(numbered_copies(alike, F.col("_rows"), "nth", ["key"]).drop("_rows"))
     shards = max(1, -(-sized.count() // shard_docs))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "nth"), F.lit(shards)))
-    supply = settle(placed.groupBy("source", "shard").agg(F.sum("size").alias("supply")))
+    supply = settle_narrow(placed.groupBy("source", "shard").agg(F.sum("size").alias("supply")))
     sources = source_targets(supply.groupBy("source").agg(F.sum("supply").alias("source_size")), weights, most_copies)
     sources = sources.withColumn("_one", F.lit(0)).withColumn(
         "blocks", F.round(F.sum("source_size").over(Window.partitionBy("_one")) / block_words).cast("bigint")
     )
     sources = sainte_lague(sources, ["_one"], "nth", "target", "blocks", "quota")
-    sources = settle(sources.select("source", "source_size", "target", "nth", "quota"))
+    sources = settle_narrow(sources.select("source", "source_size", "target", "nth", "quota"))
 
     same = supply["source"].eqNullSafe(sources["source"])
     votes = supply.join(sources, same).select(supply["source"], "shard", "supply", "source_size", "target", "nth", "quota")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.components import merge_components
 from plumbline.llm.shingles import Words, mixed, shingles
-from plumbline.session import remove_tables, settle, settle_narrow, settled_tables
+from plumbline.session import in_fewer_tasks, remove_tables, settle, settle_narrow, settled_tables
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 80 * union.
@@ -386,21 +386,21 @@ def _near_duplicates(docs: DataFrame, size: int, tidy) -> DataFrame:
     fragments = max(1, math.ceil(total / FRAGMENT_SHINGLES))
     readable = told.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    shared = settle(shared_shingles(readable, fragments, text_sets(size)))
+    shared = settle(in_fewer_tasks(shared_shingles(readable, fragments, text_sets(size))))
     counted = (F.octet_length("few") + F.octet_length("many")) / 8
     known = classes.join(shared, "doc_id", "left").withColumn("prefix_length", F.col("n") - _fit(F.col("n"), PER_CENT, 100) + 1)
     # Where shingles of this document alone fill the prefix, nothing can match.
     known = known.where(F.col("low") - F.coalesce(counted.cast("bigint"), F.lit(0)) < F.col("prefix_length"))
-    known = settle(known.select("doc_id", "few", "many", "prefix_length", "digest", F.xxhash64("digest").alias("variant")))
+    known = settle(in_fewer_tasks(known.select("doc_id", "few", "many", "prefix_length", "digest", F.xxhash64("digest").alias("variant"))))
     sets = open_sets(packed_texts(readable).join(known.select("doc_id", "digest", "variant"), "doc_id"), size)
     if not linkable.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc_id", "variant"])
-    sets = settle(sets)
+    sets = settle(in_fewer_tasks(sets))
     tidy(signed, classes, known, sets)
     # The upper half is counted over what is left: the others match nothing.
     rest = sets.agg(F.sum("n")).first()[0] or 0
     upper = shared_shingles(sets.select("doc_id", "variant", "numbers"), max(1, math.ceil(rest / 2 / FRAGMENT_SHINGLES)), upper_halves)
-    upper = settle(upper.withColumnsRenamed({"few": "few_up", "many": "many_up"}))
+    upper = settle(in_fewer_tasks(upper.withColumnsRenamed({"few": "few_up", "many": "many_up"})))
     facts = known.drop("digest").join(upper, "doc_id", "left")
 
     index_length = F.col("n") - _fit(F.col("n"), 2 * PER_CENT, 100 + PER_CENT) + 1

@@ -86,6 +86,15 @@ def settle_narrow(df: DataFrame) -> DataFrame:
     return settle(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def in_fewer_tasks(df: DataFrame) -> DataFrame:
+    """The rows, made by an eighth as many tasks as a shuffle has partitions, but by three per core at least.
+
+    For tables of long rows, for the reason told at `settle_narrow`: each task writes a file, and takes its partitions one by one.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 @contextmanager
 def settled_tables() -> Iterator[list[str]]:
     """The folders of all tables that are settled within the block, for `remove_tables`."""

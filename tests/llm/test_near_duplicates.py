@@ -8,6 +8,7 @@ from itertools import combinations
 
 import pytest
 
+from plumbline import session
 from plumbline.llm import near_duplicates as nd
 from plumbline.llm.components import merge_components
 
@@ -118,3 +119,29 @@ def test_tables_of_labels_are_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_all_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, no table of the search is more files than an eighth of them or three per core."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in held}, []
+    plain = session.settle
+
+    def counted(df):
+        out = plain(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for module in (session, nd):
+        monkeypatch.setattr(module, "settle", counted)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> concat(id div 2, 'w', k))) AS text").repartition(64)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        groups = nd.near_duplicates(docs).select("doc_id", "component_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, groups)) == [(i, i // 2 * 2) for i in range(400)]
+    # The first table, the signatures, has the files of its input.
+    assert max(files[1:]) <= max(8, 3 * spark.sparkContext.defaultParallelism)
